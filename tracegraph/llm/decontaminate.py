@@ -27,11 +27,11 @@ FILTER_BITS = 20
 
 
 class Codes(dict):
-    """Token to a dense number; kinds and literal hashes of the numbers. Forgets all beyond ``most`` tokens."""
+    """Token to a dense number; kind and literal hash of each number stand in ``k`` and ``h``. Forgets all beyond ``most`` tokens."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 500_000):
         super().__init__()
-        self.most, self.kinds, self.hashes = most, [], []
+        self.most, self.k, self.h = most, np.zeros(1024, np.int8), np.zeros(1024, np.uint64)
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
@@ -43,18 +43,16 @@ class Codes(dict):
             kind = UNIT
         else:
             kind = NAME if token[0].isupper() and token[1:] == low[1:] and len(token) > 1 else WORD
-        self[token] = code = len(self.kinds)
-        self.kinds.append(kind)
-        self.hashes.append(xxhash.xxh64_intdigest(low))
+        code = len(self)
+        if code == len(self.k):
+            self.k, self.h = np.resize(self.k, 2 * code), np.resize(self.h, 2 * code)
+        self[token], self.k[code], self.h[code] = code, kind, xxhash.xxh64_intdigest(low)
         return code
 
     def arrays(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self) > self.most:
             self.clear()
-            self.kinds, self.hashes = [], []
-        codes = [self[t] for t in tokens]
-        if len(self.kinds) != len(getattr(self, "k", ())):
-            self.k, self.h = np.array(self.kinds, np.int8), np.array(self.hashes, np.uint64)
+        codes = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
         return self.k[codes], self.h[codes]
 
 
