@@ -70,14 +70,17 @@ class Model:
         return self.labels[j], s, bool(sims[j] < 0.5 * self.floor[j])
 
 
-def train(labelled: DataFrame, per_language: int = 1500, clusters: int = 4) -> Model:
+def train(labelled: DataFrame, per_language: int = 1000, clusters: int = 4) -> Model:
     """Fit on ``labelled(doc_id, text, lang)``: at most ``per_language`` texts of each language, chosen by a hash of the id.
 
-    That bound is the model's sample; the rows are pruned to it before they are moved. Each language's vectors
+    That bound is the model's sample. Ids alone are ranked, and Spark prunes them to the bound in each task before the
+    shuffle (it does so up to 1000 rows a group). Each language's vectors
     are clustered in one task that holds its sample only. Null languages and texts without a letter teach nothing.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), F.xxhash64("text"))
-    rows = labelled.where("lang is not null and text is not null").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    known = labelled.where("lang is not null and text is not null").withColumn("order", F.xxhash64("doc_id", F.lit(7)))
+    order = Window.partitionBy("lang").orderBy("order", "doc_id")
+    chosen = known.select("lang", "order", "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    rows = known.join(chosen.select("lang", "order").distinct(), ["lang", "order"], "left_semi")  # texts move only if chosen
     counted = rows.select("lang", "text").mapInArrow(_count_batches, "lang string, counts binary").persist()
     seen = [np.frombuffer(r.df, np.int64) for r in counted.groupBy("lang").applyInPandas(_document_frequency, "df binary").collect()]
     total = np.sum(seen, axis=0) if seen else np.zeros(BINS + 1, np.int64)
