@@ -207,3 +207,39 @@ def test_main_text(spark):
         want = [re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in re.split(r"</?(?:p|h1)>", body)]
         assert blocks and got[p["page_id"]]["text"] == "\n".join(x for x in want if x)
         assert got[p["page_id"]]["n_chars"] == len(got[p["page_id"]]["text"])
+
+
+def brute_repeats(texts, size=100):
+    seen, out = set(), {}
+    for i, b in texts:
+        gone = bytearray(len(b))
+        for s in range(len(b) - size + 1):
+            w = b[s : s + size]
+            if w in seen:
+                gone[s : s + size] = b"\1" * size
+            seen.add(w)
+        rest = bytes(x for x, g in zip(b, gone) if not g)
+        spans = len(re.findall(rb"\x01+", bytes(gone)))
+        out[i] = (len(b), sum(gone), spans, hashlib.sha256(rest).hexdigest())
+    return out
+
+
+def test_repeats(spark, docs):
+    want = brute_repeats(sorted((d["doc_id"], (d["text"] or "").encode()) for d in docs))
+    got = {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in by_id(q.op9_repeats(spark, SF)).items()}
+    assert got == want and any(v[1] for v in want.values())
+
+
+def test_repeats_within_and_at_borders(spark):
+    import random
+
+    from tracegraph.llm.substrings import remove_repeats
+
+    r = random.Random(5)
+    base = "".join(r.choice("abcdef ") for _ in range(900))
+    texts = [base[:400], base[300:], base[50:170], base[:99], "x" * 350, "ab" * 150, base[:200] + "Q" + base[201:420], "", base[:400], base[600:700] + base[600:700]]
+    texts += [base[k : k + 100 + k % 7] for k in range(0, 800, 97)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(900, None)], "doc_id long, text string")
+    want = brute_repeats([(i, t.encode()) for i, t in enumerate(texts)] + [(900, b"")])
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(df).collect()}
+    assert got == want

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, langid, license, line_dedup, mixing, quality, simhash
+from . import chat, decontaminate, html, langid, license, line_dedup, mixing, quality, simhash, substrings
 from ._common import table
 
 
@@ -63,6 +63,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license.scan_licenses(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_main_text": op6_main_text,
         "op7_mix": op7_mix,
         "op8_quality": op8_quality,
+        "op9_repeats": op9_repeats,
         "op10_licenses": op10_licenses,
     }
 
