@@ -99,17 +99,18 @@ def schedule(targets: DataFrame, block: int = 256, run: int = 1 << 16) -> DataFr
     runs = runs.select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {run}"))).alias("run")).repartition("run")
     slots = runs.select("run", F.explode(F.sequence(F.col("run") * run, F.least((F.col("run") + 1) * run, F.col("n")) - 1)).alias("slot"))
     slots = slots.withColumn("point", point(F.col("slot"))).withColumn("cell", F.expr(f"point div {cell}"))
-    hit = slots.join(cells, "cell").where("point >= low and point < high").select("skey", "run", "slot")
+    # merge hints: the planner takes exploded sequences for tiny and would broadcast them; they grow with the data
+    hit = slots.hint("merge").join(cells, "cell").where("point >= low and point < high").select("skey", "run", "slot")
     counts = hit.groupBy("skey", "run").agg(F.count("*").alias("c"))
     before = Window.partitionBy("skey").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("skey", "run", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("skey", "run").orderBy("slot")
-    ranked = hit.withColumn("inner", F.row_number().over(inside) - 1).join(base, ["skey", "run"])
+    ranked = hit.withColumn("inner", F.row_number().over(inside) - 1).hint("merge").join(base, ["skey", "run"])
     ranked = ranked.select("skey", "slot", (F.col("base") + F.col("inner")).alias("rank"))
     have = share.join(counts.groupBy("skey").agg(F.sum("c").alias("c")), "skey", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     missing = have.where("c < blocks").select("skey", "n", F.explode(F.sequence(F.col("c"), F.col("blocks") - 1)).alias("rank"))
     ranked = ranked.unionByName(missing.select("skey", (F.col("n") + F.col("rank")).alias("slot"), "rank"))
-    want = ranked.join(share.select("skey", "want"), "skey").where(F.col("rank") * block < F.col("want"))
+    want = ranked.hint("merge").join(share.select("skey", "want"), "skey").where(F.col("rank") * block < F.col("want"))
     return want.select("slot", "skey", "rank", F.least(F.lit(block), F.col("want") - F.col("rank") * block).alias("words"))
 
 
@@ -140,13 +141,13 @@ def mix(
         .select("skey", "start", "size", "source_size", F.explode(F.sequence(F.lit(0).cast("long"), epochs)).alias("epoch"))
         .select("skey", "start", first(F.col("epoch")).alias("a"), (first(F.col("epoch")) + F.col("size")).alias("z"))
         .withColumn("rank", F.explode(F.sequence(F.expr(f"a div {block}"), F.expr(f"(z - 1) div {block}"))))
-        .join(slots, ["skey", "rank"])
+        .join(slots.hint("merge"), ["skey", "rank"])
         .withColumn("took", F.least(F.col("z"), F.col("rank") * block + F.col("words")) - F.greatest(F.col("a"), F.col("rank") * block))
         .where("took > 0")
         .groupBy("skey", "start")
         .agg(F.sum("took").alias("taken"))
     )
-    out = at.join(parts, ["skey", "start"], "left")
+    out = at.join(parts.hint("merge"), ["skey", "start"], "left")
     taken = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
