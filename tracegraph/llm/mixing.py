@@ -153,7 +153,7 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents of the mix: given columns, then ``size, source_size, target, taken``; documents with ``taken`` 0 are out.
+    """The documents of the mix: given columns, then ``size, source_size, target, taken`` (in place of columns so named); documents with ``taken`` 0 are out.
 
     Rows that share id, source and size get the largest take among them.
     """
@@ -161,6 +161,6 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     took = mix(docs, **parameters).select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), host_key("source").alias("_skey"), "size", "source_size", "target", "taken"
     ).groupBy(*key).agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("taken").alias("taken"))
-    named = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_skey": host_key("source"), "size": word_count()})
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    named = docs.select(*own, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), host_key("source").alias("_skey"), word_count().alias("size"))
     return named.join(took.where("taken > 0"), key).select(*own, "size", "source_size", "target", "taken")

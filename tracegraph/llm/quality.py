@@ -162,13 +162,13 @@ def quality_rules(
 def _drop_lines(batches):
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        for i, bad in enumerate(batch.column("bad").to_pylist()):
+        for i, bad in enumerate(batch.column("_bad_lines").to_pylist()):
             if bad and texts[i]:
                 bad = set(bad)
                 lines = texts[i].encode().split(b"\n")
                 texts[i] = b"\n".join(x for x in lines if not x.split() or line_hash(x) not in bad).decode()
         at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string())).drop_columns(["bad"])
+        yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string())).drop_columns(["_bad_lines"])
 
 
 def kept_documents(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
@@ -189,8 +189,8 @@ def kept_documents(docs: DataFrame, host: str = "source", **limits) -> DataFrame
             "_hash": F.xxhash64(F.coalesce("text", F.lit(""))),
         }
     )
-    bad = frequent.groupBy(F.col("host").alias("_host")).agg(F.collect_list("line").alias("bad"))  # under 1 / max_share lines a word
-    named = keyed.join(keep, key, "left_semi").join(bad, "_host", "left").select(*docs.columns, "bad")
+    bad = frequent.groupBy(F.col("host").alias("_host")).agg(F.collect_list("line").alias("_bad_lines"))  # under 1 / max_share lines a word
+    named = keyed.join(keep, key, "left_semi").join(bad, "_host", "left").select(*docs.columns, "_bad_lines")
     out = named.mapInArrow(_drop_lines, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

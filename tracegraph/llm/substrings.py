@@ -90,7 +90,7 @@ COVERED, OPEN, HOT = 1, 2, 3
 def _judge(batches):
     """Rows sorted by core, extent, ord, tag: all but the first of an extent are covered; a first is open if its core
     has other extents. Of salted cores the firsts are handed on. Holds one row from batch to batch."""
-    last = None  # (core, extent, salt) of the row before
+    last = None  # (core, extent, ord, tag) of the row before
     pending = None  # the only first of its core so far
     several = False
 
@@ -104,13 +104,14 @@ def _judge(batches):
         core, extent, ord_, tag, salt = (batch.column(c).to_numpy() for c in ("core", "extent", "ord", "tag", "salt"))
         same = np.r_[last is not None and core[0] == last[0], core[1:] == core[:-1]]
         old = same & np.r_[last is not None and extent[0] == last[1], extent[1:] == extent[:-1]]
+        twice = old & np.r_[last is not None and (ord_[0], tag[0]) == last[2:], (ord_[1:] == ord_[:-1]) & (tag[1:] == tag[:-1])]
         k = np.flatnonzero(~old)
         parts = []
 
         def add(at, what, parts=parts, ord_=ord_, tag=tag, core=core, extent=extent):
             parts.append((ord_[at], tag[at], np.full(len(at), what), core[at], extent[at]))
 
-        add(np.flatnonzero(old), COVERED)
+        add(np.flatnonzero(old & ~twice), COVERED)  # a row given twice is one
         group = np.cumsum(~same[k])  # 0: goes on with the core of the batch before
         n = np.bincount(group, minlength=1)
         multi = n[group] > 1
@@ -123,13 +124,13 @@ def _judge(batches):
         cold = salt[k] < 0
         add(k[multi & cold], OPEN)
         add(k[~cold], HOT)
-        if len(k) and group[-1] > 0 or not len(k) and False:
+        if len(k) and group[-1] > 0:
             several = bool(n[group[-1]] > 1)
             j = k[-1]
             pending = None if several or salt[j] >= 0 else (ord_[j], tag[j], OPEN, core[j], extent[j])
         elif not same.all():  # cannot be: a new core has a first row
             pending, several = None, False
-        last = (core[-1], extent[-1])
+        last = (core[-1], extent[-1], ord_[-1], tag[-1])
         yield rows(parts)
 
 
