@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -88,3 +89,68 @@ def stream_diff(events: DataFrame, baseline: DataFrame, write) -> DataFrame:
         write(both.withColumn("status", status).withColumn("status_rank", rank_status()), n)
 
     return stream_heat(events).writeStream.outputMode("complete").foreachBatch(batch)
+
+
+def recent(rows: DataFrame, now_ns: int, seconds: float = 60.0, max_events: int | None = None) -> DataFrame:
+    """Rows (``session_id, idx, received_ns``) that are no older than ``seconds``, and of each session the last ``max_events`` of those."""
+    kept = rows.where(F.col("received_ns") >= now_ns - int(seconds * 1_000_000_000))
+    if max_events is None:
+        return kept
+    newest = Window.partitionBy("session_id").orderBy(F.desc("received_ns"), F.desc("idx"))
+    return kept.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= max_events).drop("_n")
+
+
+def stream_recent(events: DataFrame, folder: str, seconds: float = 60.0, max_events: int | None = None):
+    """Keeps the recent history of a stream in ``folder/batch=N``, one table a batch, for those who join late (``latest_recent``)."""
+
+    def batch(df: DataFrame, n: int) -> None:
+        now = time.time_ns()
+        rows = df.withColumn("received_ns", F.lit(now))
+        before = latest_recent(df.sparkSession, folder, n)
+        if before is not None:
+            rows = before.unionByName(rows)
+        recent(rows, now, seconds, max_events).write.mode("overwrite").parquet(f"{folder}/batch={n}")
+
+    return events.writeStream.foreachBatch(batch)
+
+
+def latest_recent(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """The table of the last whole batch (under ``before``), if any."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    done = [int(s.getPath().getName()[6:]) for s in fs.listStatus(path) if s.getPath().getName().startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    done = [n for n in done if before is None or n < before]
+    return spark.read.parquet(f"{folder}/batch={max(done)}") if done else None
+
+
+SESSION = "connection string, session_id string, started_ns long, ended_ns long, event_count long"
+
+
+def _sessions(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The open recording of one connection in state. Messages of a batch are taken in ``seq`` order."""
+    sid, first, last, n = state.get if state.exists else (None, 0, 0, 0)
+    done = []
+    for r in pd.concat(list(chunks)).sort_values("seq").itertuples():
+        if r.type == "trace_event" and sid:
+            first, last, n = (r.ts_ns if n == 0 else first), max(last, r.ts_ns), n + 1
+        elif r.type in ("trace_session_start", "trace_session_end"):
+            if sid and n:  # empty recordings leave no session
+                done.append((*key, sid, first, last, n))
+            sid, first, last, n = (r.session_id or None) if r.type == "trace_session_start" else None, 0, 0, 0
+    state.update((sid, int(first), int(last), int(n)))
+    yield pd.DataFrame(done, columns=[c.split()[0] for c in SESSION.split(", ")])
+
+
+def stream_sessions(messages: DataFrame) -> DataFrame:
+    """Sessions as they end (append mode) of ``messages(connection, seq, type, session_id, ts_ns)``. A new start ends the session before it; sessions without events
+    are left out; events outside a session are ignored. The rows go to ``save_sessions``."""
+    return messages.groupBy("connection").applyInPandasWithState(_sessions, SESSION, "sid string, first long, last long, n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_metric_series(events: DataFrame, suffix: str = "metrics.py:record_epoch") -> DataFrame:
+    """Finite metric points as they arrive (append mode); runs are told apart over the whole table by ``segment_runs``."""
+    from ..operators.series import metric_tuples
+
+    return metric_tuples(events, suffix, 2).where("finite").select("session_id", "idx", "epoch", F.col("numbers")[0].alias("loss"), F.col("numbers")[1].alias("accuracy"))
