@@ -42,3 +42,22 @@ def test_poll_deltas(spark):
     run(live.stream_coverage_deltas(spark.readStream.schema(polls.schema).parquet(path)), "append", "deltas")
     want = sorted(map(tuple, E.coverage_deltas(polls).select("script", "start", "poll", "delta").collect()))
     assert sorted(map(tuple, spark.table("deltas").collect())) == want == [("a", 0, 0, 3), ("a", 0, 1, 2), ("a", 0, 3, 6), ("b", 1, 1, 2)]
+
+
+def test_live_diff(spark):
+    import pytest
+
+    e = D.trace_events(spark, SF)
+    a, b = e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")
+    path = tempfile.mkdtemp() + "/t"
+    for part in range(2):
+        b.where(F.col("idx") % 2 == part).coalesce(1).write.mode("append").parquet(path)
+    base = E.heat(a).groupBy("node_id").agg(F.sum("heat").alias("heat"))
+    seen = {}
+    key = lambda df: sorted(map(tuple, df.select("node_id", "status", "count_a", "count_b").collect()))
+    q = live.stream_diff(live.stream_events(spark, path, b.schema), base, lambda df, n: seen.update({n: key(df)})).start()
+    q.processAllAvailable()
+    q.stop()
+    assert len(seen) == 2 and seen[1] == key(E.diff_traces(a, b))
+    with pytest.raises(ValueError):
+        live.stream_diff(e, base.limit(0), None)
