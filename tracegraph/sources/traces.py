@@ -46,12 +46,13 @@ def write_trace(events: DataFrame, path: str) -> None:
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of graph documents, ordinals kept."""
-    node = "struct<id:string,kind:string,name:string,path:string,line:int>"
-    edge = "struct<source:string,target:string,kind:string,metadata:struct<line:int>>"
+    """Nodes and edges of graph documents, ordinals kept, with the metadata that ``resolve_symbols`` reads."""
+    node = "struct<id:string,kind:string,name:string,path:string,line:int,metadata:struct<receiver:string>>"
+    edge = "struct<source:string,target:string,kind:string,metadata:struct<line:int,resolved:boolean,names:array<string>,alias:string,`default`:string,aliases:map<string,string>>>"
     g = spark.read.schema(f"nodes array<{node}>, edges array<{edge}>").option("multiLine", True).json(path).withColumn("graph_id", F.col("_metadata.file_path"))
-    nodes = g.select("graph_id", F.posexplode("nodes").alias("node_ord", "n")).select("graph_id", "node_ord", "n.*")
-    edges = g.select("graph_id", F.posexplode("edges").alias("edge_ord", "e")).select("graph_id", "edge_ord", "e.source", "e.target", "e.kind", F.col("e.metadata.line").alias("line"))
+    nodes = g.select("graph_id", F.posexplode("nodes").alias("node_ord", "n")).select("graph_id", "node_ord", "n.id", "n.kind", "n.name", "n.path", "n.line", "n.metadata.receiver")
+    meta = ["e.metadata.line", "e.metadata.resolved", "e.metadata.names", "e.metadata.alias", F.col("e.metadata.default").alias("default_name"), "e.metadata.aliases"]
+    edges = g.select("graph_id", F.posexplode("edges").alias("edge_ord", "e")).select("graph_id", "edge_ord", "e.source", "e.target", "e.kind", *meta)
     return nodes, edges
 
 
