@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tracegraph.llm import chat, decontaminate, html, langid, license, line_dedup, mixing, quality, simhash, substrings
+from tracegraph.llm import chat, decontaminate, html, langid, license, line_dedup, mixing, near_copies, quality, simhash, substrings
 
 LONG = "\n".join(" ".join(f"w{i * j % 977}" for j in range(1, 40)) for i in range(1, 700))
 ROWS = [
@@ -30,14 +30,14 @@ def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for df in (
         quality.quality_rules(none)[0], quality.kept_documents(none), license.scan_licenses(none), line_dedup.deduped_documents(none), simhash.near_duplicates(none),
-        simhash.one_of_each(none), mixing.mix(none), mixing.mixed_documents(none), substrings.remove_repeats(none), decontaminate.contaminated(none, none.selectExpr("doc_id item_id", "text")),
+        near_copies.one_of_each(none), mixing.mix(none), mixing.mixed_documents(none), substrings.remove_repeats(none), decontaminate.contaminated(none, none.selectExpr("doc_id item_id", "text")),
         langid.predict(none, langid.train(none)), html.main_text(none.selectExpr("doc_id page_id", "text url", "text html")), chat.format_chats(none.selectExpr("doc_id conv_id", "doc_id turn", "lang role", "text")),
     ):
         assert df.count() == 0
 
 
 def test_columns_pass(docs):
-    for f in (quality.kept_documents, line_dedup.deduped_documents, simhash.one_of_each):
+    for f in (quality.kept_documents, line_dedup.deduped_documents, near_copies.one_of_each):
         out = f(docs)
         assert out.columns == docs.columns
         assert all(r["host"] == "x" and r["size"] == "x" for r in out.collect())

@@ -20,18 +20,29 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: bytes, words: int = 4) -> int:
-    """SimHash of word shingles by XXH64 (seed 42): a bit is 1 if set in over half the hashes; no word gives 0."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles, repeats included; the whole sequence if it is shorter, none without a word."""
     w = text.lower().split()  # of bytes: A-Z only, and exactly the six ASCII spaces
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(w[k:] for k in range(words)))) if len(w) >= words else [b" ".join(w)]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, 42) for s in shingles], ">u8")
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.array([digest(s, 42) for s in shingles], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """64 bits, each 1 if it is set in over half of ``h``; none gives 0."""
+    if not len(h):
+        return 0
+    ones = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
+def fingerprint(text: bytes, words: int = 4) -> int:
+    """SimHash of word shingles by XXH64 (seed 42): a bit is 1 if set in over half the hashes; no word gives 0."""
+    return majority(shingle_hashes(text, words))
+
+
 def _fingerprints(words: int):
     def run(batches):
         for batch in batches:
@@ -199,9 +210,3 @@ def near_duplicates(docs: DataFrame, words: int = 4, diff: int = 4) -> DataFrame
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
-
-def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest. Rows that repeat an id are one document; null ids stay."""
-    found = near_duplicates(docs, **parameters)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
