@@ -101,11 +101,11 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     return cut(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
-def frequent_lines(stats: DataFrame, max_share: float, min_docs: int) -> DataFrame:
+def frequent_lines(stats: DataFrame, max_share: float, min_docs: int, max_docs: int) -> DataFrame:
     """``(host, line)`` of lines found in more distinct documents of a host than its limit.
 
-    The limit is ``max(min_docs, max_share x distinct documents of the host)``. Exact
-    copies count once: copies are the business of deduplication, not of this rule.
+    The limit is the share ``max_share`` of the host's distinct documents or ``max_docs``, whichever is reached first, and
+    ``min_docs`` at least. Exact copies count once: copies are the business of deduplication, not of this rule.
     """
     docs = stats.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("n_docs"))
     found = (
@@ -115,14 +115,16 @@ def frequent_lines(stats: DataFrame, max_share: float, min_docs: int) -> DataFra
         .agg(F.count("*").alias("found_in"))
         .where(F.col("found_in") > min_docs)
     )
-    return found.join(docs, "host").where(F.col("found_in") > F.col("n_docs") * max_share).select("host", "line")
+    limit = F.least(F.col("n_docs") * max_share, F.lit(max_docs))
+    return found.join(docs, "host").where(F.col("found_in") > limit).select("host", "line")
 
 
 def quality_rules(
     docs: DataFrame,
     host: str = "source",
     max_share: float = 0.1,
-    min_docs: int = 50,
+    min_docs: int = 4,
+    max_docs: int = 1000,
     min_left: float = 0.3,
     min_words: int = 50,
     max_repeat: float = 0.5,
@@ -139,7 +141,7 @@ def quality_rules(
     judged alike; an empty table gives no rows; other columns of ``docs`` are not read.
     """
     stats = measured(docs, host)
-    frequent = cut(frequent_lines(stats, max_share, min_docs))
+    frequent = cut(frequent_lines(stats, max_share, min_docs, max_docs))
     gone = (
         stats.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
         .select("row", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
@@ -189,7 +191,7 @@ def kept_documents(docs: DataFrame, host: str = "source", **limits) -> DataFrame
             "_hash": F.xxhash64(F.coalesce("text", F.lit(""))),
         }
     )
-    bad = frequent.groupBy(F.col("host").alias("_host")).agg(F.collect_list("line").alias("_bad_lines"))  # under 1 / max_share lines a word
+    bad = frequent.groupBy(F.col("host").alias("_host")).agg(F.collect_list("line").alias("_bad_lines"))  # those of one host
     named = keyed.join(keep, key, "left_semi").join(bad, "_host", "left").select(*docs.columns, "_bad_lines")
     out = named.mapInArrow(_drop_lines, docs.schema)
     if "n_chars" in docs.columns:
