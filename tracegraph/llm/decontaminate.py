@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ UNITS = set(
 WORD, NUMBER, UNIT, NAME, END = range(5)
 NUMBER_HASH, UNIT_HASH, NAME_HASH = (np.uint64(xxhash.xxh64_intdigest(f"<{x}>")) for x in ("number", "unit", "name"))
 STEP = np.uint64(0x9E3779B97F4A7C15)
+BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 FILTER_BITS = 20
 
 
@@ -56,19 +58,20 @@ class Codes(dict):
         return self.k[codes], self.h[codes]
 
 
-def template(tokens: list[str], codes: Codes, names: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def template(tokens: list[str], codes: Codes, names: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place of each word in ``tokens``, its template hash, whether it is a slot).
 
-    Slots: numbers, unit words right after a number, and, with ``names``, capitalised words that do not open a sentence.
+    Slots: numbers, unit words right after a number, and, with ``names`` 1, capitalised words that do not open a sentence; with 2 all
+    capitalised words, a run of them as one slot.
     """
     if not tokens:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     kind, h = codes.arrays(tokens)
     before = np.r_[np.int8(END), kind[:-1]]
     number, unit = kind == NUMBER, (kind == UNIT) & (before == NUMBER)
-    name = (kind == NAME) & (before != END) & names
+    name = (kind == NAME) & ((before != END) | (names == 2)) & bool(names)
     t = np.where(number, NUMBER_HASH, np.where(unit, UNIT_HASH, np.where(name, NAME_HASH, h)))
-    keep = np.flatnonzero(kind != END)
+    keep = np.flatnonzero((kind != END) & ~(name & (before == NAME) & (names == 2)))
     return keep, t[keep], (number | unit | name)[keep]
 
 
@@ -88,80 +91,209 @@ def windows(t: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return at, h[at]
 
 
-def _find(size: int, wanted: bytes | None):
-    """Rows ``(key, variant, pos, h, slots)`` of the windows whose hash the filter lets through."""
+def whole(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` words, taken as they are."""
+    n = len(h) - size + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    power = np.r_[np.uint64(1), np.cumprod(np.full(len(h), STEP))]
+    sums[1:] = np.cumsum(h * power[:-1])
+    out = (sums[size:] - sums[:-size]) * np.r_[np.uint64(1), np.cumprod(np.full(n, BACK))][:n]  # as if each began the text
+    out ^= out >> np.uint64(29)
+    out = out * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(size)
+    return out ^ out >> np.uint64(32)
+
+
+def _find(size: int, least: int, wanted: bytes | None, lengths: list[int] = ()):
+    """Rows ``(key, variant, pos, word, h, slots)`` of the windows whose hash the filter lets through; without one, of items.
+
+    Variants 0 to 2 are the templates; 3 is the whole literal text of items with few windows, in documents all runs of their ``lengths``.
+    """
     open_to = None if wanted is None else np.unpackbits(np.frombuffer(wanted, np.uint8)).astype(bool)
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+
+    def let(at, h):
+        if open_to is None or not len(h):
+            return at, h
+        ok = open_to[h >> np.uint64(64 - FILTER_BITS)]
+        return at[ok], h[ok]
 
     def run(batches):
         codes = Codes()
         for batch in batches:
-            keys, out = batch.column("key").to_pylist(), ([], [], [], [], [])
+            keys, out = batch.column("key").to_pylist(), tuple([] for _ in kinds)
+            add = lambda *row: [col.append(v) for col, v in zip(out, row)]
             for key, text in zip(keys, batch.column("text").to_pylist()):
                 tokens = TOKEN.findall(text or "")
-                done = None
-                for variant in (0, 1):
-                    place, t, slot = template(tokens, codes, bool(variant))
-                    if variant and done is not None and (t == done).all():
+                plain, few = None, False
+                for variant in (0, 1, 2):
+                    place, t, slot = template(tokens, codes, variant)
+                    if variant and len(t) == len(plain) and (t == plain).all():
                         continue  # no names: as without them
-                    done = t
                     at, h = windows(t, slot, size)
-                    if open_to is not None and len(h):
-                        ok = open_to[h >> np.uint64(64 - FILTER_BITS)]
-                        at, h = at[ok], h[ok]
+                    if not variant:
+                        plain, words, few = t, place, len(at) < least
+                    at, h = let(at, h)
                     for a, x in zip(at.tolist(), h.view(np.int64).tolist()):
-                        values = [tokens[place[a + k]].lower() for k in np.flatnonzero(slot[a : a + size])]
-                        for col, v in zip(out, (key, variant, a, x, values)):
-                            col.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, ty) for c, ty in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())))],
-                names=["key", "variant", "pos", "h", "slots"],
-            )
+                        values = []
+                        for k in (a + np.flatnonzero(slot[a : a + size])).tolist():
+                            stop = place[k] + 1
+                            if variant == 2:
+                                end = place[k + 1] if k + 1 < len(place) else len(tokens)
+                                while stop < end and tokens[stop] not in ".!?\n":
+                                    stop += 1
+                            values.append(" ".join(tokens[place[k] : stop]).lower())
+                        add(key, variant, a, int(np.searchsorted(words, place[a])), x, values)
+                n = len(words)
+                if wanted is None and not few:
+                    continue
+                literal = codes.arrays(tokens)[1][words] if n else words.astype(np.uint64)
+                for length in lengths if wanted is not None else [n] if n else []:
+                    h = whole(literal, length)
+                    at, h = let(np.arange(len(h)), h)
+                    for a, x in zip(at.tolist(), h.view(np.int64).tolist()):
+                        first, last = words[a], words[a + length - 1]
+                        alone = (first == 0 or tokens[first - 1] in ".!?\n") and (last + 1 == len(tokens) or tokens[last + 1] in ".!?\n")
+                        if wanted is None or alone or 2 * length >= size:
+                            add(key, 3, a, a, x, [tokens[k].lower() for k in words[a : a + length]])
+            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(out, kinds)], names=["key", "variant", "pos", "word", "h", "slots"])
+
+    return run
+
+
+def consistent(found: list[tuple], need: int) -> list[tuple]:
+    """The most of the windows ``(bpos, dpos, word, slot pairs)`` whose slot values map one to one together; none if under ``need``.
+
+    Of two pairs that clash, the windows of either are left out in turn; beyond 300 turns those of the rarer one.
+    """
+    best, turns = [], 0
+
+    def search(left):
+        nonlocal best, turns
+        if len(left) < need or len(left) <= len(best):
+            return
+        to, back, clash = {}, {}, None
+        for w in left:
+            for x, y in w[3]:
+                if to.setdefault(x, y) != y:
+                    clash = (x, y), (x, to[x])
+                elif back.setdefault(y, x) != x:
+                    clash = (x, y), (back[y], y)
+                if clash:
+                    break
+            if clash:
+                break
+        if not clash:
+            best = left
+            return
+        turns += 1
+        ways = sorted(([w for w in left if p not in w[3]] for p in clash), key=len, reverse=True)
+        for way in ways if turns <= 300 else ways[:1]:
+            search(way)
+
+    search(found)
+    return best
+
+
+def in_order(found: list[tuple]) -> list[tuple]:
+    """The longest chain of windows that come one after the other in item and document."""
+    ends, at, before = [], [], []
+    found = sorted(found, key=lambda w: (w[0], -w[1]))
+    for i, w in enumerate(found):
+        k = bisect_left(ends, w[1])
+        ends[k : k + 1], at[k : k + 1] = [w[1]], [i]
+        before.append(at[k - 1] if k else -1)
+    out, i = [], at[-1] if at else -1
+    while i >= 0:
+        out.append(found[i])
+        i = before[i]
+    return out[::-1]
+
+
+def aligned(found: list[tuple], need: int, drift: int) -> tuple[int, bool, int] | None:
+    """(windows, whether exact, first word) of the best place: at one shift, or over shifts that are ``drift`` words apart at most."""
+    shifts: dict[int, list] = {}
+    for w in set(found):
+        shifts.setdefault(w[1] - w[0], []).append(w)
+    ways, near = list(shifts.values()), []
+    for s in sorted(shifts):
+        if near and s - near[-1] > drift:
+            ways += [in_order([w for n in near for w in shifts[n]])] if len(near) > 1 else []
+            near = []
+        near.append(s)
+    ways += [in_order([w for n in near for w in shifts[n]])] if len(near) > 1 else []
+    best = None
+    for way in ways:
+        part = consistent(sorted(way, key=lambda w: w[:3]), max(need, best[0] if best else 0))
+        if part:
+            key = (len(part), all(x == y for w in part for x, y in w[3]), -min(w[2] for w in part))
+            best = max(best, key) if best else key
+    return best
+
+
+def _align_batches(drift: int):
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    names = ["doc_id", "item_id", "n_windows", "item_windows", "first_word", "exact"]
+
+    def run(batches):
+        for batch in batches:
+            out = tuple([] for _ in kinds)
+            for r in batch.to_pylist():
+                found = [(w["bpos"], w["dpos"], w["word"], frozenset((z["x"], z["y"]) for z in w["slots"])) for w in r["found"]]
+                if got := aligned(found, r["need"], drift):
+                    for col, v in zip(out, (r["doc_id"], r["item_id"], got[0], r["item_windows"], -got[2], got[1])):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
 
     return run
 
 
-FOUND = "key long, variant int, pos int, h long, slots array<string>"
+FOUND = "key long, variant int, pos int, word int, h long, slots array<string>"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 6) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 6, drift: int = 3) -> DataFrame:
     """``doc_id, item_id, n_windows, item_windows, first_word, exact``: benchmark items that stand in documents.
 
     Both sides become templates; their windows of ``window`` words are joined on the hash. A window counts if its
     slot values can be mapped one to one onto the item's; an item is found in a document where ``least`` windows
-    (all, if it has fewer) stand at one distance and their slots are consistent together. ``exact``: the
-    values are the same too; otherwise the question was given new parameters. Texts are compared with
-    capitalised names as slots and also without. Items of fewer than ``window`` words match nothing; null texts and ids are
-    ignored; repeated rows and ties give one row per (doc_id, item_id). The benchmark's hashes
-    are filtered by a bitmap of fixed size (2**20 bits) before any shuffle; it decides nothing.
+    (all, if it has fewer) stand at one distance, or in order at distances ``drift`` words apart at most, and their slots are
+    consistent together; windows that clash with the most that agree are left out. ``exact``: the values of the windows
+    counted are the same too; otherwise the question was given new parameters. Texts are compared without names, with
+    capitalised words inside sentences as slots, and with all capitalised words and runs of them as slots. An item with under
+    ``least`` windows is also found where its whole text stands word for word (``n_windows`` is 1); one of under half a window's words
+    only as a sentence or line of its own. Null texts and ids are ignored; repeated rows and ties give one row per
+    (doc_id, item_id). The benchmark's hashes are filtered by a bitmap of fixed size (2**20 bits) before any shuffle; it decides nothing.
     """
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("key"), "text").distinct()
-    items = cut(items.mapInArrow(_find(window, None), FOUND).distinct())
+    items = cut(items.mapInArrow(_find(window, least, None), FOUND).distinct())
     bits = np.zeros(1 << FILTER_BITS, bool)
     used = items.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).alias("b")).distinct()  # 2**20 at most
     bits[[r.b for r in used.collect()]] = True
     totals = items.groupBy("key", "variant").agg(F.countDistinct("pos").alias("item_windows"))
+    lengths = sorted(r.n for r in items.where("variant = 3").select(F.size("slots").alias("n")).distinct().collect())
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("key"), "text")
-    hits = rows.mapInArrow(_find(window, np.packbits(bits).tobytes()), FOUND)
+    hits = rows.mapInArrow(_find(window, least, np.packbits(bits).tobytes(), lengths), FOUND)
     pair = hits.alias("d").join(items.alias("b"), ["h", "variant"]).select(
-        F.col("d.key").alias("doc_id"), F.col("b.key").alias("item_id"), "variant", F.col("d.pos").alias("dpos"), F.col("b.pos").alias("bpos"),
+        F.col("d.key").alias("doc_id"), F.col("b.key").alias("item_id"), "variant", F.col("d.pos").alias("dpos"), F.col("b.pos").alias("bpos"), F.col("d.word").alias("word"),
         F.arrays_zip(F.col("b.slots").alias("x"), F.col("d.slots").alias("y")).alias("slots"),
     )
     count = lambda c: F.size(F.array_distinct(c))
     one_to_one = lambda s: (count(s) == count(F.transform(s, lambda z: z["x"]))) & (count(s) == count(F.transform(s, lambda z: z["y"])))
     slots = F.col("slots")
+    same = (F.col("variant") < 3) | F.forall("slots", lambda z: z["x"].eqNullSafe(z["y"]))
     lined = (
-        pair.where(one_to_one(slots))
-        .withColumn("shift", F.col("dpos") - F.col("bpos"))
-        .groupBy("doc_id", "item_id", "variant", "shift")  # an item's windows at most
-        .agg(F.countDistinct("bpos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"), F.min("dpos").alias("first_word"))
-        .where(one_to_one(slots))
+        pair.where(one_to_one(slots) & same)
+        .groupBy("doc_id", "item_id", "variant")  # windows of one document
+        .agg(F.collect_set(F.struct("bpos", "dpos", "word", "slots")).alias("found"))
         .join(totals.withColumnRenamed("key", "item_id"), ["item_id", "variant"])
-        .where((F.col("n_windows") >= F.least(F.lit(least), F.col("item_windows"))))
+        .withColumn("need", F.least(F.lit(least), F.col("item_windows")))
+        .where(F.size("found") >= F.col("need"))
+        .mapInArrow(_align_batches(drift), "doc_id long, item_id long, n_windows long, item_windows long, first_word long, exact boolean")
     )
-    best = F.struct("n_windows", F.forall("slots", lambda z: z["x"] == z["y"]).alias("exact"), (-F.col("first_word")).alias("f"), "item_windows")
+    best = F.struct("n_windows", "exact", (-F.col("first_word")).alias("f"), "item_windows")
     return lined.groupBy("doc_id", "item_id").agg(F.max(best).alias("m")).select(
-        "doc_id", "item_id", F.col("m.n_windows").cast("long").alias("n_windows"), F.col("m.item_windows").cast("long").alias("item_windows"),
-        (-F.col("m.f")).cast("long").alias("first_word"), F.col("m.exact").alias("exact"),
+        "doc_id", "item_id", "m.n_windows", "m.item_windows", (-F.col("m.f")).alias("first_word"), F.col("m.exact").alias("exact"),
     )
 
 
