@@ -137,12 +137,27 @@ def container_scores(html: str) -> dict[str, float]:
     return {path: share + 0.01 * path.count(">") + (0.25 if re.search(r">(article|main)[^>]*$", path) else 0) for path, share in held.items() if share >= 0.3}
 
 
+def holds_enough(blocks: list[Block], paths: list[str], path: str, best: str | None) -> bool:
+    """Whether the containers with ``path`` hold a fair share of the good text of the page's best ones.
+
+    Fair: half of what the best ones hold beside them; where the best ones enclose them, a quarter, as narrowing is what the vote is for. Without a best container all text counts as its text.
+    """
+    own = there = 0
+    for b in blocks:
+        good = max(0, len(SPACE.sub(" ", "".join(b)).strip()) - 2 * b.links)
+        inside = {paths[k] for k in b.inside}
+        own += good * (path in inside)
+        there += good * (best is None or best in inside)
+    return own >= (0.25 if best is None or path.startswith(best + ">") else 0.5) * there
+
+
 def extract(html: str, path: str | None) -> tuple[str, str | None]:
-    """(text of the containers with that path, the path used); without such containers, the page's best path."""
+    """(text of the containers with that path, the path used); without such containers, or if they hold little of it, the page's best path."""
     blocks, paths = read(html)
-    if path not in paths:
-        scores = container_scores(html)
-        path = max(scores, key=lambda p: (scores[p], p)) if scores else None
+    scores = container_scores(html)
+    best = max(scores, key=lambda p: (scores[p], p)) if scores else None
+    if path not in paths or not holds_enough(blocks, paths, path, best):
+        path = best
     wanted = {k for k, p in enumerate(paths) if p == path}
     texts = (tidy(b) for b in blocks if path is None or wanted.intersection(b.inside))
     return "\n".join(t for t in texts if t), path
@@ -187,7 +202,7 @@ def winning_paths(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars, path`` of every row of ``pages``, read with its host's winning path.
 
-    Two passes over the pages and one small vote table between them; a page without the winning path falls back on its own
+    Two passes over the pages and one small vote table between them; a page without the winning path, or with little of its good text there, falls back on its own
     best container, and on all text outside boilerplate where none holds enough. Null or empty html gives empty text; null urls form one host;
     repeated rows are extracted alike; an empty table gives no rows; other columns are not read.
     """
