@@ -24,7 +24,8 @@ NOTICES = {
 }
 PERMISSIVE = {"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "unlicense", "cc0-1.0", "0bsd", "bsl-1.0", "cc-by-4.0"}
 TAG = "spdx license identifier"
-TAG_LINE = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]{1,400})", re.I)
+TAG_START = re.compile(rb"spdx-license-identifier:", re.I)
+LINE_END = re.compile(rb"[\r\n]|\Z")
 TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -34,6 +35,26 @@ TABLE = bytes(
 )
 
 
+def expressions(text: bytes):
+    """What stands behind each tag, up to the end of its line or the next tag."""
+    tags = list(TAG_START.finditer(text))
+    for m, after in zip(tags, [m.start() for m in tags[1:]] + [len(text)]):
+        yield text[m.end() : LINE_END.search(text, m.end(), after).start()]
+
+
+def written(tree) -> str:
+    """The text of nested ``(left, operator, right)``, without recursion, as lines may be long."""
+    out, todo = [], [tree]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, str):
+            out.append(at)
+        else:
+            left, op, right = at
+            todo += [right, " with ", left] if op == "with" else [")", right, f" {op} ", left, "("]
+    return "".join(out)
+
+
 def evaluate(expression: str) -> tuple[str, frozenset[str], bool] | None:
     """``(normalised text, licences named, whether permissive terms can be had)`` of an expression.
 
@@ -41,7 +62,7 @@ def evaluate(expression: str) -> tuple[str, frozenset[str], bool] | None:
     a choice, so one permissive side is enough; ``and`` needs both; an exception leaves its licence's terms.
     None where the expression is not well formed.
     """
-    out: list[tuple[str, frozenset[str], bool]] = []
+    out: list[tuple] = []  # nested text, licences, whether permissive
     ops: list[str] = []
 
     def apply() -> bool:
@@ -50,15 +71,17 @@ def evaluate(expression: str) -> tuple[str, frozenset[str], bool] | None:
             return False
         (bt, bl, bp), (at, al, ap) = out.pop(), out.pop()
         if op == "with":
-            if len(al) != 1 or len(bl) != 1 or " " in at + bt:
+            if not isinstance(at, str) or not isinstance(bt, str):
                 return False
-            out.append((f"{at} with {bt}", al, ap))
+            out.append(((at, op, bt), al, ap))
         else:
-            out.append((f"({at} {op} {bt})", al | bl, (ap or bp) if op == "or" else (ap and bp)))
+            few, many = sorted((al, bl), key=len)
+            many |= few
+            out.append(((at, op, bt), many, (ap or bp) if op == "or" else (ap and bp)))
         return True
 
     operand = True
-    for token in TOKEN.findall(expression):
+    for token in (m[0] for m in TOKEN.finditer(expression)):
         low = token.lower()
         if low in RANK:
             if operand:
@@ -84,12 +107,12 @@ def evaluate(expression: str) -> tuple[str, frozenset[str], bool] | None:
         else:
             if not operand:
                 break  # prose after the expression
-            out.append((low, frozenset([low]), low in PERMISSIVE))
+            out.append((low, {low}, low in PERMISSIVE))
             operand = False
     while ops:
         if not apply():
             return None
-    return out[0] if len(out) == 1 and not operand else None
+    return (written(out[0][0]), frozenset(out[0][1]), out[0][2]) if len(out) == 1 and not operand else None
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -114,8 +137,8 @@ def scan(text: bytes, machine: ahocorasick.Automaton) -> tuple:
         if label:
             labels.add(label)
     if "tag" in kinds:
-        for m in TAG_LINE.finditer(text):
-            if value := evaluate(m[1].decode("utf-8", "replace")):
+        for expression in expressions(text):
+            if value := evaluate(expression.decode("utf-8", "replace")):
                 found.append(f"{value[0]}: {'permissive' if value[2] else 'restricted'}")
                 labels |= value[1]
     first = flat.count(" ", 0, min(starts)) if starts else None
