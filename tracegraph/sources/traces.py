@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import event_weight
@@ -22,10 +22,22 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("session_id", (F.col("base") + F.col("r")).alias("idx"), "line")
 
 
+def finite(line: Column) -> Column:
+    """Bare NaN and Infinity as null: some writers put them where numbers stand."""
+    plain = F.regexp_replace(line, r"([:\[,]\s*)-?(?:NaN|Infinity)(?=\s*[,\]}])", "$1null")
+    return F.when(line.rlike("NaN|Infinity"), plain).otherwise(line)
+
+
+def whole_json(line: Column) -> Column:
+    """The line as a variant if all of it is one JSON value; the parser itself passes over what follows the first value."""
+    inside = lambda a, z: F.try_parse_json(F.concat(F.lit(a), line, F.lit(z)))
+    return F.when(inside('{"v":', "}").isNotNull(), F.try_variant_get(inside("[", "]"), "$[0]", "variant"))
+
+
 def read_trace(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
     """Trace events of JSON lines. A malformed line uses up an index but gives no event; FAILFAST makes it an error; DROPMALFORMED also drops
     what is no object or has no string node id."""
-    lines = read_lines(spark, path).withColumn("v", F.try_parse_json("line"))
+    lines = read_lines(spark, path).withColumn("line", finite(F.col("line"))).withColumn("v", whole_json(F.col("line")))
     v = F.col("v")
     if mode == "FAILFAST":
         lines = lines.withColumn("v", F.when(F.assert_true(v.isNotNull(), F.concat(F.lit("malformed line "), F.col("idx").cast("string"))).isNull(), v))
