@@ -26,8 +26,28 @@ PERMISSIVE = {"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "zlib"
 TAG = "spdx license identifier"
 TAG_START = re.compile(rb"spdx-license-identifier:", re.I)
 LINE_END = re.compile(rb"[\r\n]|\Z")
-TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
-RANK = {"or": 1, "and": 2, "with": 3}
+TOKEN = re.compile(r"\s*(\(|\)|,|/|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
+RANK = {",": 0, "or": 1, "/": 1, "and": 2, "with": 3}
+SAID = {",": "and", "/": "or"}  # a list names licences that all hold; a slash offers a choice
+# Licence identifiers that an expression may name, and exceptions behind "with".
+IDS = set(
+    "0bsd afl-2.1 afl-3.0 apache-1.0 apache-1.1 apache-2.0 apsl-2.0 artistic-1.0 artistic-2.0 blueoak-1.0.0 bsd-1-clause bsd-2-clause"
+    " bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-4-clause bsl-1.0 busl-1.1 bzip2-1.0.6 cc0-1.0 cddl-1.0 cddl-1.1 cecill-2.1"
+    " cecill-b cecill-c cpl-1.0 curl ecl-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 ftl hpnd icu ijg ipl-1.0 isc libpng libpng-2.0 lppl-1.3c mit"
+    " mit-0 mit-cmu mpl-1.0 mpl-1.1 mpl-2.0 mpl-2.0-no-copyleft-exception ms-pl ms-rl mulanpsl-2.0 ncsa odbl-1.0 ofl-1.0 ofl-1.1 openssl osl-3.0"
+    " php-3.0 php-3.01 postgresql psf-2.0 python-2.0 qpl-1.0 ruby sgi-b-2.0 sleepycat sspl-1.0 tcl unicode-3.0 unicode-dfs-2016 unlicense"
+    " upl-1.0 vim w3c wtfpl x11 zlib zlib-acknowledgement zpl-2.0 zpl-2.1".split()
+)
+EXCEPTIONS = set(
+    "autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 bootloader-exception classpath-exception-2.0 font-exception-2.0"
+    " freertos-exception-2.0 gcc-exception-2.0 gcc-exception-3.1 gpl-cc-1.0 libtool-exception linux-syscall-note llvm-exception mif-exception"
+    " ocaml-lgpl-linking-exception openjdk-assembly-exception-1.0 qt-gpl-exception-1.0 qt-lgpl-exception-1.1 swift-exception u-boot-exception-2.0"
+    " universal-foss-exception-1.0 wxwindows-exception-3.1".split()
+)
+FAMILIES = re.compile(
+    r"(?:(?:gpl-[123]\.0|lgpl-(?:2\.0|2\.1|3\.0)|agpl-[13]\.0|gfdl-1\.[123])(?:-only|-or-later)?|cc-by(?:-nc)?(?:-sa|-nd)?-[1-4]\.0"
+    r"|(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+)"
+)
 
 _LOW = bytes(range(65, 91))
 TABLE = bytes(
@@ -55,12 +75,19 @@ def written(tree) -> str:
     return "".join(out)
 
 
+def known(name: str) -> bool:
+    """Whether a licence is so called, ``+`` for later versions left aside; own names start with ``LicenseRef-``."""
+    name = name.lower().removesuffix("+")
+    return name in IDS or bool(FAMILIES.fullmatch(name))
+
+
 def evaluate(expression: str) -> tuple[str, frozenset[str], bool] | None:
     """``(normalised text, licences named, whether permissive terms can be had)`` of an expression.
 
     Shunting-yard: ``with`` binds tightest (licence with exception), then ``and``, then ``or``. ``or`` offers
-    a choice, so one permissive side is enough; ``and`` needs both; an exception leaves its licence's terms.
-    None where the expression is not well formed.
+    a choice, so one permissive side is enough; ``and`` needs both; an exception leaves its licence's terms. A comma joins like ``and``,
+    but loosest of all, a slash like ``or``. Names must be licence identifiers (:func:`known`), so prose gives no label; what follows a well-formed
+    expression is prose too. None where the expression is not well formed.
     """
     out: list[tuple] = []  # nested text, licences, whether permissive
     ops: list[str] = []
@@ -77,11 +104,13 @@ def evaluate(expression: str) -> tuple[str, frozenset[str], bool] | None:
         else:
             few, many = sorted((al, bl), key=len)
             many |= few
+            op = SAID.get(op, op)
             out.append(((at, op, bt), many, (ap or bp) if op == "or" else (ap and bp)))
         return True
 
-    operand = True
-    for token in (m[0] for m in TOKEN.finditer(expression)):
+    operand, at = True, 0
+    while m := TOKEN.match(expression, at):
+        token, at = m[1], m.end()
         low = token.lower()
         if low in RANK:
             if operand:
@@ -93,7 +122,7 @@ def evaluate(expression: str) -> tuple[str, frozenset[str], bool] | None:
             operand = True
         elif token == "(":
             if not operand:
-                return None
+                break  # prose after the expression
             ops.append(token)
         elif token == ")":
             if operand:
@@ -107,8 +136,16 @@ def evaluate(expression: str) -> tuple[str, frozenset[str], bool] | None:
         else:
             if not operand:
                 break  # prose after the expression
+            behind = ops[-1] if ops else ""
+            if not (low in EXCEPTIONS if behind == "with" else known(low)):
+                if behind not in (",", "/"):
+                    return None
+                break
             out.append((low, {low}, low in PERMISSIVE))
             operand = False
+    if operand and ops and ops[-1] in (",", "/"):  # a comma or slash that no licence follows
+        ops.pop()
+        operand = False
     while ops:
         if not apply():
             return None
