@@ -82,10 +82,9 @@ def test_decontaminate(spark, docs):
 def test_chat(spark):
     convs = defaultdict(list)
     for r in rows("conversations"):
-        if r["conv_id"] != -1:
-            convs[r["conv_id"]].append((r["turn"], r["role"], r["text"] or ""))
+        convs[r["conv_id"]].append((r["turn"], r["role"], r["text"] or ""))
     ok = "</s>[INST] ok [/INST]"
-    convs[-1] = [(0, "user", ok), (1, "assistant", ok)]
+    convs[-1] += [(1 << 40, "user", ok), ((1 << 40) + 1, "assistant", ok)]
     got = by_id(q.op3_chat(spark, SF), "conv_id")
     assert got.keys() == convs.keys()
     for c, turns in convs.items():

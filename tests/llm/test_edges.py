@@ -66,15 +66,29 @@ def test_slots(spark):
 
 
 def test_chat_round_trip(spark):
-    nasty = ["<|end|>", "a\\|b <\\| <|:user|> \\", "</s>[INST] x [/INST]", "", None, "<|more|>", "é\n\n<<SYS>>"]
+    nasty = ["<|end|>", "a\\|b <\\| <|:user|> \\", "</s>[INST] x [/INST]", "", None, "<|more|>", "é\n\n<<SYS>>", "|>|\\>", "<|\U0001f600|>"]
     rows = [(1, i, r, t) for i, (r, t) in enumerate((r, t) for t in nasty for r in ("user", "assistant", "assistant", None))]
     rows += [(None, None, "user", "x"), (2, 5, "user", "tie"), (2, 5, "user", "tie"), (2, None, "system", "s")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat.read_back(chat.format_chats(df)).collect()}
-    assert got[1] == [(r or "", t or "") for _, _, r, t in rows[:28]]
-    assert got[2] == [("system", "s"), ("user", "tie"), ("user", "tie")] and got[None] == [("user", "x")]
-    for r in chat.format_chats(df).select("formatted", "pieces", chat.loss_spans().alias("spans")).collect():
-        assert [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["spans"]] == [p["text"] for p in r["pieces"] if p["loss"]]
+    rows += [(3, 0, "a|>b", "hello"), (3, 1, "a", "|>"), (3, 2, "|", ">"), (3, 3, "<|:\\", "|>x"), (3, 4, "assistant", "|>y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("x") for c in CLASH if c != "turns"})
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_chats(df)).withColumn("loss", chat.loss_text()).collect()}
+    turns = {c: [(t["role"], t["text"]) for t in r["turns"]] for c, r in got.items()}
+    assert turns[1] == [(r or "", t or "") for _, _, r, t in rows[: 4 * len(nasty)]]
+    assert turns[2] == [("system", "s"), ("user", "tie"), ("user", "tie")] and turns[None] == [("user", "x")]
+    assert turns[3] == [r[2:] for r in rows if r[0] == 3]
+    for r in got.values():
+        said = [t for role, t in ((t["role"], t["text"]) for t in r["turns"]) if role == "assistant"]
+        assert r["loss"] == "".join(said) and len(r["loss_spans"]) == len(said)
+        cut = [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"]]
+        assert cut == [r["formatted"].encode()[s["byte"] : s["byte"] + s["bytes"]].decode() for s in r["loss_spans"]]
+    blocks = got[1]["formatted"].count("<|:assistant|>")
+    assert blocks == len(nasty) and got[1]["formatted"].count("<|more|>") == len(nasty)  # adjacent turns of a role share a block
+
+
+def test_one_long_conversation(spark):
+    df = spark.range(20000).selectExpr("7L conv_id", "id turn", "if(id % 3 = 0, 'user', 'assistant') role", "concat('said ', id, '|>') text")
+    r = chat.read_back(chat.format_chats(df)).withColumn("loss", chat.loss_text()).selectExpr("size(turns) n", "length(loss) c", "size(loss_spans) k").first()
+    assert (r.n, r.k) == (20000, 13333) and r.c == sum(len(f"said {i}|>") for i in range(20000) if i % 3)
 
 
 def test_licence_expressions():

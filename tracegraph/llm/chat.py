@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Template:
-    """Blocks ``<|role|>text<|more|>text<|end|>``; every mark starts with ``<|``.
+    """Blocks ``<|:role|>text<|more|>text<|end|>``; every mark starts with ``<|`` and ends with ``|>``.
 
     ``control`` are further strings that a text must not hold as they are, as other templates use them.
     """
 
     more: str = "more"
     end: str = "end"
-    control: tuple[str, ...] = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+    control: tuple[str, ...] = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 
 
 def escape(text: Column, t: Template) -> Column:
@@ -34,11 +34,11 @@ def unescape(text: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame:
-    """One row per ``conv_id``: ``pieces`` array of ``(text, loss)``, and ``formatted``, their concatenation.
+    """One row per ``conv_id``: ``formatted``, the conversation as one string, and ``loss_spans``, where assistants' texts stand in it.
 
     Turns are ordered by ``(turn, role, text)``, nulls first, so ties and repeated rows give one defined
-    order; adjacent turns of one role share a block, with a mark between their texts, so that
-    :func:`read_back` finds every turn again. ``loss`` marks the pieces that hold an assistant's text. Null text and
+    order. An aggregation over the turns merges adjacent ones of one role into a block, with a mark between their texts, so that
+    :func:`read_back` finds every turn again. Null text and
     null role count as empty; null ``conv_id`` rows form one conversation; an empty table gives no
     rows; other columns are not read. A conversation is one output row, so it is as large as that.
     """
@@ -46,22 +46,24 @@ def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     rows = turns.select("conv_id", F.struct("turn", role.alias("role"), escape(text, t).alias("text"), escape(role, t).alias("mark")).alias("t"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), _order).alias("t"))
-    at = lambda i: F.get("t", i)
-    opens = lambda x, i: (i == 0) | (x["role"] != at(i - 1)["role"])
-    mark = lambda body: F.concat(F.lit("<|"), body, F.lit("|>"))
-    head = lambda x, i: F.when(opens(x, i), mark(F.concat(F.lit(":"), x["mark"]))).otherwise(mark(F.lit(t.more)))
-    tail = lambda x, i: F.when((i == F.size("t") - 1) | F.coalesce(x["role"] != at(i + 1)["role"], F.lit(True)), mark(F.lit(t.end))).otherwise(F.lit(""))
-    piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-    pieces = F.flatten(
-        F.transform(
-            "t",
-            lambda x, i: F.array(
-                piece(head(x, i), F.lit(False)), piece(x["text"], x["role"] == "assistant"), piece(tail(x, i), F.lit(False))
-            ),
-        )
+    kind = "struct<role:string,mark:string,texts:array<string>>"
+    none = F.array().cast(f"array<{kind}>")
+    block = lambda role, mark, texts: F.struct(role.alias("role"), mark.alias("mark"), texts.alias("texts"))
+    # blocks that are done, and the one that still grows
+    first = F.struct(none.alias("done"), F.lit(None).cast(kind).alias("open"))
+    new = lambda x: block(x["role"], x["mark"], F.array(x["text"]))
+    merge = lambda acc, x: (
+        F.when(acc["open"].isNull(), F.struct(acc["done"].alias("done"), new(x).alias("open")))
+        .when(acc["open"]["role"] == x["role"], F.struct(acc["done"].alias("done"), block(x["role"], x["mark"], F.array_append(acc["open"]["texts"], x["text"])).alias("open")))
+        .otherwise(F.struct(F.array_append(acc["done"], acc["open"]).alias("done"), new(x).alias("open")))
     )
-    return grouped.select("conv_id", pieces.alias("pieces")).select(
-        "conv_id", "pieces", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted")
+    blocks = grouped.select("conv_id", F.aggregate("t", first, merge, lambda acc: F.array_append(acc["done"], acc["open"])).alias("b"))
+    piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
+    fixed = lambda *parts: piece(F.concat(F.lit("<|"), *parts, F.lit("|>")), F.lit(False))
+    said = lambda b: F.transform(b["texts"], lambda x, i: F.array(F.when(i == 0, fixed(F.lit(":"), b["mark"])).otherwise(fixed(F.lit(t.more))), piece(x, b["role"] == "assistant")))
+    pieces = F.flatten(F.transform("b", lambda b: F.array_append(F.flatten(said(b)), fixed(F.lit(t.end)))))
+    return blocks.select("conv_id", pieces.alias("pieces")).select(
+        "conv_id", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"), loss_spans("pieces").alias("loss_spans")
     )
 
 
@@ -72,21 +74,28 @@ def _order(a: Column, b: Column) -> Column:
     return F.coalesce(nulls, by(a["turn"], b["turn"]), by(a["role"], b["role"]), by(a["text"], b["text"]), F.lit(0))
 
 
-def loss_spans(pieces: str = "pieces") -> Column:
-    """``array<struct<start, length>>`` in characters of ``formatted``, for trainers that want spans."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+def loss_spans(pieces: str) -> Column:
+    """``array<struct<start, length, byte, bytes>>``: places of the pieces marked for the loss in their concatenation, in characters and in UTF-8 bytes."""
+    zero = F.expr("struct(0L as at, 0L as byte, cast(array() as array<struct<start:bigint,length:bigint,byte:bigint,bytes:bigint>>) as spans)")
+    size = lambda p: (F.length(p["text"]).cast("long"), F.octet_length(p["text"]).cast("long"))
+    span = lambda acc, p: F.struct(acc["at"].alias("start"), size(p)[0].alias("length"), acc["byte"].alias("byte"), size(p)[1].alias("bytes"))
     step = lambda acc, p: F.struct(
-        (acc["at"] + F.length(p["text"])).alias("at"),
-        F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), F.length(p["text"]).cast("long").alias("length")))))
-        .otherwise(acc["spans"]).alias("spans"),
+        (acc["at"] + size(p)[0]).alias("at"), (acc["byte"] + size(p)[1]).alias("byte"),
+        F.when(p["loss"], F.array_append(acc["spans"], span(acc, p))).otherwise(acc["spans"]).alias("spans"),
     )
     return F.aggregate(pieces, zero, step, lambda acc: acc["spans"])
 
 
+def loss_text(formatted: str = "formatted", spans: str = "loss_spans") -> Column:
+    """All text under the loss mask, cut out of the formatted string by bytes and unescaped, in order and with nothing between."""
+    cut_out = lambda raw: F.array_join(F.transform(spans, lambda s: F.substr(raw, (s["byte"] + 1).cast("int"), s["bytes"].cast("int")).cast("string")), "")
+    return unescape(F.transform(F.array(F.col(formatted).cast("binary")), cut_out)[0])
+
+
 def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:
     """The turns again, from ``formatted`` alone: ``turns`` array of ``(role, text)`` beside the given columns.
 
-    The string is cut into blocks at role marks and each block at ``more`` marks.
+    The string is cut into blocks at role marks and each block at ``more`` marks. A role ends at the first ``|>``, as roles hold none unescaped.
     """
     t = template
     blocks = F.filter(F.split("formatted", r"<\|:", -1), lambda b, i: i > 0)

@@ -24,11 +24,11 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in turns.schema)
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], kinds)
-    done = chat.read_back(chat.format_chats(turns.where("not conv_id <=> -1").unionByName(extra)))
-    loss = chat.unescape(F.array_join(F.transform(F.filter("pieces", lambda p: p["loss"]), lambda p: p["text"]), ""))
+    last = (1 << 15) - 2  # behind turns that a conversation -1 of the table may have
+    extra = spark.createDataFrame([(-1, last, "user", said), (-1, last + 1, "assistant", said)], kinds)
+    done = chat.read_back(chat.format_chats(turns.unionByName(extra)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return done.withColumn("loss", loss).select(
+    return done.withColumn("loss", chat.loss_text()).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
