@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, host_key
+from ._common import cut, host_key, whole
 
 BITS = 40
 UNIT = 1 << BITS
@@ -117,11 +117,13 @@ def schedule(targets: DataFrame, block: int = 256, run: int = 1 << 16) -> DataFr
 def mix(
     docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, block: int = 256, seed: str = "mix"
 ) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` for every row of ``docs``: the words that the mix takes of it.
+    """``doc_id, source, size, source_size, target, taken, first_slot`` for every row of ``docs``: the words that the mix takes of it, and
+    where in the mix the first of them stands.
 
     Each source's documents, shuffled by a seeded hash, form a stream that starts again at its end, at
     most ``max_epochs`` times; the schedule takes its blocks of ``block`` words in order. A source's taken
-    words are its target's whole part. Null source is a source of its own, last in order; null text has size 0 and
+    words are its target's whole part. Read by ``first_slot`` (null where nothing is taken) the mix keeps near the target weights from the first
+    slots on. Null source is a source of its own, last in order; null text has size 0 and
     is never taken; null ids and repeated rows are placed like others; an empty table gives no rows.
     """
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
@@ -145,22 +147,22 @@ def mix(
         .withColumn("took", F.least(F.col("z"), F.col("rank") * block + F.col("words")) - F.greatest(F.col("a"), F.col("rank") * block))
         .where("took > 0")
         .groupBy("skey", "start")
-        .agg(F.sum("took").alias("taken"))
+        .agg(F.sum("took").alias("taken"), F.min("slot").alias("first_slot"))
     )
     out = at.join(parts.hint("merge"), ["skey", "start"], "left")
     taken = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    slot = F.when(F.col("size") > 0, F.col("first_slot"))
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), slot.alias("first_slot"))
 
 
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents of the mix: given columns, then ``size, source_size, target, taken`` (in place of columns so named); documents with ``taken`` 0 are out.
+    """The documents of the mix: given columns, then ``size, source_size, target, taken, first_slot`` (in place of columns so named); documents with ``taken`` 0 are out.
 
-    Rows that share id, source and size get the largest take among them.
+    Rows that share id, source and size get the largest take and the first slot among them.
     """
-    key = ["_id", "_skey", "size"]
-    took = mix(docs, **parameters).select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), host_key("source").alias("_skey"), "size", "source_size", "target", "taken"
-    ).groupBy(*key).agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("taken").alias("taken"))
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    named = docs.select(*own, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), host_key("source").alias("_skey"), word_count().alias("size"))
-    return named.join(took.where("taken > 0"), key).select(*own, "size", "source_size", "target", "taken")
+    ident, key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("ident"), ["ident", "skey", "size"]
+    new = ["size", "source_size", "target", "taken", "first_slot"]
+    took = mix(docs, **parameters).where("taken > 0").select(ident, host_key("source").alias("skey"), *new)
+    took = took.groupBy(*key).agg(*(F.max(c).alias(c) for c in new[1:4]), F.min("first_slot").alias("first_slot"))
+    named = docs.select(whole(docs.drop(*new)), ident, host_key("source").alias("skey"), word_count().alias("size"))
+    return named.join(took, key).select("doc.*", *new)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, langid, license, line_dedup, mixing, quality, simhash, substrings
+from . import chat, decontaminate, html, langid, license, line_dedup, mixing, oracle, quality, simhash, substrings
 from ._common import table
 
 
@@ -45,7 +45,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
-        "doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed_lines"),
+        "doc_id", "n_lines", "n_removed_lines",
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
 
@@ -55,7 +55,7 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.SQL
