@@ -176,14 +176,22 @@ def test_licenses(spark, docs):
         assert labels <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
 
 
-def test_line_dedup(spark, docs):
-    from tracegraph.llm.line_dedup import chunks
+def passages(b):
+    """Line ranges compared by line dedup: content-defined chunks, and pairs of adjacent lines with words."""
+    lines = b.split(b"\n")
+    h = [xxhash.xxh64(x).intdigest() for x in lines]
+    ends = [0] + [i + 1 for i in range(1, len(lines)) if ((h[i - 1] * 0x9E3779B97F4A7C15 + h[i]) >> 17) % 4 == 0]
+    ends += [len(lines)] if ends[-1] < len(lines) else []
+    said = [i for i, x in enumerate(lines) if x.strip()]
+    return sorted(set(zip(ends, ends[1:])) | {(a, z + 1) for a, z in zip(said, said[1:])})
 
+
+def test_line_dedup(spark, docs):
     seen, want = set(), {}
     for d in sorted(docs, key=lambda d: d["doc_id"]):
         b = (d["text"] or "").encode()
         lines, gone = b.split(b"\n"), set()
-        for a, z in chunks(b):
+        for a, z in passages(b):
             body = b"\n".join(lines[a:z])
             if z - a >= 2 and sum(bool(x.strip()) for x in lines[a:z]) >= 2:
                 if body in seen:
@@ -196,6 +204,15 @@ def test_line_dedup(spark, docs):
     assert any(n for n, _ in want.values())
 
 
+def test_boundaries_do_not_shift():
+    from tracegraph.llm.line_dedup import chunks
+
+    for body in (["same line"] * 200, [f"line {k % 7} of {k % 11}" for k in range(200)]):
+        plain = {(a + 1, z + 1) for a, z in chunks("\n".join(body).encode()) if a > 1}
+        moved = {(a, z) for a, z in chunks("\n".join(["one more", *body]).encode()) if a > 2}
+        assert plain == moved
+
+
 def test_main_text(spark):
     from html import unescape
 

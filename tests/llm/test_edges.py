@@ -11,7 +11,8 @@ ROWS = [
     (4, "Same line here\nand another line\nand a third one\nand more", "en", "a"), (5, "Same line here\nand another line\nand a third one\nand more", "en", "b"),
     (None, None, None, None), (6, " \n\t ", "en", "a"), (5, "other text under a used id", "en", "b"),
 ]
-CLASH = ["host", "row", "bad", "size", "taken", "source_size", "target", "h", "label", "n", "a", "b", "text_hash", "skey", "start", "fp", "key", "covered", "open", "th", "lines", "words", "path", "turns"]
+CLASH = ["host", "row", "bad", "size", "taken", "source_size", "target", "h", "label", "n", "a", "b", "text_hash", "skey", "start", "fp", "key", "covered", "open", "th", "lines", "words", "path", "turns",
+         "_id", "_th", "_gone", "_host", "_hash", "_bad_lines", "_lines", "_removed", "_skey", "doc", "ident", "bad_lines", "gone_ranges", "n_lines", "n_removed_lines", "first_slot"]
 
 
 @pytest.fixture(scope="module")
@@ -37,10 +38,12 @@ def test_empty_tables(spark, docs):
 
 
 def test_columns_pass(docs):
-    for f in (quality.kept_documents, line_dedup.deduped_documents, near_copies.one_of_each):
+    bench = docs.where("doc_id = 4").selectExpr("doc_id item_id", "text")
+    for f in (quality.kept_documents, line_dedup.deduped_documents, near_copies.one_of_each, lambda d: decontaminate.clean_documents(d, bench)):
         out = f(docs)
         assert out.columns == docs.columns
-        assert all(r["host"] == "x" and r["size"] == "x" for r in out.collect())
+        rows = out.collect()
+        assert rows and all(r[c] == "x" for r in rows for c in CLASH)
     out = mixing.mixed_documents(docs)
     assert out.where("size > 0 and taken <= 3 * size").count() == out.count() > 0
 
@@ -128,3 +131,21 @@ def test_pages():
     page = "<html><body><div class='nav-12'>menu</div><div class=post-7><p>First &amp; <b>bold</b>\n text of the page<p>Second one<script>x('<p>')</script></div><div id=comments>no</div><footer>f</footer>"
     assert html.extract(page, None)[0] == "First & bold text of the page\nSecond one"
     assert html.extract("", None) == ("", None)
+
+
+def test_contaminated_rows_without_an_id_go(spark):
+    item = "which of the seven rivers of the old kingdom runs longest through the northern hills"
+    df = spark.createDataFrame([(None, f"see: {item}?"), (None, "clean text of its own"), (1, item), (2, "other")], "doc_id long, text string")
+    left = decontaminate.clean_documents(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(r["text"] for r in left) == ["clean text of its own", "other"]
+    null_items = spark.createDataFrame([(None, item), (2, None), (3, ""), (4, "zebra crossing by the sea"), (4, "zebra crossing by the sea")], "item_id long, text string")
+    twice = df.union(df).union(spark.createDataFrame([(5, "a zebra crossing by the sea"), (5, "a zebra crossing by the sea"), (6, None)], df.schema))
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(twice, null_items).collect()] == [(5, 4)]
+
+
+def test_languages_of_odd_rows(spark, docs):
+    rows = {(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.predict(docs, langid.train(docs)).collect() if r["lang_pred"] == "und"}
+    assert {(1, "und", 0.0), (2, "und", 0.0), (6, "und", 0.0), (None, "und", 0.0)} == rows
+    digits = spark.createDataFrame([(1, "12 34 !?"), (2, "\u4f60\u597d")], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(digits, langid.train(docs)).collect()}
+    assert got[1] == "und" and got[2] != "und"  # letters of no script that was learned have a nearest language, marked as rejected

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it one that no column of ``df`` has (in any case)."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def whole(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct ``doc``, so that columns put beside it cannot clash with them."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc")
+
+
 def host_key(col) -> F.Column:
     """A non-null grouping key: null and any string stay apart."""
     return F.coalesce(F.concat(F.lit("="), F.col(col).cast("string")), F.lit("null"))

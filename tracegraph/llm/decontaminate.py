@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, whole as packed
 
 TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?\n]")
 # Unit words, taken as such right after a number.
@@ -298,6 +298,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item was found; rows with null ids stay."""
-    bad = contaminated(docs, benchmark, **parameters).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` in which no benchmark item was found; columns as given, whatever their names. Rows with null ids are told apart by a hash of their text."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    bad = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, **parameters).select(F.col("doc_id").alias("ident")).distinct()
+    return docs.select(packed(docs), key.alias("ident")).join(bad, "ident", "left_anti").select("doc.*")

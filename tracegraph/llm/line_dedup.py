@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, fresh, whole
 
 SIGNED = 1 << 63
 MIX = 0x9E3779B97F4A7C15
@@ -18,14 +18,15 @@ FILTER_BITS = 22
 def chunks(text: bytes, spread: int = 4) -> list[tuple[int, int]]:
     """``(start, end)`` line numbers of the passages of a text that are compared: its chunks, and each pair of adjacent lines with words.
 
-    The pairs (blank lines between belong to them) carry a match line by line to both ends of a repeated run, however short. A chunk ends behind a line where the rolling hash over it and the line before is 0 modulo ``spread``; the cut depends
-    on two lines only, so lines put in or taken out elsewhere shift no boundary beyond the next.
+    The pairs (blank lines between belong to them) carry a match line by line to both ends of a repeated run, however short. A chunk ends
+    behind a line where the rolling hash over it and the line before is 0 modulo ``spread``. That depends on these two lines alone, so lines put
+    in or taken out elsewhere shift no boundary.
     """
     out, start, before = [], 0, 0
     lines = text.split(b"\n")
     for i, line in enumerate(lines):
         h = xxhash.xxh64_intdigest(line)
-        if i > start and ((before * MIX + h) >> 17) % spread == 0:
+        if i and ((before * MIX + h) >> 17) % spread == 0:
             out.append((start, i + 1))
             start = i + 1
         before = h
@@ -109,40 +110,51 @@ def repeated_chunks(docs: DataFrame, spread: int = 4, least: int = 2) -> DataFra
     return found.where(~place.eqNullSafe(F.col("first"))).select("doc_id", "th", "a", "z")
 
 
-def _remove(batches):
-    for batch in batches:
-        texts, lines, gone = batch.column("text").to_pylist(), [], []
-        for i, ranges in enumerate(batch.column("_gone").to_pylist()):
-            n = texts[i].count("\n") + 1 if texts[i] else 0
-            drop = set()
-            for r in ranges or ():
-                drop.update(range(r["a"], r["z"]))
-            if drop:
-                texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in drop)
-            lines.append(n), gone.append(len(drop))
-        at = batch.schema.get_field_index("text")
-        out = batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string())).drop_columns(["_gone"])
-        out = out.append_column("_lines", pa.array(lines, pa.int64()))
-        yield out.append_column("_removed", pa.array(gone, pa.int64()))
+def _remove(ranges: str, lines: str, removed: str):
+    def run(batches):
+        for batch in batches:
+            texts, n_lines, n_gone = batch.column("text").to_pylist(), [], []
+            for i, places in enumerate(batch.column(ranges).to_pylist()):
+                n = texts[i].count("\n") + 1 if texts[i] else 0
+                drop = set()
+                for r in places or ():
+                    drop.update(range(r["a"], r["z"]))
+                if drop:
+                    texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in drop)
+                n_lines.append(n), n_gone.append(len(drop))
+            at = batch.schema.get_field_index("text")
+            out = batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string())).drop_columns([ranges])
+            out = out.append_column(lines, pa.array(n_lines, pa.int64()))
+            yield out.append_column(removed, pa.array(n_gone, pa.int64()))
+
+    return run
+
+
+def _cleaned(docs: DataFrame, spread: int, least: int) -> tuple[DataFrame, str, str]:
+    """``docs`` with repeated passages taken out of ``text``, and the names of two new columns: lines, and lines removed."""
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("ident")
+    ranges, lines, removed = (fresh(docs, c) for c in ("gone_ranges", "n_lines", "n_removed_lines"))
+    gone = repeated_chunks(docs, spread, least).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "z")).alias(ranges))
+    keyed = docs.select(whole(docs), ident, F.xxhash64("text").alias("th"))
+    joined = keyed.join(gone.select(ident, "th", ranges), ["ident", "th"], "left").select("doc.*", ranges)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {lines} long, {removed} long"
+    return joined.mapInArrow(_remove(ranges, lines, removed), schema), lines, removed
 
 
 def without_repeats(docs: DataFrame, spread: int = 4, least: int = 2) -> DataFrame:
-    """``docs`` with repeated passages of lines taken out of ``text``, and ``_lines`` and ``_removed`` (numbers of lines).
+    """``docs`` with repeated passages of lines taken out of ``text``, and ``n_lines`` and ``n_removed_lines`` (in place of columns so named).
 
     Null text stays null, empty text empty; a row given twice (same id and text) counts as one document, and each keeps the same
     lines; rows with null ids come last in order, so they lose repeats first; other columns pass unchanged; an empty table gives no rows.
     """
-    gone = repeated_chunks(docs, spread, least).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "z")).alias("_gone"))
-    gone = gone.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("th").alias("_th"), "_gone")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_th": F.xxhash64("text")})
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _lines long, _removed long"
-    return keyed.join(gone, ["_id", "_th"], "left").select(*docs.columns, "_gone").mapInArrow(_remove, schema)
+    out, _, _ = _cleaned(docs.drop("n_lines", "n_removed_lines"), spread, least)
+    return out
 
 
-def deduped_documents(docs: DataFrame, **parameters) -> DataFrame:
+def deduped_documents(docs: DataFrame, spread: int = 4, least: int = 2) -> DataFrame:
     """The documents of :func:`without_repeats`, columns as given; one that had words and has none left is left out."""
-    out = without_repeats(docs, **parameters)
-    out = out.where((F.col("_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("_lines", "_removed")
+    out, lines, removed = _cleaned(docs, spread, least)
+    out = out.where((F.col(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop(lines, removed)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

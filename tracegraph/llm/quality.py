@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, host_key
+from ._common import cut, fresh, host_key, whole
 
 SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -161,39 +161,35 @@ def quality_rules(
     return verdicts, frequent
 
 
-def _drop_lines(batches):
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for i, bad in enumerate(batch.column("_bad_lines").to_pylist()):
-            if bad and texts[i]:
-                bad = set(bad)
-                lines = texts[i].encode().split(b"\n")
-                texts[i] = b"\n".join(x for x in lines if not x.split() or line_hash(x) not in bad).decode()
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string())).drop_columns(["_bad_lines"])
+def _drop_lines(lines: str):
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for i, bad in enumerate(batch.column(lines).to_pylist()):
+                if bad and texts[i]:
+                    bad = set(bad)
+                    own = texts[i].encode().split(b"\n")
+                    texts[i] = b"\n".join(x for x in own if not x.split() or line_hash(x) not in bad).decode()
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string())).drop_columns([lines])
+
+    return run
 
 
 def kept_documents(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """The documents that pass, without the lines above their host's limit; columns as given.
+    """The documents that pass, without the lines above their host's limit; columns as given, whatever their names.
 
     ``n_chars``, where present, is counted again for changed texts. Null ``doc_id`` rows are judged by
     their text like any other.
     """
     verdicts, frequent = quality_rules(docs, host, **limits)
-    key = ["_id", "_host", "_hash"]
-    keep = verdicts.where("kept").select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash")
-    ).distinct()
-    keyed = docs.withColumns(
-        {
-            "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
-            "_host": host_key(host),
-            "_hash": F.xxhash64(F.coalesce("text", F.lit(""))),
-        }
-    )
-    bad = frequent.groupBy(F.col("host").alias("_host")).agg(F.collect_list("line").alias("_bad_lines"))  # those of one host
-    named = keyed.join(keep, key, "left_semi").join(bad, "_host", "left").select(*docs.columns, "_bad_lines")
-    out = named.mapInArrow(_drop_lines, docs.schema)
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("ident")
+    keep = verdicts.where("kept").select(ident, "host", "text_hash").distinct()
+    keyed = docs.select(whole(docs), ident, host_key(host).alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    lines = fresh(docs, "bad_lines")
+    bad = frequent.groupBy("host").agg(F.collect_list("line").alias(lines))  # those of one host
+    named = keyed.join(keep, ["ident", "host", "text_hash"], "left_semi").join(bad, "host", "left").select("doc.*", lines)
+    out = named.mapInArrow(_drop_lines(lines), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
