@@ -6,6 +6,7 @@ import re
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,59 +15,166 @@ from ._common import cut
 # Element names of HTML by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe template svg math xmp noembed noframes".split())
-DROP = RAW | set("nav footer header aside form button select head menu dialog object audio video canvas map".split())
+DROP = RAW | set("nav footer header aside button select head menu dialog object audio video canvas map".split())
 BLOCK = set(
     "p h1 h2 h3 h4 h5 h6 div li ul ol dl dt dd blockquote pre table tr td th thead tbody tfoot caption section article main"
     " figure figcaption address hr body html details summary fieldset center".split()
 )
 CONTAINER = set("article main section div body td".split())
 CLOSES_P = BLOCK - {"html", "body"}
-BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|overlay|sidebar|side|widget|menu|nav\w*"
-    r"|breadcrumbs?|header|masthead|footer|foot|comments?|replies|respond|disqus|share|sharing|social|related|recommend\w*"
-    r"|newsletter|subscribe|signup|login|hidden|skip|pagination|pager)(?:$|[\s_-])",
-    re.I,
+# Parts of class names and ids that mark text beside the article. The first kind may turn out to hold the article after all.
+BESIDE = set(
+    "banner promo promos promotion notice popup modal overlay sidebar side widget widgets menu menus nav navbar navigation navi header masthead footer foot"
+    " share sharing social related recommended recommendations hidden skip".split()
 )
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+NEVER = set(
+    "ad ads advert adverts advertisement advertising sponsor sponsors sponsored cookie cookies consent breadcrumb breadcrumbs comment comments replies respond"
+    " disqus newsletter subscribe signup login pagination pager".split()
+)
+STATE_FIRST, STATE_LAST = set("has have with no without is js not show hide".split()), set("layout open closed enabled disabled active visible offset free less".split())
+ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
+TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?:(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<odd>[^>]*)>)", re.S
+)
+ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 DIGITS = re.compile(r"\d+")
 SPACE = re.compile(r"\s+")
+ROOT = 0
+
+
+def attributes(rest: str) -> dict[str, str]:
+    """Names in lower case, the first of equal names; a name without a value has an empty one."""
+    out: dict[str, str] = {}
+    for name, x, y, z in ATTR.findall(rest):
+        out.setdefault(name.lower(), x or y or z)
+    return out
+
+
+def beside(names: str) -> set[str]:
+    """The marks of text beside the article among class names and ids: whole parts between hyphens, and not as a state of the page (has-sidebar)."""
+    found = set()
+    for name in names.lower().split():
+        parts = [p for p in re.split(r"[-_]+", name) if p]
+        if len(parts) > 1 and (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST):
+            continue
+        found.update(p for p in parts if p in BESIDE or p in NEVER)
+    return found
 
 
 class Block(list):
-    """Pieces of text of one block, with the containers it lies in and how much of it is link text."""
+    """Pieces of text of one block, the innermost container and the innermost set-aside element it lies in, and how much of it is link text."""
 
-    __slots__ = ("inside", "links")
+    __slots__ = ("box", "aside", "links")
 
+    def good(self) -> float:
+        """Characters outside links, a link's counting against the block; short blocks count for less."""
+        n = len(SPACE.sub(" ", "".join(self)).strip())
+        return max(0, n - 2 * self.links) * (1.0 if n >= 40 else 0.3)
 
-def read(html: str) -> tuple[list[Block], list[str]]:
-    """Blocks of text outside boilerplate, in page order, and the generalised path of each container.
 
-    A path names tag and first class of every element from the root, digits replaced by ``#`` and positions left
-    out, so that pages of one template share it. Ends that are missing are supplied, stray ones ignored.
+class Page:
+    """Blocks of text in page order and the tree of containers they lie in.
+
+    A path is an interned step (tag and first class, digits as ``#``, no positions) behind another path, so that pages of one template share
+    it and depth costs nothing. ``box_up``, ``box_path``: a container's parent and path; ``path_up``, ``path_step``, ``path_key``,
+    ``path_depth``: a path's parent, step, hash and length. Containers come after their parents.
+    """
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.box_up, self.box_path = [], []
+        self.path_up, self.path_step, self.path_key, self.path_depth = [-1], [""], [ROOT], [0]
+        self.paths: dict[tuple[int, str], int] = {}
+
+    def step(self, up: int, step: str) -> int:
+        at = self.paths.get((up, step))
+        if at is None:
+            at = self.paths[up, step] = len(self.path_up)
+            self.path_up.append(up), self.path_step.append(step), self.path_depth.append(self.path_depth[up] + 1)
+            self.path_key.append(next_key(self.path_key[up], step))
+        return at
+
+    def name(self, path: int) -> str:
+        out = []
+        while path:
+            out.append(self.path_step[path])
+            path = self.path_up[path]
+        return "".join(f">{x}" for x in reversed(out))
+
+    def by_path(self, weight: list[float]) -> dict[int, float]:
+        """Sum of the blocks' weights inside each path's containers."""
+        held = [0.0] * len(self.box_up)
+        for b, w in zip(self.blocks, weight):
+            if b.box >= 0:
+                held[b.box] += w
+        for k in range(len(held) - 1, -1, -1):
+            if self.box_up[k] >= 0:
+                held[self.box_up[k]] += held[k]
+        out: dict[int, float] = {}
+        for k, w in enumerate(held):
+            out[self.box_path[k]] = out.get(self.box_path[k], 0.0) + w
+        return out
+
+    def inside(self, path: int) -> list[bool]:
+        """Whether each block lies in a container with that path."""
+        ok = [False] * len(self.box_up)
+        for k, p in enumerate(self.box_path):
+            ok[k] = p == path or (self.box_up[k] >= 0 and ok[self.box_up[k]])
+        return [b.box >= 0 and ok[b.box] for b in self.blocks]
+
+    def encloses(self, outer: int, path: int) -> bool:
+        while self.path_depth[path] > self.path_depth[outer]:
+            path = self.path_up[path]
+        return path == outer
+
+
+def next_key(key: int, step: str) -> int:
+    return (xxhash.xxh64_intdigest(step, key & (1 << 64) - 1) ^ 1 << 63) - (1 << 63)
+
+
+def path_key(path: str) -> int:
+    key = ROOT
+    for step in path.split(">")[1:]:
+        key = next_key(key, step)
+    return key
+
+
+def read(html: str) -> Page:
+    """The page without boilerplate. Ends that are missing are supplied, stray ones ignored.
+
+    Elements go by their name, role, being hidden, or class and id (see :func:`beside`). A form, or one that goes by class or id only, for a mark that is not
+    certain, stays if half of the page's text stands in it outside others that go.
     """
-    stack: list[list] = []  # [tag, path, number of its container or -1, whether dropped, whether in a link]
-    paths: list[str] = []
-    blocks: list[Block] = []
+    page = Page()
+    stack: list[tuple] = []  # tag, path, innermost container or -1, whether dropped, innermost set-aside element or -1, whether in a link
+    opened: dict[str, int] = {}
+    apart: list[tuple[int, bool]] = []  # set-aside elements: the one around it or -1, whether it may stay
     block: Block | None = None
     at, end = 0, len(html)
+    nothing = ("", 0, -1, False, -1, False)
 
     def text(piece: str) -> None:
         nonlocal block
-        if stack and stack[-1][3]:
+        _, _, box, dropped, aside, link = stack[-1] if stack else nothing
+        if dropped:
             return
         if block is None:
             block = Block()
-            block.inside = [s[2] for s in stack if s[2] >= 0]
-            block.links = 0
-            blocks.append(block)
+            block.box, block.aside, block.links = box, aside, 0
+            page.blocks.append(block)
         block.append(piece)
-        if stack and stack[-1][4]:
+        if link:
             block.links += len(piece)
 
     def pop(to: int) -> None:
+        for x in stack[to:]:
+            opened[x[0]] -= 1
         del stack[to:]
 
+    def nearest(tags) -> int:
+        return next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in tags), -1)
+
     while at < end:
         m = TAG.search(html, at)
         if not m:
@@ -75,13 +183,12 @@ def read(html: str) -> tuple[list[Block], list[str]]:
         if m.start() > at:
             text(html[at : m.start()])
         at = m.end()
-        tag = m[2].lower() if m[2] else ""
+        tag = m["tag"].lower() if m["tag"] else ""
         if not tag:
             continue
-        if m[1]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-            if k >= 0:
-                pop(k)
+        if m["close"]:
+            if opened.get(tag):
+                pop(nearest((tag,)))
             if tag in BLOCK or tag in DROP:
                 block = None
             continue
@@ -92,85 +199,116 @@ def read(html: str) -> tuple[list[Block], list[str]]:
             block = None
         if tag in VOID:
             continue
-        if tag in CLOSES_P:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ("p",) or stack[k][0] in CONTAINER), -1)
+        if tag in CLOSES_P and opened.get("p"):
+            k = nearest(P_OR_CONTAINER)
             if k >= 0 and stack[k][0] == "p":
                 pop(k)
-        if tag == "li" and (k := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ("li", "ul", "ol")), -1)) >= 0 and stack[k][0] == "li":
+        if tag == "li" and opened.get("li") and stack[k := nearest(LISTS)][0] == "li":
             pop(k)
-        names = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTR.findall(m[3])} if m[3] else {}
-        own = names.get("class", "") + " " + names.get("id", "")
-        dropped = bool(stack and stack[-1][3]) or tag in DROP or "hidden" in names or (own != " " and tag not in ("html", "body") and bool(BOILER.search(own)))
+        rest = m["rest"] or m["odd"]
+        names = attributes(rest) if rest else {}
+        _, path, box, dropped, aside, link = stack[-1] if stack else nothing
+        gone = names.get("hidden", "no") not in ("no", "false", "until-found") or names.get("aria-hidden", "").lower() == "true"
+        gone = gone or names.get("role", "").lower() in ROLES or bool(UNSEEN.search(names.get("style", "")))
+        whole = tag in ("html", "body")
+        dropped = dropped or tag in DROP or (gone and not whole)
+        marks = beside(names.get("class", "") + " " + names.get("id", ""))
+        if not dropped and not whole and (marks or tag == "form"):  # some pages are one form
+            apart.append((aside, not marks & NEVER))
+            aside = len(apart) - 1
         if tag in RAW:
             close = re.compile(f"</{tag}", re.I).search(html, at)
             at = close.start() if close else end
-        up = stack[-1][1] if stack else ""
-        first = names.get("class", "").split()[:1]
-        path = f"{up}>{tag}" + (f".{DIGITS.sub('#', first[0].lower())}" if first else "") if tag in CONTAINER or tag in BLOCK else up
-        number = -1
+        if tag in CONTAINER or tag in BLOCK:
+            first = names.get("class", "").split()[:1]
+            path = page.step(path, tag + (f".{DIGITS.sub('#', first[0].lower())}" if first else ""))
         if tag in CONTAINER and not dropped:
-            number = len(paths)
-            paths.append(path)
-        stack.append([tag, path, number, dropped, tag == "a" or bool(stack and stack[-1][4])])
-    return blocks, paths
+            page.box_up.append(box), page.box_path.append(path)
+            box = len(page.box_up) - 1
+        stack.append((tag, path, box, dropped, aside, link or tag == "a"))
+        opened[tag] = opened.get(tag, 0) + 1
+
+    if apart:
+        own, total = [0.0] * len(apart), 0.0
+        for b in page.blocks:
+            g = b.good()
+            total += g
+            if b.aside >= 0:
+                own[b.aside] += g
+        out = []
+        for k, (up, may_stay) in enumerate(apart):
+            out.append((up >= 0 and out[up]) or not (may_stay and total and own[k] >= 0.5 * total))
+        page.blocks = [b for b in page.blocks if b.aside < 0 or not out[b.aside]]
+    return page
+
+
+P_OR_CONTAINER, LISTS = CONTAINER | {"p"}, {"li", "ul", "ol"}
 
 
 def tidy(block: Block) -> str:
     return SPACE.sub(" ", unescape("".join(block))).strip()
 
 
-def container_scores(html: str) -> dict[str, float]:
-    """Share of the page's good text that each path's containers hold, less a share for being wide.
+def scores(page: Page) -> dict[int, float]:
+    """Share of the page's good text that each path's containers hold, with a bonus for depth and for names that mean the article.
 
-    Good text: characters outside links, long blocks counting more. A container that holds the same text as one inside it
-    scores a little lower, so that the innermost one wins.
+    Of containers that hold the same text the innermost scores highest. Paths that hold under 0.3 are left out.
     """
-    blocks, paths = read(html)
-    good = [max(0, len(SPACE.sub(" ", "".join(b)).strip()) - 2 * b.links) for b in blocks]
+    good = [b.good() for b in page.blocks]
     total = sum(good)
     if not total:
         return {}
-    held: dict[str, float] = {}
-    for b, g in zip(blocks, good):
-        for path in {paths[k] for k in b.inside}:
-            held[path] = held.get(path, 0) + g / total
-    return {path: share + 0.01 * path.count(">") + (0.25 if re.search(r">(article|main)[^>]*$", path) else 0) for path, share in held.items() if share >= 0.3}
+    depth = page.path_depth
+    means = lambda p: page.path_step[p].split(".")[0] in ("article", "main")
+    return {p: w / total + 0.2 * depth[p] / (depth[p] + 10) + 0.25 * means(p) for p, w in page.by_path(good).items() if w >= 0.3 * total}
+
+
+def best_path(page: Page) -> tuple[int, float] | None:
+    """The path with the highest score and that score; ties go to the greater key."""
+    return max(scores(page).items(), key=lambda x: (x[1], page.path_key[x[0]]), default=None)
+
+
+def container_scores(html: str) -> dict[str, float]:
+    page = read(html)
+    return {page.name(p): s for p, s in scores(page).items()}
 
 
-def holds_enough(blocks: list[Block], paths: list[str], path: str, best: str | None) -> bool:
+def holds_enough(page: Page, path: int, best: int | None) -> bool:
     """Whether the containers with ``path`` hold a fair share of the good text of the page's best ones.
 
     Fair: half of what the best ones hold beside them; where the best ones enclose them, a quarter, as narrowing is what the vote is for. Without a best container all text counts as its text.
     """
-    own = there = 0
-    for b in blocks:
-        good = max(0, len(SPACE.sub(" ", "".join(b)).strip()) - 2 * b.links)
-        inside = {paths[k] for k in b.inside}
-        own += good * (path in inside)
-        there += good * (best is None or best in inside)
-    return own >= (0.25 if best is None or path.startswith(best + ">") else 0.5) * there
-
-
-def extract(html: str, path: str | None) -> tuple[str, str | None]:
-    """(text of the containers with that path, the path used); without such containers, or if they hold little of it, the page's best path."""
-    blocks, paths = read(html)
-    scores = container_scores(html)
-    best = max(scores, key=lambda p: (scores[p], p)) if scores else None
-    if path not in paths or not holds_enough(blocks, paths, path, best):
-        path = best
-    wanted = {k for k, p in enumerate(paths) if p == path}
-    texts = (tidy(b) for b in blocks if path is None or wanted.intersection(b.inside))
-    return "\n".join(t for t in texts if t), path
+    good = [b.good() for b in page.blocks]
+    held = page.by_path(good)
+    there = sum(good) if best is None else held[best]
+    return held[path] >= (0.25 if best is None or (best != path and page.encloses(best, path)) else 0.5) * there
+
+
+def extract(html: str, path: str | int | None) -> tuple[str, str | None]:
+    """(text of the containers with that path, the path used); without such containers, or if they hold little of it, the page's best path.
+
+    ``path`` is a path or its :func:`path_key`.
+    """
+    page = read(html)
+    wanted = path_key(path) if isinstance(path, str) else path
+    at = next((p for p in set(page.box_path) if page.path_key[p] == wanted), None) if wanted is not None else None
+    best = (best_path(page) or (None,))[0]
+    if at is None or not holds_enough(page, at, best):
+        at = best
+    inside = page.inside(at) if at is not None else [True] * len(page.blocks)
+    texts = (tidy(b) for b, ok in zip(page.blocks, inside) if ok)
+    return "\n".join(t for t in texts if t), None if at is None else page.name(at)
 
 
 def _vote_batches(batches):
     for batch in batches:
         out = ([], [], [])
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            for path, score in container_scores(html or "").items():
-                for col, v in zip(out, (host, path, round(score * 1e6))):
+            page = read(html or "")
+            if best := best_path(page):
+                for col, v in zip(out, (host, page.path_key[best[0]], round(best[1] * 1e6))):
                     col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int64()))], names=["host", "path", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int64()))], names=["host", "path", "score"])
 
 
 def _extract_batches(batches):
@@ -193,8 +331,11 @@ def host_of(url: str = "url") -> F.Column:
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """``host, path``: the path with the most score over all pages of a host; ties go to the smaller path."""
-    votes = pages.select(host_of().alias("host"), "html").mapInArrow(_vote_batches, "host string, path string, score long")
+    """``host, path``: the key of the path with the most score over all pages of a host; ties go to the smaller key.
+
+    A page votes for its best container with that container's score. It has no vote for the ones around it, as those are common to all templates of a host.
+    """
+    votes = pages.select(host_of().alias("host"), "html").mapInArrow(_vote_batches, "host string, path long, score long")
     sums = votes.groupBy("host", "path").agg(F.sum("score").alias("score"))
     return sums.groupBy("host").agg(F.min(F.struct((-F.col("score")).alias("s"), "path")).alias("m")).select("host", F.col("m.path").alias("path"))
 
@@ -204,7 +345,8 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Two passes over the pages and one small vote table between them; a page without the winning path, or with little of its good text there, falls back on its own
     best container, and on all text outside boilerplate where none holds enough. Null or empty html gives empty text; null urls form one host;
-    repeated rows are extracted alike; an empty table gives no rows; other columns are not read.
+    repeated rows are extracted alike; an empty table gives no rows; other columns are not read. Time and memory grow with a page's length, however deep
+    its elements are nested.
     """
     winners = cut(winning_paths(pages))
     rows = pages.select("page_id", "url", "html", host_of().alias("host")).join(winners, "host", "left").drop("host")
