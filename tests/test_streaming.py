@@ -32,7 +32,7 @@ def test_heat_and_frames(spark):
     run(live.stream_frames(live.stream_events(spark, path, e.schema)), "append", "live_frames")
     cols = ["session_id", "thread_id", "call_idx", "close_idx", "parent_idx", "node_id", "depth", "synthetic"]
     norm = lambda df: sorted(tuple(-1 if v is None else v for v in r) for r in df.select(cols).collect())
-    assert norm(spark.table("live_frames")) == norm(FR.build_frames(e, D.MAX_DEPTH).where("close_idx is not null"))
+    assert norm(spark.table("live_frames")) == norm(FR.build_frames(e).where("close_idx is not null"))
 
 
 def test_poll_deltas(spark):

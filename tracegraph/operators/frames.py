@@ -2,59 +2,170 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 THREAD = ["session_id", "thread_id"]
+NEVER = 2**31 - 1  # no call or return yet
+STACK = "array<struct<call_idx:bigint,node_id:string>>"
+SCAN = (
+    f"session_id string, thread_id long, chunk long, kind string, idx long, close_idx long, parent_idx long, need int, node_id string, depth int,"
+    f" start_ns long, end_ns long, normal boolean, stack {STACK}"
+)
+NAMES = [c.split()[0] for c in SCAN.split(", ")]
+_stack = pa.list_(pa.struct([("call_idx", pa.int64()), ("node_id", pa.string())]))
+KINDS = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), _stack]
+
 
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [()] * len(NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, KINDS)], names=NAMES)
 
-def levels(events: DataFrame, depth: int) -> DataFrame:
-    """One row per event and level 0..depth with the frame open at that level before the event, if any.
 
-    At level L the frame is open whose call is the last structural event of depth <= L, if its depth is L and it is a
-    call. So every level is one ordered window, all levels in parallel; no stack is replayed.
+def _scan(paths: bool, emit: frozenset[str]):
+    """One chunk of a thread after the other, rows in order; only the frames open in the chunk are held.
+
+    Kinds of rows: ``frame`` closed inside the chunk; ``open`` at its end; ``low``: a call or return of a lower depth than all before it in the chunk,
+    which is what closes frames that come in from the left; ``last``: the latest time; ``event``: events asked for, with the stack before them.
+    ``need`` is the lowest depth so far: of the frames that come in, those of lower depth are still open.
     """
-    structural = F.col("event").isin("call", "return")
-    rows = events.select(*THREAD, "idx", "event", "node_id", "ts_ns", "frame_depth").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
-    mark = F.when(structural & (F.col("frame_depth") <= F.col("level")), F.struct("idx", "event", "node_id", "frame_depth", "ts_ns"))
-    w = Window.partitionBy(*THREAD, "level").orderBy("idx")
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("mark", mark)
-    rows = rows.withColumns({"last": F.last("mark", ignorenulls=True).over(before), "next": F.first("mark", ignorenulls=True).over(after)})
-    here = (F.col("last.event") == "call") & (F.col("last.frame_depth") == F.col("level"))
-    return rows.withColumn("open", F.when(here, F.struct(F.col("last.idx").alias("call_idx"), F.col("last.node_id").alias("node_id"), F.col("last.ts_ns").alias("start_ns"))))
 
+    def shot(stack):
+        return [{"call_idx": s[0], "node_id": s[1]} for s in stack]
+
+    def run(batches):
+        key, stack, low, latest = None, [], NEVER, None
+
+        def close():
+            if key is None:
+                return
+            for k, (idx, node, depth, start, parent, need) in enumerate(stack):
+                yield (*key, "open", idx, None, parent, need, node, depth, start, None, None, shot(stack[:k]) if paths else None)
+            yield (*key, "last", None, None, None, None, None, None, None, latest, None, None)
+
+        for batch in batches:
+            out = []
+            cols = [batch.column(c).to_pylist() for c in (*THREAD, "chunk", "idx", "event", "node_id", "frame_depth", "ts_ns")]
+            for session, thread, chunk, idx, event, node, depth, ts in zip(*cols):
+                if (session, thread, chunk) != key:
+                    out.extend(close())
+                    key, stack, low, latest = (session, thread, chunk), [], NEVER, None
+                    if paths or emit:
+                        out.append((*key, "low", idx, None, None, NEVER, None, NEVER, None, ts, None, None))
+                if ts is not None and (latest is None or ts > latest):
+                    latest = ts
+                if (event != "call" or depth is None) and event in emit:
+                    out.append((*key, "event", idx, None, None, low, node, depth, ts, None, None, shot(stack)))
+                if depth is None or event not in ("call", "return"):
+                    continue
+                while stack and stack[-1][2] >= depth:
+                    i, n, d, start, parent, need = stack.pop()
+                    out.append((*key, "frame", i, idx, parent, need, n, d, start, ts, event == "return" and d == depth, shot(stack) if paths else None))
+                if depth < low:
+                    low = depth
+                    out.append((*key, "low", idx, None, None, low, None, low, None, ts, event == "return", None))
+                if event == "call":
+                    if event in emit:
+                        out.append((*key, "event", idx, None, None, low, node, depth, ts, None, None, shot(stack)))
+                    stack.append((idx, node, depth, ts, stack[-1][0] if stack else None, low))
+            yield _table(out)
+        yield _table(list(close()))
+
+    return run
+
+
+LINK = f"session_id string, thread_id long, chunk long, need int, call_idx long, close_idx long, end_ns long, normal boolean, stack {STACK}"
+
+
+def _link(paths: bool):
+    """The chunks' summaries of a thread in order: ``low`` rows close what comes in, ``open`` rows go on to the next chunk.
+
+    Rows with ``need``: the innermost frame (``call_idx``) that comes in and is of lower depth, and the whole stack up to it. Rows without: a frame's close.
+    """
+    names = [c.split()[0] for c in LINK.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), _stack]
+
+    def run(batches):
+        key, stack = None, []
+        for batch in batches:
+            out = []
+            cols = [batch.column(c).to_pylist() for c in (*THREAD, "chunk", "kind", "idx", "node_id", "depth", "end_ns", "normal")]
+            for session, thread, chunk, kind, idx, node, depth, ts, normal in zip(*cols):
+                if (session, thread) != key:
+                    key, stack = (session, thread), []
+                if kind == "open":
+                    stack.append((idx, node, depth))
+                    continue
+                while stack and stack[-1][2] >= depth:
+                    i, _, d = stack.pop()
+                    out.append((*key, chunk, None, i, idx, ts, bool(normal) and d == depth, None))
+                out.append((*key, chunk, depth, stack[-1][0] if stack else None, None, None, None, [{"call_idx": s[0], "node_id": s[1]} for s in stack] if paths else None))
+            cols = list(zip(*out)) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+    return run
 
-def stacks(events: DataFrame, depth: int) -> DataFrame:
-    """Every event with ``stack``: the frames open before it on its thread, root first (``call_idx, node_id``).
-    For calls, frames of the same depth or more are closed by the call itself and left out."""
-    rows = levels(events, depth).where((F.col("event") != "call") | (F.col("level") < F.col("frame_depth")))
-    top = rows.groupBy(*THREAD, "idx").agg(F.array_sort(F.collect_list(F.struct("open.call_idx", "open.node_id"))).alias("stack"))
-    top = top.withColumn("stack", F.filter("stack", lambda s: s["call_idx"].isNotNull()))
-    return events.join(top, [*THREAD, "idx"], "left").withColumn("stack", F.coalesce("stack", F.array().cast("array<struct<call_idx:bigint,node_id:string>>")))
 
+def scanned(events: DataFrame, chunk: int, paths: bool, emit: frozenset[str] = frozenset()) -> tuple[DataFrame, DataFrame]:
+    """Threads of any length, cut into chunks of ``chunk`` indexes that are scanned on their own; then their summaries, which are as long as the
+    stacks are deep, are linked in order. Returns the rows of :func:`_scan` and of :func:`_link`."""
+    rows = events.select(
+        F.col("session_id").cast("string").alias("session_id"), F.col("thread_id").cast("long").alias("thread_id"), F.floor(F.col("idx") / chunk).cast("long").alias("chunk"),
+        F.col("idx").cast("long").alias("idx"), "event", "node_id", F.col("frame_depth").cast("int").alias("frame_depth"), "ts_ns",
+    )
+    order = [*THREAD, "chunk"]
+    # a probe sees what its index's event has done
+    rows = rows.repartition(*order).sortWithinPartitions(*order, "idx", F.col("event") == "probe", "event", "node_id", "frame_depth", "ts_ns")
+    scan = cut(rows.mapInArrow(_scan(paths, emit), SCAN))
+    summary = scan.where("kind in ('low', 'open')").select(*THREAD, "chunk", "kind", "idx", "node_id", "depth", "end_ns", "normal")
+    links = summary.repartition(*THREAD).sortWithinPartitions(*order, "kind", "idx", F.desc("depth")).mapInArrow(_link(paths or bool(emit)), LINK)
+    return scan, cut(links)
 
-def build_frames(events: DataFrame, depth: int | None = None) -> DataFrame:
-    """One row per call: ``call_idx, close_idx, parent_idx, node_id, depth, start_ns, end_ns, total_ns, self_ns, synthetic``.
+
+def _incoming(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with ``came`` (the innermost frame open from chunks before) and ``before`` (the stack up to it)."""
+    came = links.where("need is not null").select(*(F.col(c).alias(f"l_{c}") for c in (*THREAD, "chunk", "need")), F.col("call_idx").alias("came"), F.col("stack").alias("before"))
+    same = F.lit(True)
+    for c in (*THREAD, "chunk", "need"):
+        same = same & F.col(c).eqNullSafe(F.col(f"l_{c}"))
+    return rows.join(came, same, "left").drop("l_session_id", "l_thread_id", "l_chunk", "l_need")
+
+
+def stacks(events: DataFrame, kinds: tuple[str, ...] = ("call", "return", "exception"), chunk: int = 1 << 16) -> DataFrame:
+    """``session_id, thread_id, idx, event_node, frame_depth, stack``: events of the given kinds with the frames open before them on their thread, root first
+    (``call_idx, node_id``). For calls, frames of the same depth or more are closed by the call itself and left out."""
+    scan, links = scanned(events, chunk, False, frozenset(kinds))
+    rows = _incoming(scan.where("kind = 'event'"), links)
+    return rows.select(*THREAD, "idx", F.col("node_id").alias("event_node"), F.col("depth").alias("frame_depth"), F.concat(F.coalesce("before", F.array().cast(STACK)), "stack").alias("stack"))
+
+
+def build_frames(events: DataFrame, paths: bool = False, chunk: int = 1 << 16) -> DataFrame:
+    """One row per call: ``call_idx, close_idx, parent_idx, node_id, depth, start_ns, end_ns, total_ns, self_ns, synthetic``, with ``paths`` also ``path``, the
+    node ids from the root to it.
 
     A call closes at the first later call or return of its depth or less on its thread; synthetic unless that is
-    a return of its depth. Calls that never close end at the thread's last time.
+    a return of its depth. Calls that never close end at the thread's last time. Events without a depth close and open nothing.
     """
-    if depth is None:
-        depth = events.agg(F.max("frame_depth")).first()[0] or 0
-    rows = levels(events, depth).where("event = 'call' and level <= frame_depth")
-    own = F.col("level") == F.col("frame_depth")
-    calls = rows.groupBy(*THREAD, F.col("idx").alias("call_idx")).agg(
-        F.max(F.when(own, F.struct("node_id", "frame_depth", "ts_ns", "next"))).alias("c"), F.max(F.when(~own, F.col("open.call_idx"))).alias("parent_idx")
-    )
-    ends = events.groupBy(*THREAD).agg(F.max("ts_ns").alias("last_ns"))
-    f = calls.join(ends, THREAD).select(
-        *THREAD, "call_idx", F.col("c.next.idx").alias("close_idx"), "parent_idx", F.col("c.node_id").alias("node_id"), F.col("c.frame_depth").alias("depth"),
-        F.col("c.ts_ns").alias("start_ns"), F.greatest(F.col("c.ts_ns"), F.coalesce(F.col("c.next.ts_ns"), F.col("last_ns"))).alias("end_ns"),
-        (~F.coalesce((F.col("c.next.event") == "return") & (F.col("c.next.frame_depth") == F.col("c.frame_depth")), F.lit(False))).alias("synthetic"),
+    scan, links = scanned(events, chunk, paths)
+    closes = links.where("need is null").select(*(F.col(c).alias(f"c_{c}") for c in THREAD), F.col("call_idx").alias("idx"), F.col("close_idx").alias("close"), F.col("end_ns").alias("end"), F.col("normal").alias("good"))
+    same = F.col("session_id").eqNullSafe(F.col("c_session_id")) & F.col("thread_id").eqNullSafe(F.col("c_thread_id"))
+    carried = scan.where("kind = 'open'").drop("close_idx", "end_ns", "normal").join(closes.withColumnRenamed("idx", "c_idx"), same & (F.col("idx") == F.col("c_idx")), "left")
+    carried = carried.withColumnsRenamed({"close": "close_idx", "end": "end_ns", "good": "normal"}).select(NAMES)
+    f = _incoming(scan.where("kind = 'frame'").unionByName(carried), links)
+    ends = scan.where("kind = 'last'").groupBy(*(F.col(c).alias(f"e_{c}") for c in THREAD)).agg(F.max("end_ns").alias("last_ns"))
+    f = f.join(ends, F.col("session_id").eqNullSafe(F.col("e_session_id")) & F.col("thread_id").eqNullSafe(F.col("e_thread_id")))
+    path = F.concat(F.transform(F.coalesce("before", F.array().cast(STACK)), lambda s: s["node_id"]), F.transform("stack", lambda s: s["node_id"]), F.array("node_id"))
+    f = f.select(
+        *THREAD, F.col("idx").alias("call_idx"), "close_idx", F.coalesce("parent_idx", "came").alias("parent_idx"), "node_id", "depth", "start_ns",
+        F.greatest("start_ns", F.coalesce("end_ns", "last_ns")).alias("end_ns"), (~F.coalesce("normal", F.lit(False))).alias("synthetic"), *([path.alias("path")] if paths else []),
     ).withColumn("total_ns", F.col("end_ns") - F.col("start_ns"))
-    children = f.where("parent_idx is not null").groupBy(*THREAD, F.col("parent_idx").alias("call_idx")).agg(F.sum("total_ns").alias("inner_ns"))
-    return f.join(children, [*THREAD, "call_idx"], "left").withColumn("self_ns", F.greatest(F.lit(0).cast("long"), F.col("total_ns") - F.coalesce("inner_ns", F.lit(0)))).drop("inner_ns")
+    children = f.where("parent_idx is not null").groupBy(*(F.col(c).alias(f"p_{c}") for c in THREAD), F.col("parent_idx").alias("p_idx")).agg(F.sum("total_ns").alias("inner_ns"))
+    inside = F.col("session_id").eqNullSafe(F.col("p_session_id")) & F.col("thread_id").eqNullSafe(F.col("p_thread_id")) & (F.col("call_idx") == F.col("p_idx"))
+    out = f.join(children, inside, "left").withColumn("self_ns", F.greatest(F.lit(0).cast("long"), F.col("total_ns") - F.coalesce("inner_ns", F.lit(0))))
+    return out.drop("inner_ns", "p_session_id", "p_thread_id", "p_idx")
 
 
 def stack_at(frames: DataFrame, idx: int) -> DataFrame:
@@ -62,6 +173,16 @@ def stack_at(frames: DataFrame, idx: int) -> DataFrame:
     return frames.where((F.col("call_idx") <= idx) & (F.col("close_idx").isNull() | (F.col("close_idx") > idx)))
 
 
+def open_frames(events: DataFrame, probes: DataFrame, chunk: int = 1 << 16) -> DataFrame:
+    """``session_id, thread_id, idx, call_idx, node_id, level``: the frames open at each of ``probes(session_id, thread_id, idx)``, root at level 0.
+
+    A frame is open from its call's index up to the one before its close. Probes are scanned along with the events, so no interval is joined.
+    """
+    asked = probes.select(*THREAD, "idx", F.lit("probe").alias("event")).distinct()
+    rows = stacks(events.select(*THREAD, "idx", "event", "node_id", "frame_depth", "ts_ns").unionByName(asked, allowMissingColumns=True), ("probe",), chunk)
+    return rows.select(*THREAD, "idx", F.posexplode("stack").alias("level", "s")).select(*THREAD, "idx", "s.call_idx", "s.node_id", F.col("level").cast("long").alias("level"))
+
+
 def active_threads(frames: DataFrame, idx: int) -> DataFrame:
     return stack_at(frames, idx).groupBy("session_id").agg(F.countDistinct("thread_id").alias("threads"))
 
@@ -85,33 +206,61 @@ def nearest_firing(events: DataFrame, playhead: int) -> DataFrame:
     return c.agg(F.coalesce(F.max(F.when(F.col("idx") <= playhead, F.col("idx"))), F.min("idx")).alias("idx"))
 
 
-def causal_paths(events: DataFrame, depth: int) -> DataFrame:
+def causal_paths(events: DataFrame, chunk: int = 1 << 16) -> DataFrame:
     """For every call the node ids from the root to it."""
-    return stacks(events, depth).where("event = 'call'").select(*THREAD, F.col("idx").alias("call_idx"), F.array_append(F.transform("stack", lambda s: s["node_id"]), F.col("node_id")).alias("path"))
+    rows = stacks(events, ("call",), chunk).where("frame_depth is not null")
+    return rows.select(*THREAD, F.col("idx").alias("call_idx"), F.array_append(F.transform("stack", lambda s: s["node_id"]), F.col("event_node")).alias("path"))
+
+
+def causal_hops(events: DataFrame, edges: DataFrame | None = None, chunk: int = 1 << 16) -> DataFrame:
+    """One row per call and frame on its way from the root: ``session_id, thread_id, call_idx, hop, hop_idx, node_id, args, line``.
+
+    ``args`` are those that the hop's own call captured (null where the events have none); ``line`` is where the hop before it calls its node, by the
+    call sites of ``edges`` (see ``graph.call_sites``).
+    """
+    from .graph import call_sites
+
+    paths = stacks(events, ("call",), chunk).where("frame_depth is not null")
+    paths = paths.select(*THREAD, F.col("idx").alias("call_idx"), F.array_append("stack", F.struct(F.col("idx").alias("call_idx"), F.col("event_node").alias("node_id"))).alias("stack"))
+    hops = paths.select(*THREAD, "call_idx", "stack", F.posexplode("stack").alias("hop", "s")).select(
+        *THREAD, "call_idx", F.col("hop").cast("long").alias("hop"), F.col("s.call_idx").alias("hop_idx"), F.col("s.node_id").alias("node_id"), F.get("stack", F.col("hop") - 1)["node_id"].alias("caller"),
+    )
+    if "args" in events.columns:
+        hops = hops.join(events.where("event = 'call'").select("session_id", F.col("idx").alias("hop_idx"), "args"), ["session_id", "hop_idx"], "left")
+    else:
+        hops = hops.withColumn("args", F.lit(None).cast("string"))
+    if edges is not None:
+        hops = hops.join(call_sites(edges).select(F.col("source").alias("caller"), F.col("target").alias("node_id"), "line"), ["caller", "node_id"], "left")
+    else:
+        hops = hops.withColumn("line", F.lit(None).cast("int"))
+    return hops.select(*THREAD, "call_idx", "hop", "hop_idx", "node_id", "args", "line")
 
 
-def mark_raised(events: DataFrame, depth: int) -> DataFrame:
+def mark_raised(events: DataFrame, chunk: int = 1 << 16) -> DataFrame:
     """Frames that an exception event is laid to: the innermost open frame of its node, else the top of its stack."""
-    s = stacks(events, depth).where("event = 'exception' and size(stack) > 0")
-    own = F.filter("stack", lambda x: x["node_id"] == F.col("node_id"))
+    s = stacks(events, ("exception",), chunk).where("size(stack) > 0")
+    own = F.filter("stack", lambda x: x["node_id"] == F.col("event_node"))
     return s.select(*THREAD, F.coalesce(F.try_element_at(own, F.lit(-1)), F.element_at("stack", -1))["call_idx"].alias("call_idx")).distinct()
 
 
 def tree_stats(events: DataFrame, frames: DataFrame) -> DataFrame:
+    """Per session: wall time, threads in order of their first event, frames, greatest depth (by nesting, roots 1), whether any frame is synthetic, returns that close none."""
     closers = frames.where("not synthetic").select(*THREAD, F.col("close_idx").alias("idx"))
     orphans = events.where("event = 'return'").join(closers, [*THREAD, "idx"], "left_anti").groupBy("session_id").agg(F.count("*").alias("orphan_returns"))
-    span = events.groupBy("session_id").agg((F.max("ts_ns") - F.min("ts_ns")).alias("wall_ns"), F.countDistinct("thread_id").alias("n_threads"))
-    f = frames.groupBy("session_id").agg(F.count("*").alias("n_frames"), F.bool_or("synthetic").alias("had_synthetic"))
+    firsts = events.groupBy("session_id", "thread_id").agg(F.min("idx").alias("first"), F.min("ts_ns").alias("a"), F.max("ts_ns").alias("z"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("first", "thread_id"))), lambda x: x["thread_id"])  # one entry a thread
+    span = firsts.groupBy("session_id").agg((F.max("z") - F.min("a")).alias("wall_ns"), F.count("*").alias("n_threads"), in_order.alias("threads"))
+    deep = F.max(F.size("path")).cast("long") if "path" in frames.columns else F.lit(None).cast("long")
+    f = frames.groupBy("session_id").agg(F.count("*").alias("n_frames"), F.bool_or("synthetic").alias("had_synthetic"), deep.alias("max_depth"))
     return span.join(f, "session_id", "left").join(orphans, "session_id", "left").na.fill(0, ["n_frames", "orphan_returns"])
 
 
-def flame(frames: DataFrame, paths: DataFrame) -> DataFrame:
-    """Frames merged by thread and path; siblings ranked by total, count, first appearance."""
-    f = frames.join(paths, [*THREAD, "call_idx"])
-    out = f.groupBy(*THREAD, F.array_join("path", " > ").alias("path")).agg(
+def flame(frames: DataFrame) -> DataFrame:
+    """Frames (with ``path``) merged by thread and path; siblings ranked by total, count, first appearance. Paths are arrays, so ids may hold any characters."""
+    out = frames.groupBy(*THREAD, "path").agg(
         F.count("*").alias("n"), F.sum("total_ns").alias("total_ns"), F.sum("self_ns").alias("self_ns"), F.min("start_ns").alias("start_ns"),
         F.max("end_ns").alias("end_ns"), F.bool_or("synthetic").alias("synthetic"), F.min("call_idx").alias("first_idx"),
-    ).withColumn("parent_path", F.when(F.contains("path", F.lit(" > ")), F.regexp_replace("path", r" > [^>]*$", "")).otherwise(""))
+    ).withColumn("parent_path", F.slice("path", F.lit(1), F.size("path") - 1))
     w = Window.partitionBy(*THREAD, "parent_path").orderBy(F.desc("total_ns"), F.desc("n"), "first_idx")
     return out.withColumn("sibling", F.row_number().over(w).cast("long"))
 
@@ -120,6 +269,6 @@ def hot_path(flame: DataFrame) -> DataFrame:
     """From each thread's first root down the first-ranked children: rows all of whose prefixes rank first."""
     first = flame.where("sibling = 1")
     tops = first.select(*THREAD, F.col("path").alias("up"))
-    steps = first.withColumn("parts", F.split("path", " > ")).withColumn("up", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", F.lit(1), i), " > "))))
-    good = steps.join(tops, [*THREAD, "up"]).groupBy(*THREAD, "path").agg(F.count("*").alias("k"), F.max(F.size("parts")).alias("n")).where("k = n")
-    return good.select(*THREAD, "path", F.col("n").cast("long").alias("depth"))
+    steps = first.select(*THREAD, "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.slice("path", F.lit(1), i))).alias("up"))
+    good = steps.join(tops, [*THREAD, "up"]).groupBy(*THREAD, "path").agg(F.count("*").alias("k")).where(F.col("k") == F.size("path"))
+    return good.select(*THREAD, "path", F.col("k").cast("long").alias("depth"))

@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import EDGE_BUCKETS
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back, so that loops do not grow their lineage."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-cut-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..storage import cut
 
 
 def resolved_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
