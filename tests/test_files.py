@@ -72,9 +72,10 @@ def test_registries(spark):
             bad()
     assert "trait" in [r.kind for r in extend.kinds(spark, "node").collect()]
     n, e = spark.createDataFrame([("a", "f"), ("b", "f")], "id string, kind string"), spark.createDataFrame([("a", "b", "call")], "source string, target string, kind string")
-    cache = {}
-    first = extend.analyse("edges", n, e, cache)
-    assert extend.analyse("edges", n.orderBy("id"), e, cache) is first and extend.analyse("edges", n, e.union(e), cache).first()[0] == 2
+    cache, runs = tempfile.mkdtemp(), []
+    extend.register_analysis("Counted", lambda n, e: runs.append(1) or e.groupBy().count())
+    assert [extend.analyse("counted", x, y, cache).first()[0] for x, y in ((n, e), (n.orderBy("id"), e), (n, e.union(e)), (n, e))] == [1, 1, 2, 1]
+    assert len(runs) == 2 and extend.analyse("edges", n, e).first()[0] == 1
     extend.register_source("table", lambda s, p: s.range(int(p)))
     assert extend.read(spark, "table", "3").count() == 3
 

@@ -26,3 +26,16 @@ def test_heat_model(spark):
     spark.createDataFrame([('{"version": 0, "width": 1}',)], "meta string").write.mode("overwrite").text(path + "-meta")
     with pytest.raises(ValueError):
         L.load_heat_model(spark, path)
+
+
+def test_report_and_hotspots(spark):
+    rows = spark.createDataFrame([("g", f"n{i}", h, d) for i, (h, d) in enumerate([(0, 0.1), (5, 0.3), (9, 0.2), (30, 0.9)])] + [("h", "m0", 1, 0.5), ("h", "m1", 1, 0.7)], "graph_id string, id string, heat long, log1p_in_degree double")
+    scores = spark.createDataFrame([("g", "n0", 0.0), ("g", "n1", 0.1), ("g", "n2", 0.2), ("g", "n3", 0.9), ("h", "m0", 0.3), ("h", "m1", 0.4)], "graph_id string, id string, score double")
+    folder = tempfile.mkdtemp() + "/history"
+    for loss in (0.25, float("nan"), None):
+        L.learn_report(rows, scores, loss, folder)
+    got = spark.read.parquet(folder).collect()
+    assert [(r.examples, r.nodes, round(r.train_spearman, 9)) for r in got] == [(2, 6, 0.5)] * 3  # the constant graph counts 0
+    assert sorted(str(r.final_loss) for r in got) == ["0.25", "None", "None"] and got[0].baseline_spearman == pytest.approx(0.4)
+    status = spark.createDataFrame([("a", 9, 0.1, "under"), ("b", 3, 0.2, "under"), ("c", 9, 0.9, "over"), ("d", 9, 0.3, "under"), ("e", 0, 0.9, "on-target")], "id string, heat long, score double, status string")
+    assert [tuple(r) for r in L.surprise_hotspots(status, 2).orderBy("list", "rank").collect()] == [("predicted", 1, "c", 0.9), ("predicted", 2, "e", 0.9), ("under", 1, "a", 9.0), ("under", 2, "d", 9.0)]

@@ -4,6 +4,7 @@ import json
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracegraph.operators import events as E
 from tracegraph.operators.resolve import resolve_symbols
@@ -74,3 +75,31 @@ def test_read_graph(spark):
     assert [tuple(r)[1:] for r in nodes.orderBy("node_ord").collect()] == [(0, "a.py", "file", "a", "a.py", None, None), (1, "a.py:f", "function", "f", "a.py", 3, None)]
     assert [tuple(r)[1:] for r in edges.orderBy("edge_ord").collect()] == [(0, "a.py:f", "g", "call", 4, False, None, None, None, None), (1, "a.py:f", "g", "call", 4, False, None, None, None, None), (2, "a.py", "b", "import", None, None, ["g"], "h", None, None)]
     assert resolve_symbols(nodes, edges).where("reason = 'not_found'").count() == 2
+
+
+def test_write_graph(spark):
+    graph = {"nodes": [{"id": "b", "kind": "file"}, {"id": "a", "kind": "method", "name": "f", "path": "x.py", "line": 2, "metadata": {"receiver": "T"}}],
+             "edges": [{"source": "a", "target": "b", "kind": "import", "metadata": {"names": ["p", "q"], "aliases": {"p": "z"}, "resolved": True}}, {"source": "b", "target": "a", "kind": "call", "metadata": {"line": 9}}]}
+    nodes, edges = R.read_graph(spark, write([json.dumps(graph)]))
+    out = tempfile.mkdtemp() + "/g"
+    R.write_graph(nodes, edges, out)
+    again = R.read_graph(spark, out)
+    for x, y in zip(again, (nodes, edges)):
+        assert [r.asDict(True) | {"graph_id": 0} for r in x.orderBy(x.columns[1]).collect()] == [r.asDict(True) | {"graph_id": 0} for r in y.orderBy(y.columns[1]).collect()]
+
+
+def test_get_session(spark):
+    from tracegraph.sources.files import get_session
+
+    s = spark.createDataFrame([("a", 1), ("b", 2)], "id string, started_ns long")
+    assert [r.started_ns for r in get_session(s, "b").collect()] == [2] and get_session(s, "c").count() == 0
+
+
+def test_redacted_arguments(spark):
+    from tracegraph.functions import scalars as S
+
+    args = [("x", "1", None, None), ("API-Key", "abc", False, True), ("user_password", None, None, False), (None, "v", True, None)]
+    row = spark.createDataFrame([(args,), (None,)], "args array<struct<name:string,repr:string,redacted:boolean,truncated:boolean>>").select(S.redact_args(F.col("args")).alias("a")).collect()
+    assert [tuple(a) for a in row[0].a] == [("x", "1", False, None), ("API-Key", "<redacted>", True, True), ("user_password", "<redacted>", True, False), (None, "v", True, None)] and row[1].a is None
+    cut = spark.createDataFrame([("abcdefghij",), ("abc",), (None,)], "t string").select(S.clamp_middle(F.col("t"), 8).alias("c"), S.is_clamped(F.col("t"), 8).alias("f")).collect()
+    assert [tuple(r) for r in cut] == [("ab...hij", True), ("abc", False), (None, False)]

@@ -1,11 +1,14 @@
 """Streams give what the batch operators give on the same rows."""
 
+import json
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
 from tracegraph.operators import events as E
 from tracegraph.operators import frames as FR
+from tracegraph.operators import series as SR
 from tracegraph.plans import derived as D
 from tracegraph.streaming import live
 
@@ -26,13 +29,89 @@ def test_heat_and_frames(spark):
     run(live.stream_heat(live.stream_events(spark, path, e.schema)), "complete", "live_heat")
     key = lambda df: sorted(map(tuple, df.select("session_id", "node_id", "heat").collect()))
     assert key(spark.table("live_heat")) == key(E.heat(e))
-    # one file in index order: a thread's rows must arrive in order to be closed in order
+    cols = ["session_id", "thread_id", "call_idx", "close_idx", "parent_idx", "node_id", "depth", "start_ns", "end_ns", "total_ns", "self_ns", "synthetic"]
+    norm = lambda df: sorted(tuple(-1 if v is None else v for v in r) for r in df.select(cols).collect())
+    ends = e.select("session_id").distinct().withColumns({"event": F.lit("end"), "idx": F.lit(1 << 40)})
     path = tempfile.mkdtemp() + "/t"
-    e.repartition(1).sortWithinPartitions("session_id", "idx").write.parquet(path)
+    for lo, hi in ((0, 100), (100, 250), (250, 10_000)):  # batches in order of their index
+        e.where((F.col("idx") >= lo) & (F.col("idx") < hi)).coalesce(1).write.mode("append").parquet(path)
+    e.limit(0).unionByName(ends, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(path)
     run(live.stream_frames(live.stream_events(spark, path, e.schema)), "append", "live_frames")
-    cols = ["session_id", "thread_id", "call_idx", "close_idx", "parent_idx", "node_id", "depth", "synthetic"]
-    norm = lambda df: sorted(tuple(-1 if v is None else v for v in r) for r in df.select(cols).collect())
-    assert norm(spark.table("live_frames")) == norm(FR.build_frames(e).where("close_idx is not null"))
+    assert norm(spark.table("live_frames")) == norm(FR.build_frames(e))  # open ones too
+
+
+def test_frames_with_late_times_and_idle_sessions(spark):
+    schema = "session_id string, idx long, event string, node_id string, ts_ns long, thread_id long, frame_depth int"
+    path = tempfile.mkdtemp() + "/t"
+    first = [("s", 0, "call", "a", 100, 1, 0), ("s", 1, "call", "b", 50, 1, 1), ("t", 0, "call", "x", 1, 5, 0)]
+    second = [("s", 2, "call", "c", 400, 1, 2), ("s", 3, "exception", "c", 20, 1, 3), ("s", 4, "end", None, None, None, None)]
+    for part in (first, second):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    run(live.stream_frames(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)), "append", "late_frames")
+    got = {r.node_id: (r.start_ns, r.end_ns, r.close_idx, r.synthetic) for r in spark.table("late_frames").collect()}
+    assert got == {"a": (100, 400, None, True), "b": (50, 400, None, True), "c": (400, 400, None, True)}  # x stays open
+    q = live.stream_frames(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path), idle_ms=1).writeStream.outputMode("append").format("memory").queryName("idle_frames")
+    q = q.trigger(processingTime="300 milliseconds").start()
+    for _ in range(100):
+        if "x" in {r.node_id for r in spark.table("idle_frames").collect()}:
+            break
+        time.sleep(0.3)
+    q.stop()
+    assert {r.node_id: r.end_ns for r in spark.table("idle_frames").collect()}["x"] == 1
+
+
+def test_messages(spark):
+    folder = tempfile.mkdtemp()
+    say = lambda kind, **p: json.dumps({"id": "1", "type": kind, "payload": p})
+    event = lambda kind, node, ts, depth, **more: say("trace_event", event=kind, node_id=node, ts_ns=ts, thread_id=1, frame_depth=depth, **more)
+    lines = [say("trace_session_start", session_id="one", started_ns=1, source="live"), event("call", "a", 1, 0), "no json", event("call", "b", 2, 1, metadata={"count": 4}), say("ping"), event("return", "b", 5, 1), say("trace_session_end", session_id="one", ended_ns=9, event_count=3)]
+    with open(folder + "/c1.jsonl", "w") as f:
+        f.write("\n".join(lines))
+    run(live.stream_sessions(live.stream_messages(spark, folder)), "append", "live_sessions")
+    assert [(r.session_id, r.started_ns, r.ended_ns, r.event_count) for r in spark.table("live_sessions").collect()] == [("one", 1, 5, 3)]
+    run(live.stream_frames(live.events_of(live.stream_messages(spark, folder))), "append", "message_frames")
+    assert sorted((r.node_id, r.start_ns, r.end_ns, r.synthetic) for r in spark.table("message_frames").collect()) == [("a", 1, 5, True), ("b", 2, 5, False)]
+    run(live.stream_heat(live.events_of(live.stream_messages(spark, folder)).where("event <> 'end'")), "complete", "message_heat")
+    assert {r.node_id: r.heat for r in spark.table("message_heat").collect()} == {"a": 1, "b": 5}
+
+
+def test_metric_points_carry_their_run(spark):
+    schema = "session_id string, idx long, event string, node_id string, ret string, ret_truncated boolean"
+    epochs = [1, 2, 3, 1, 2, 2, 5, 4, 6, 1]
+    rows = [("s", i, "return", "metrics.py:record_epoch", f"({e}, 0.5, {'nan' if i == 2 else 1})", False) for i, e in enumerate(epochs)] + [("t", 0, "return", "metrics.py:record_epoch", "(7, 1, 1)", None)]
+    path = tempfile.mkdtemp() + "/t"
+    for part in (rows[:4], rows[4:6], rows[6:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    run(live.stream_metric_series(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)), "append", "live_points")
+    batch = E.segment_runs(SR.metric_series(spark.createDataFrame(rows, schema)))
+    cols = ["session_id", "idx", "epoch", "loss", "accuracy", "run"]
+    assert sorted(map(tuple, spark.table("live_points").select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
+
+
+def test_graph_follows_its_files(spark):
+    schema = "path string, hash string, text string, ord long"
+    batches = [
+        [("a", "1", "x y", 0), ("b", "1", "y", 0), ("c", "1", "z", 0)],
+        [("a", "2", "x", 1), ("c", None, None, 1), ("d", "1", "q", 1), ("d", "2", "q r", 2)],
+        [("a", "2", "x", 3), ("b", "1", "y", 3)],
+    ]
+    path = tempfile.mkdtemp() + "/t"
+    for part in batches:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    seen = {}
+
+    def extract(files):
+        return files.select("path", "hash", F.explode(F.split("text", " ")).alias("word"))
+
+    def write(result, changes, n):
+        seen[n] = ({r.word: r["count"] for r in result.collect()}, {r.key: r.change for r in changes.collect()})
+
+    q = live.stream_graph(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path), extract, lambda rows: rows.groupBy("word").count(), write).start()
+    q.processAllAvailable()
+    q.stop()
+    assert seen[0] == ({"x": 1, "y": 2, "z": 1}, {"a": "added", "b": "added", "c": "added"})
+    assert seen[1] == ({"x": 1, "y": 1, "q": 1, "r": 1}, {"a": "changed", "c": "removed", "d": "added"})
+    assert seen[2] == (seen[1][0], {})
 
 
 def test_poll_deltas(spark):

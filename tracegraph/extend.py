@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import graph as G
@@ -53,15 +54,25 @@ def read(spark: SparkSession, source: str, path: str):
     return _sources[canonical(source)](spark, path)
 
 
-def analyse(name: str, nodes: DataFrame, edges: DataFrame, cache: dict[tuple, DataFrame] | None = None) -> DataFrame:
-    """The named analysis; with a ``cache``, the result of an equal graph is taken from it."""
+def analyse(name: str, nodes: DataFrame, edges: DataFrame, cache: str | None = None) -> DataFrame:
+    """The named analysis; with ``cache``, a folder, the result of an equal graph is read from there, also by other and later drivers.
+
+    A result's table lies under the analysis's name and the graph's signature and is complete once the table ``done`` beside it is there.
+    """
     compute = _analyses[canonical(name)]
     if cache is None:
         return compute(nodes, edges)
-    key = (canonical(name), *G.graph_signature(nodes, edges).first())
-    if key not in cache:
-        cache[key] = G.cut(compute(nodes, edges))
-    return cache[key]
+    spark = nodes.sparkSession
+    signature = "-".join(str(x) for x in G.graph_signature(nodes, edges).first())
+    folder = f"{cache}/analysis={canonical(name)}/signature={signature}"
+    try:
+        if not spark.read.schema("id long").parquet(folder + "/done").isEmpty():
+            return spark.read.parquet(folder + "/rows")
+    except AnalysisException:  # no such folder yet
+        pass
+    compute(nodes, edges).write.mode("overwrite").parquet(folder + "/rows")
+    spark.range(1).write.mode("overwrite").parquet(folder + "/done")
+    return spark.read.parquet(folder + "/rows")
 
 
 for _name in ("class", "enum", "file", "function", "interface", "method", "struct", "type_alias"):

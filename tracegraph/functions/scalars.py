@@ -47,6 +47,57 @@ def redact(name: Column, value: Column) -> Column:
     return F.when(F.translate(F.lower(name), "-", "_").rlike("|".join(SENSITIVE)), F.lit("<redacted>")).otherwise(value)
 
 
+def redact_args(args: Column) -> Column:
+    """An array of captured arguments (``name, repr, redacted, truncated``) in which sensitive ones are marked and lose their value."""
+    hide = lambda a: F.coalesce(F.translate(F.lower(a["name"]), "-", "_").rlike("|".join(SENSITIVE)), F.lit(False))
+    one = lambda a: F.struct(
+        a["name"].alias("name"), F.when(hide(a), F.lit("<redacted>")).otherwise(a["repr"]).alias("repr"),
+        (hide(a) | F.coalesce(a["redacted"], F.lit(False))).alias("redacted"), a["truncated"].alias("truncated"),
+    )
+    return F.transform(args, one)
+
+
+def is_clamped(text: Column, n: int) -> Column:
+    """Whether :func:`clamp_middle` shortens the text."""
+    return F.coalesce(F.length(text) > n, F.lit(False))
+
+
+def visible(search: str = "", hidden_kinds: tuple[str, ...] = (), exclude: tuple[str, ...] = (), names: tuple[str, ...] = ("name", "path")) -> Column:
+    """Whether a node (columns ``kind, path`` and ``names``) is shown: its kind is not hidden, no glob holds its path, and the search, in any case, is part of a name."""
+    out = ~F.coalesce(F.col("kind").isin(list(hidden_kinds)), F.lit(False)) if hidden_kinds else F.lit(True)
+    for g in exclude:
+        out = out & ~F.coalesce(glob_match(F.col("path"), g), F.lit(False))
+    if search:
+        found = F.lit(False)
+        for c in names:
+            found = found | F.coalesce(F.contains(F.lower(c), F.lit(search.lower())), F.lit(False))
+        out = out & found
+    return out
+
+
+def is_private(name: Column) -> Column:
+    return F.startswith(name, F.lit("_")) & ~is_dunder(name)
+
+
+def is_test(name: Column, path: Column) -> Column:
+    """A test by its own name, its file's, or a folder ``tests`` on the way."""
+    return F.startswith(name, F.lit("test_")) | F.array_contains(F.split(path, "/"), "tests") | F.startswith(F.substring_index(path, "/", -1), F.lit("test_"))
+
+
+def path_depth(path: Column) -> Column:
+    return F.when(path == "", 0).otherwise(F.size(F.split(path, "/"))).cast("long")
+
+
+def name_flags(name: Column, path: Column) -> list[Column]:
+    return [is_dunder(name).alias("is_dunder"), is_private(name).alias("is_private"), is_test(name, path).alias("is_test"), path_depth(path).alias("path_depth")]
+
+
+def offset_line(text: Column, offset: Column | int) -> Column:
+    """Line, from 1, of the character at ``offset``."""
+    head = F.left(text, offset if isinstance(offset, Column) else F.lit(offset))
+    return (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1).cast("long")
+
+
 def clamp_middle(text: Column, n: int) -> Column:
     i = (n - 3) // 2
     return F.when(F.length(text) <= n, text).otherwise(F.concat(F.left(text, F.lit(i)), F.lit("..."), F.right(text, F.lit(n - 3 - i))))

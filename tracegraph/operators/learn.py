@@ -7,10 +7,11 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import is_dunder
+from ..functions.scalars import is_dunder, is_private, is_test, path_depth
 from ..schemas import EDGE_BUCKETS
 from . import graph
 
+# The version, kinds and names of the feature columns that stored models expect.
 FEATURE_VERSION = 1
 KINDS = ["function", "method", "class", "file"]
 FEATURES = (
@@ -75,8 +76,6 @@ def features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     f = f.join(graph.file_fan(nodes.withColumn("path", F.coalesce("path", F.lit(""))), e), "path", "left").na.fill(0, ["fan_in", "fan_out"])
     one = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     name, path = F.col("name"), F.col("path")
-    base = F.substring_index("path", "/", -1)
-    is_test = F.startswith(name, F.lit("test_")) | F.array_contains(F.split(path, "/"), "tests") | F.startswith(base, F.lit("test_"))
     cols = {
         "log1p_in_degree": F.log1p("in_degree"), "log1p_out_degree": F.log1p("out_degree"),
         **{f"log1p_{s}_{b}": F.log1p(f"{s}_{b}") for s in ("in", "out") for b in EDGE_BUCKETS},
@@ -85,8 +84,8 @@ def features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "in_degree_percentile": F.col("in_degree_percentile"), "out_degree_percentile": F.col("out_degree_percentile"),
         "log1p_file_fan_in": F.log1p("fan_in"), "log1p_file_fan_out": F.log1p("fan_out"), "log1p_bfs_depth": F.log1p(F.greatest("depth", F.lit(0))),
         "reachable": one(F.col("reachable")), "log1p_name_len": F.log1p(F.length(name)), "is_dunder": one(is_dunder(name)),
-        "is_private": one(F.startswith(name, F.lit("_")) & ~is_dunder(name)), "is_test": one(is_test), "is_async": one(F.col("is_async")),
-        "has_decorators": one(F.col("has_decorators")), "log1p_path_depth": F.log1p(F.when(path == "", 0).otherwise(F.size(F.split(path, "/")))),
+        "is_private": one(is_private(name)), "is_test": one(is_test(name, path)), "is_async": one(F.col("is_async")),
+        "has_decorators": one(F.col("has_decorators")), "log1p_path_depth": F.log1p(path_depth(path)),
         "log1p_line": F.log1p(F.coalesce("line", F.lit(0))),
     }
     return f.select("id", *[cols[c].cast("double").alias(c) for c in FEATURES])
@@ -129,6 +128,38 @@ def prediction_status(scores: DataFrame, heat: DataFrame, tolerance: float = 0.2
     return both.select("id", "heat", "score", status.alias("status"))
 
 
+def surprise_hotspots(status: DataFrame, k: int = 10) -> DataFrame:
+    """``list, rank, id, value``: the ``k`` under-predicted nodes with the most heat, and the ``k`` with the highest score; ties by id."""
+    def top(name: str, rows: DataFrame, by: str) -> DataFrame:
+        best = rows.select("id", F.col(by).cast("double").alias("value")).orderBy(F.desc("value"), "id").limit(k)
+        order = Window.orderBy(F.desc("value"), "id")  # k rows
+        return best.select(F.lit(name).alias("list"), F.row_number().over(order).cast("long").alias("rank"), "id", "value")
+
+    return top("under", status.where("status = 'under'"), "heat").unionByName(top("predicted", status, "score"))
+
+
+def baseline_spearman(rows: DataFrame, target: str = "heat", by: str = "graph_id") -> DataFrame:
+    """Rank correlation of the target with the in-degree feature: what a model has to beat."""
+    return spearman(rows, "log1p_in_degree", target, by)
+
+
+def learn_report(rows: DataFrame, predicted: DataFrame, final_loss: float | None = None, history: str | None = None) -> DataFrame:
+    """One row: ``examples`` (graphs), ``nodes``, ``final_loss``, ``train_spearman`` and ``baseline_spearman`` (means over graphs); what is not finite is null.
+
+    ``rows(graph_id, id, heat, log1p_in_degree)``, ``predicted(graph_id, id, score)``. With ``history`` the row is appended to that table too.
+    """
+    finite = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
+    mean = lambda df, name: df.agg(F.avg("spearman").alias(name))
+    both = rows.join(predicted.select("graph_id", "id", "score"), ["graph_id", "id"])
+    counts = rows.agg(F.countDistinct("graph_id").alias("examples"), F.count("*").alias("nodes"))
+    one = counts.join(F.broadcast(mean(spearman(both, "score", "heat", "graph_id"), "train_spearman"))).join(F.broadcast(mean(baseline_spearman(rows), "baseline_spearman")))
+    loss = finite(F.lit(None if final_loss is None else float(final_loss)).cast("double"))
+    report = one.select("examples", "nodes", loss.alias("final_loss"), finite(F.col("train_spearman")).alias("train_spearman"), finite(F.col("baseline_spearman")).alias("baseline_spearman"))
+    if history:
+        report.coalesce(1).write.mode("append").parquet(history)
+    return report
+
+
 def split_by_graph(df: DataFrame, val_count: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Whole graphs to validation: the ``val_count`` first by a seeded hash of their id."""
     ids = df.select("graph_id").distinct()

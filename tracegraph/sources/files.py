@@ -72,6 +72,11 @@ def list_sessions(sessions: DataFrame) -> DataFrame:
     return sessions.orderBy(F.desc_nulls_last("started_ns"), "id")
 
 
+def get_session(sessions: DataFrame, session: str) -> DataFrame:
+    """The row with that id, if any."""
+    return sessions.where(F.col("id") == session)
+
+
 def pair_corpus(files: DataFrame) -> DataFrame:
     """``stem, graph, trace`` from paths ``*.graph.json`` and ``*.trace.jsonl`` (``files(path)``); a stem without its twin is an error when read."""
     name = F.substring_index("path", "/", -1)

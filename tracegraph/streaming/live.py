@@ -10,49 +10,126 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.messages import decode_envelopes
+from ..functions.scalars import event_weight
+
 
 def stream_events(spark: SparkSession, path: str, schema) -> DataFrame:
     """Trace events as they arrive as Parquet files."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+MESSAGES = ["trace_session_start", "trace_event", "trace_session_end"]
+PAYLOAD = "session_id string, event string, node_id string, ts_ns long, thread_id long, frame_depth int, started_ns long, ended_ns long, metadata string"
+
+
+def stream_messages(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+    """Messages of live traces as they arrive as files of JSON lines: ``connection`` (its file), ``seq`` (the line), ``type`` and the payload's fields.
+
+    A file is one connection's messages in order and is read as one value, so a writer should roll its files; of a message queue give ``messages_of`` its key and offset.
+    Lines that are no envelope and messages of other types are left out. What bounds a batch is the number of files it takes.
+    """
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("wholetext", True).text(path)
+    lines = files.select(F.col("_metadata.file_path").alias("connection"), F.posexplode(F.split("value", "\n")).alias("seq", "value"))
+    return messages_of(lines.withColumn("seq", F.col("seq").cast("long")))
+
+
+def messages_of(lines: DataFrame) -> DataFrame:
+    """``lines(connection, seq, value)`` as ``connection, seq, type`` and the payload's fields."""
+    known = decode_envelopes(lines, MESSAGES).where("error is null")
+    return known.select("connection", "seq", "type", F.from_json("payload", PAYLOAD).alias("p")).select("connection", "seq", "type", "p.*")
+
+
+def events_of(messages: DataFrame) -> DataFrame:
+    """The trace events among messages, ready for ``stream_heat`` and ``stream_frames``: a connection is a session, ``seq`` its index. A session's end is
+    an event ``end`` without a thread."""
+    at = messages.where(F.col("type") != "trace_session_start")
+    event = F.when(F.col("type") == "trace_session_end", "end").otherwise(F.col("event"))
+    ts = F.when(F.col("type") == "trace_session_end", F.col("ended_ns")).otherwise(F.col("ts_ns"))
+    return at.select(
+        F.col("connection").alias("session_id"), F.col("seq").alias("idx"), event.alias("event"), F.coalesce("node_id", F.lit("")).alias("node_id"),
+        ts.alias("ts_ns"), "thread_id", "frame_depth", event_weight(F.col("metadata")).alias("weight"),
+    )
+
+
 def stream_heat(events: DataFrame) -> DataFrame:
     """Running weighted count per session and node (update mode)."""
     return events.where("node_id <> ''").groupBy("session_id", "node_id").agg(F.sum("weight").cast("long").alias("heat"))
 
 
-FRAME = "session_id string, thread_id long, call_idx long, close_idx long, parent_idx long, node_id string, depth int, start_ns long, end_ns long, synthetic boolean"
+FRAME = (
+    "session_id string, thread_id long, call_idx long, close_idx long, parent_idx long, node_id string, depth int, start_ns long, end_ns long, total_ns long,"
+    " self_ns long, synthetic boolean"
+)
+OPEN = "thread array<long>, idx array<long>, node array<string>, depth array<int>, start array<long>, inner array<long>, threads array<long>, latest array<long>"
 
 
-def _frames(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Open frames of one thread in state: as many as its stack is deep. Rows of a batch are taken in index order."""
-    stack = [list(f) for f in zip(*state.get[:4])] if state.exists else []
-    latest = state.get[4] if state.exists else 0
+def _frames(key, chunks: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None) -> Iterator[pd.DataFrame]:
+    """The open frames of a session's threads in state, as many as the stacks are deep, with the time their children took; and each thread's latest time."""
+    stacks: dict[int, list[list]] = {}
+    latest: dict[int, int] = {}
+    if state.exists:
+        *cols, threads, times = state.get
+        latest = dict(zip(threads, times))
+        for thread, *f in zip(*cols):
+            stacks.setdefault(thread, []).append(f)
     done = []
-    rows = pd.concat(list(chunks)).sort_values("idx")
-    for r in rows.itertuples():
-        latest = max(latest, r.ts_ns)
-        if r.event not in ("call", "return"):
-            continue
-        while stack and stack[-1][2] >= r.frame_depth:
-            idx, node, depth, start = stack.pop()
-            normal = r.event == "return" and depth == r.frame_depth
-            done.append((*key, idx, r.idx, stack[-1][0] if stack else None, node, depth, start, max(start, r.ts_ns), not normal))
-        if r.event == "call":
-            stack.append([r.idx, r.node_id, r.frame_depth, r.ts_ns])
-    cols = [list(c) for c in zip(*stack)] if stack else [[], [], [], []]
-    state.update((*cols, latest))
+
+    def close(thread, idx, ts, normal):
+        i, node, depth, start, inner = stacks[thread].pop()
+        total = max(start, ts) - start
+        up = stacks[thread][-1] if stacks[thread] else None
+        if up:
+            up[4] += total
+        done.append((*key, thread, i, idx, up[0] if up else None, node, depth, start, start + total, total, max(0, total - inner), not normal))
+
+    def flush():
+        for thread, stack in stacks.items():
+            while stack:
+                close(thread, None, latest[thread], False)
+        stacks.clear()
+        latest.clear()
+
+    if state.hasTimedOut:
+        flush()
+    else:
+        for r in pd.concat(list(chunks)).sort_values("idx").itertuples():
+            if r.event == "end":
+                flush()
+                continue
+            thread = int(r.thread_id)
+            latest[thread] = max(latest.get(thread, r.ts_ns), r.ts_ns)
+            if r.event not in ("call", "return") or pd.isna(r.frame_depth):
+                continue
+            stack = stacks.setdefault(thread, [])
+            while stack and stack[-1][2] >= r.frame_depth:
+                close(thread, r.idx, r.ts_ns, r.event == "return" and stack[-1][2] == r.frame_depth)
+            if r.event == "call":
+                stack.append([r.idx, r.node_id, int(r.frame_depth), r.ts_ns, 0])
+    if latest:
+        flat = [[t, *f] for t, stack in stacks.items() for f in stack]
+        cols = [list(c) for c in zip(*flat)] if flat else [[] for _ in range(6)]
+        state.update((*cols, list(latest), list(latest.values())))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+    elif state.exists:
+        state.remove()
     names = [c.split()[0] for c in FRAME.split(", ")]
     out = pd.DataFrame(done, columns=names)
-    out["parent_idx"] = out["parent_idx"].astype("Int64")
+    for c in ("close_idx", "parent_idx"):
+        out[c] = out[c].astype("Int64")
     yield out
 
 
-def stream_frames(events: DataFrame) -> DataFrame:
-    """Frames, as soon as they close, of a stream of events (append mode)."""
-    return events.groupBy("session_id", "thread_id").applyInPandasWithState(
-        _frames, FRAME, "idx array<long>, node array<string>, depth array<int>, start array<long>, latest long", "append", GroupStateTimeout.NoTimeout
-    )
+def stream_frames(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Frames, as soon as they close, of a stream of events (append mode).
+
+    Rows count in index order inside a batch and in the order of their batches; an event ``end`` closes all that is open in its session, as does
+    ``idle_ms`` without a row where that is given. Frames closed so have no ``close_idx`` and end at the latest time of their thread, so that rows with an
+    earlier time that come late let no frame end before its children. A session is one group: its state is as large as its threads' stacks are deep.
+    """
+    how = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return events.groupBy("session_id").applyInPandasWithState(lambda *a: _frames(*a, idle_ms), FRAME, OPEN, "append", how)
 
 
 def _deltas(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -149,8 +226,59 @@ def stream_sessions(messages: DataFrame) -> DataFrame:
     return messages.groupBy("connection").applyInPandasWithState(_sessions, SESSION, "sid string, first long, last long, n long", "append", GroupStateTimeout.NoTimeout)
 
 
+POINT = "session_id string, idx long, epoch long, loss double, accuracy double, run long"
+
+
+def _points(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The last epoch of a session and the number of its run in state."""
+    last, run = state.get if state.exists else (-1, -1)
+    out = []
+    for r in pd.concat(list(chunks)).sort_values("idx").itertuples():
+        run = max(run, 0) + (1 if run >= 0 and r.epoch <= last else 0)
+        last = r.epoch
+        out.append((*key, r.idx, r.epoch, r.loss, r.accuracy, run))
+    state.update((int(last), int(run)))
+    yield pd.DataFrame(out, columns=[c.split()[0] for c in POINT.split(", ")])
+
+
 def stream_metric_series(events: DataFrame, suffix: str = "metrics.py:record_epoch") -> DataFrame:
-    """Finite metric points as they arrive (append mode); runs are told apart over the whole table by ``segment_runs``."""
+    """Finite metric points as they arrive (append mode), with ``run``: a run starts where the epoch does not rise, also across batches."""
     from ..operators.series import metric_tuples
 
-    return metric_tuples(events, suffix, 2).where("finite").select("session_id", "idx", "epoch", F.col("numbers")[0].alias("loss"), F.col("numbers")[1].alias("accuracy"))
+    points = metric_tuples(events, suffix, 2).where("finite").select("session_id", "idx", "epoch", F.col("numbers")[0].alias("loss"), F.col("numbers")[1].alias("accuracy"))
+    return points.groupBy("session_id").applyInPandasWithState(_points, POINT, "last long, run long", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_graph(files: DataFrame, extract, analyse, write):
+    """Refreshes a graph from changed files: ``files(path, hash, text)`` as they arrive, a null text for one that is gone.
+
+    Each batch computes ``extract(files)`` (rows with ``path`` and ``hash``) for files whose hash is new and keeps the rest of the table before,
+    then hands ``analyse(rows)`` of the whole table and the batch's changes of files to ``write(result, changes, batch)``. Between batches there is one table in the shared
+    folder, of two that are written in turn; the driver knows which, so a query that is started again begins with an empty graph. Of several rows of a file in one batch the last by ``ord`` counts where that column is there.
+    """
+    from ..sources.files import reuse_partials
+    from ..sources.traces import snapshot_diff
+    from ..storage import Rounds
+
+    held: dict = {}
+
+    def batch(df: DataFrame, n: int) -> None:
+        spark = df.sparkSession
+        if "ord" in df.columns:
+            df = df.groupBy("path").agg(F.max_by(F.struct("hash", "text"), "ord").alias("f")).select("path", "f.*")
+        if not held:
+            held.update(known=Rounds(spark), parts=Rounds(spark))
+            before = df.select("path", "hash").limit(0)
+        else:
+            before = held["files"]
+        came = df.where("text is not null")
+        now = before.join(df.select("path").distinct(), "path", "left_anti").unionByName(came.select("path", "hash"))
+        changes = snapshot_diff(before.select(F.col("path").alias("key"), "hash"), now.select(F.col("path").alias("key"), "hash"))
+        files_now = held["known"].cut(now)
+        fresh = extract(came)
+        kept = held["rows"] if "rows" in held else fresh.limit(0)
+        rows = held["parts"].cut(reuse_partials(files_now, kept, lambda missing: extract(came.join(missing.select("path", "hash"), ["path", "hash"], "left_semi"))))
+        write(analyse(rows), changes, n)
+        held.update(files=files_now, rows=rows)
+
+    return files.writeStream.foreachBatch(batch)
