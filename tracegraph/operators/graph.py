@@ -135,14 +135,21 @@ def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cycles(nodes: DataFrame, edges: DataFrame, top: int = 100) -> DataFrame:
-    """Components of more than one node and self loops: ``id`` (sorted ids joined), ``size``, ``kinds``; the largest ``top``."""
+    """Components of more than one node and self loops: ``id`` (sorted ids joined), ``size``, ``nodes`` (sorted ids), ``kinds``; the largest ``top``, ties by ``id``.
+
+    The largest are chosen by size and smallest member before any ids are gathered, so only what is returned is put into rows.
+    """
     e = resolved_edges(nodes, edges)
     loops = e.where("source = target").select(F.col("source").alias("id")).distinct().withColumn("loop", F.lit(True))
-    member = scc(nodes, edges).join(loops, "id", "left").where("size > 1 or loop").select("id", "scc", "size")
+    member = cut(scc(nodes, edges).join(loops, "id", "left").where("size > 1 or loop").select("id", "scc", "size"))
+    # ids of components that share no node differ within the smallest member and the mark behind it
+    by = F.when(F.col("size") > 1, F.concat("least", F.lit("|"))).otherwise(F.col("least"))
+    chosen = member.groupBy("scc").agg(F.min("id").alias("least"), F.count("*").alias("size")).orderBy(F.desc("size"), by).limit(top).select("scc", "size")
+    member = member.select("id", "scc").join(F.broadcast(chosen.select("scc")), "scc")  # ``top`` rows
     kinds = e.join(member.select(F.col("id").alias("source"), F.col("scc").alias("a")), "source").join(member.select(F.col("id").alias("target"), F.col("scc").alias("b")), "target")
     kinds = kinds.where("a = b").groupBy(F.col("a").alias("scc")).agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
-    names = member.groupBy("scc").agg(F.array_join(F.array_sort(F.collect_list("id")), "|").alias("id"), F.count("*").alias("size"))
-    return names.join(kinds, "scc").select("id", "size", "kinds").orderBy(F.desc("size"), "id").limit(top)
+    names = member.groupBy("scc").agg(F.array_sort(F.collect_list("id")).alias("nodes"))
+    return names.join(chosen, "scc").join(kinds, "scc").select(F.array_join("nodes", "|").alias("id"), "size", "nodes", "kinds").orderBy(F.desc("size"), "id")
 
 
 def graph_signature(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -173,11 +180,19 @@ def uniquify_ids(nodes: DataFrame) -> DataFrame:
 
 
 def implements_edges(members: DataFrame) -> DataFrame:
-    """Structs that have all methods of an interface, by relational division. ``members(id, kind, method)``."""
+    """Structs that have all methods of an interface. ``members(id, kind, method)``.
+
+    An interface is first joined on its method that the fewest structs have, and its other methods are checked on those candidates alone, so a method
+    that every type has multiplies nothing.
+    """
     need = members.where("kind = 'interface'").select(F.col("id").alias("interface"), "method").distinct()
     have = members.where("kind = 'struct'").select(F.col("id").alias("struct"), "method").distinct()
-    total = need.groupBy("interface").agg(F.count("*").alias("need"))
-    return have.join(need, "method").groupBy("struct", "interface").agg(F.count("*").alias("got")).join(total, "interface").where("got = need").select("struct", "interface")
+    common = need.join(have.groupBy("method").agg(F.count("*").alias("structs")), "method", "left").na.fill(0, ["structs"])
+    first = common.groupBy("interface").agg(F.min(F.struct("structs", "method")).alias("m"), F.count("*").alias("need")).where("m.structs > 0")
+    candidates = first.select("interface", "need", F.col("m.method").alias("method")).join(have, "method").select("interface", "struct", "need")
+    asked = candidates.where("need > 1").join(need, "interface").join(have, ["struct", "method"])
+    all_ = asked.groupBy("struct", "interface").agg(F.count("*").alias("got"), F.max("need").alias("need")).where("got = need").select("struct", "interface")
+    return all_.unionByName(candidates.where("need = 1").select("struct", "interface"))
 
 
 def route_edges(hints: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.events import dense_index
 
-MAX_DEPTH = 5
+MAX_DEPTH = 5  # of the derived trace
 
 
 def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -84,14 +84,16 @@ G = """gn AS (SELECT 'p' || p_partkey AS id, 'function' AS kind, p_name AS name,
 
 
 def call_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes: users of the events; edges: from each user of a large event to one a few numbers on. Sparse, with rings."""
-    e = t(spark, sf, "events").where("value > 60")
-    nodes = t(spark, sf, "events").selectExpr("concat('u', user_id % 100) id", "case when user_id % 100 < 3 then 'file' else 'function' end kind").distinct()
-    edges = e.selectExpr("concat('u', user_id % 100) source", "concat('u', (user_id + event_id % 7 + 1) % 100) target", "case when event_type in ('view', 'click') then 'call' else 'import' end kind").where("target > source or source < 'u3'")
-    return nodes, edges
-
-
-CG = """cn AS (SELECT DISTINCT 'u' || (user_id % 100) AS id, CASE WHEN user_id % 100 < 3 THEN 'file' ELSE 'function' END AS kind FROM events),
- ce0 AS (SELECT 'u' || (user_id % 100) AS source, 'u' || ((user_id + event_id % 7 + 1) % 100) AS target, CASE WHEN event_type IN ('view', 'click') THEN 'call' ELSE 'import' END AS kind FROM events WHERE value > 60),
- ce AS (SELECT * FROM ce0 WHERE (target > source OR source < 'u3') AND source IN (SELECT id FROM cn) AND target IN (SELECT id FROM cn)),
+    """Nodes: the users of the events, in blocks of ten. Edges: one per event, from its user; in every third block around a ring, else up the block; some to themselves, some to
+    the next block, in fives of blocks. So there are rings, chains and loops at every scale."""
+    e = t(spark, sf, "events").selectExpr("user_id u", "user_id div 10 b", "user_id % 10 p", "event_id e", "event_id % 3 + 1 step", "if(event_type in ('view', 'click'), 'call', 'import') kind")
+    to = "case when e % 97 = 0 then u when e % 11 = 0 and b % 5 <> 4 then u + 10 when b % 3 = 0 then b * 10 + (p + step) % 10 else least(b * 10 + 9, u + step) end"
+    nodes = e.selectExpr("concat('u', u) id", "if(p = 0, 'file', 'function') kind").distinct()
+    return nodes, e.selectExpr("concat('u', u) source", f"concat('u', {to}) target", "kind")
+
+
+CG = """ev AS (SELECT user_id AS u, user_id // 10 AS b, user_id % 10 AS p, event_id AS e, event_id % 3 + 1 AS step, CASE WHEN event_type IN ('view', 'click') THEN 'call' ELSE 'import' END AS kind FROM events),
+ cn AS (SELECT DISTINCT 'u' || u AS id, CASE WHEN p = 0 THEN 'file' ELSE 'function' END AS kind FROM ev),
+ ce0 AS (SELECT DISTINCT 'u' || u AS source, 'u' || (CASE WHEN e % 97 = 0 THEN u WHEN e % 11 = 0 AND b % 5 <> 4 THEN u + 10 WHEN b % 3 = 0 THEN b * 10 + (p + step) % 10 ELSE least(b * 10 + 9, u + step) END) AS target, kind FROM ev),
+ ce AS (SELECT * FROM ce0 WHERE source IN (SELECT id FROM cn) AND target IN (SELECT id FROM cn)),
  rc AS (SELECT source AS a, target AS b FROM ce UNION SELECT rc.a, ce.target FROM rc JOIN ce ON ce.source = rc.b)"""
