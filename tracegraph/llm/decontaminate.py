@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, whole as packed
+from ._common import cut, whole
 
 TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?\n]")
 # Unit words, taken as such right after a number.
@@ -54,29 +54,27 @@ class Codes(dict):
     def arrays(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self) > self.most:
             self.clear()
-        codes = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        several = pa.array(tokens, pa.string()).dictionary_encode()
+        codes = np.fromiter(map(self.__getitem__, several.dictionary.to_pylist()), np.int64)[several.indices.to_numpy()]
         return self.k[codes], self.h[codes]
 
 
-def template(tokens: list[str], codes: Codes, names: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of each word in ``tokens``, its template hash, whether it is a slot).
+def template(kind: np.ndarray, h: np.ndarray, names: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place of each word among the tokens, its template hash, whether it is a slot, whether it is a name).
 
     Slots: numbers, unit words right after a number, and, with ``names`` 1, capitalised words that do not open a sentence; with 2 all
     capitalised words, a run of them as one slot.
     """
-    if not tokens:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    kind, h = codes.arrays(tokens)
     before = np.r_[np.int8(END), kind[:-1]]
     number, unit = kind == NUMBER, (kind == UNIT) & (before == NUMBER)
     name = (kind == NAME) & ((before != END) | (names == 2)) & bool(names)
     t = np.where(number, NUMBER_HASH, np.where(unit, UNIT_HASH, np.where(name, NAME_HASH, h)))
     keep = np.flatnonzero((kind != END) & ~(name & (before == NAME) & (names == 2)))
-    return keep, t[keep], (number | unit | name)[keep]
+    return keep, t[keep], (number | unit | name)[keep], name[keep]
 
 
-def windows(t: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the windows of ``size`` words of which half at least are no slots."""
+def windows(t: np.ndarray, slot: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the windows of ``size`` words that lie in one text and of which half at least are no slots."""
     n = len(t) - size + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -87,28 +85,30 @@ def windows(t: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     slots = np.r_[0, np.cumsum(slot)]
-    at = np.flatnonzero(2 * (slots[size:] - slots[:-size]) <= size)
+    at = np.flatnonzero((2 * (slots[size:] - slots[:-size]) <= size) & (text[:n] == text[size - 1 :]))
     return at, h[at]
 
 
-def whole(h: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each run of ``size`` words, taken as they are."""
+def runs(h: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of each run of ``size`` words of one text, taken as they are."""
     n = len(h) - size + 1
     if n < 1:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     sums = np.zeros(len(h) + 1, np.uint64)
     power = np.r_[np.uint64(1), np.cumprod(np.full(len(h), STEP))]
     sums[1:] = np.cumsum(h * power[:-1])
     out = (sums[size:] - sums[:-size]) * np.r_[np.uint64(1), np.cumprod(np.full(n, BACK))][:n]  # as if each began the text
     out ^= out >> np.uint64(29)
     out = out * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(size)
-    return out ^ out >> np.uint64(32)
+    at = np.flatnonzero(text[:n] == text[size - 1 :])
+    return at, (out ^ out >> np.uint64(32))[at]
 
 
 def _find(size: int, least: int, wanted: bytes | None, lengths: list[int] = ()):
     """Rows ``(key, variant, pos, word, h, slots)`` of the windows whose hash the filter lets through; without one, of items.
 
     Variants 0 to 2 are the templates; 3 is the whole literal text of items with few windows, in documents all runs of their ``lengths``.
+    Texts are worked on by the hundred, as one array of tokens with a sentence end before each text.
     """
     open_to = None if wanted is None else np.unpackbits(np.frombuffer(wanted, np.uint8)).astype(bool)
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
@@ -119,45 +119,70 @@ def _find(size: int, least: int, wanted: bytes | None, lengths: list[int] = ()):
         ok = open_to[h >> np.uint64(64 - FILTER_BITS)]
         return at[ok], h[ok]
 
+    def solve(codes, keys, tokens, counts):
+        out = tuple([] for _ in kinds)
+        add = lambda *row: [col.append(v) for col, v in zip(out, row)]
+        text = np.repeat(np.arange(len(keys)), counts)
+        kind, h = codes.arrays(tokens)
+        for variant in (0, 1, 2):
+            place, t, slot, name = template(kind, h, variant)
+            inside = text[place]
+            first = np.searchsorted(inside, np.arange(len(keys)))
+            at, x = windows(t, slot, inside, size)
+            if variant:  # a text without names is as in variant 0
+                named = np.zeros(len(keys), bool)
+                named[inside[name]] = True
+                ok = named[inside[at]]
+                at, x = at[ok], x[ok]
+            else:
+                words, word_text, word_first = place, inside, first
+                few = np.bincount(inside[at], minlength=len(keys)) < least
+            at, x = let(at, x)
+            for a, v in zip(at.tolist(), x.view(np.int64).tolist()):
+                values = []
+                for k in (a + np.flatnonzero(slot[a : a + size])).tolist():
+                    stop = place[k] + 1
+                    if variant == 2:
+                        end = place[k + 1] if k + 1 < len(place) else len(tokens)
+                        while stop < end and tokens[stop] not in ".!?\n":
+                            stop += 1
+                    values.append(" ".join(tokens[place[k] : stop]).lower())
+                d = int(inside[a])
+                add(keys[d], variant, a - int(first[d]), int(np.searchsorted(words, place[a])) - int(word_first[d]), v, values)
+        literal = h[words]
+        if wanted is None:
+            length = np.bincount(word_text, minlength=len(keys))
+            todo = [(n, few & (length == n)) for n in np.unique(length[few & (length > 0)]).tolist()]
+        else:
+            todo = [(n, None) for n in lengths]
+        for n, which in todo:
+            at, x = runs(literal, word_text, n)
+            if which is not None:
+                ok = which[word_text[at]]
+                at, x = at[ok], x[ok]
+            at, x = let(at, x)
+            for a, v in zip(at.tolist(), x.view(np.int64).tolist()):
+                begin, last = words[a], words[a + n - 1]
+                alone = tokens[begin - 1] in ".!?\n" and (last + 1 == len(tokens) or tokens[last + 1] in ".!?\n")
+                if wanted is None or alone or 2 * n >= size:
+                    at_word = a - int(word_first[word_text[a]])
+                    add(keys[word_text[a]], 3, at_word, at_word, v, [tokens[k].lower() for k in words[a : a + n]])
+        return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(out, kinds)], names=["key", "variant", "pos", "word", "h", "slots"])
+
     def run(batches):
         codes = Codes()
+        keys, tokens, counts = [], [], []
         for batch in batches:
-            keys, out = batch.column("key").to_pylist(), tuple([] for _ in kinds)
-            add = lambda *row: [col.append(v) for col, v in zip(out, row)]
-            for key, text in zip(keys, batch.column("text").to_pylist()):
-                tokens = TOKEN.findall(text or "")
-                plain, few = None, False
-                for variant in (0, 1, 2):
-                    place, t, slot = template(tokens, codes, variant)
-                    if variant and len(t) == len(plain) and (t == plain).all():
-                        continue  # no names: as without them
-                    at, h = windows(t, slot, size)
-                    if not variant:
-                        plain, words, few = t, place, len(at) < least
-                    at, h = let(at, h)
-                    for a, x in zip(at.tolist(), h.view(np.int64).tolist()):
-                        values = []
-                        for k in (a + np.flatnonzero(slot[a : a + size])).tolist():
-                            stop = place[k] + 1
-                            if variant == 2:
-                                end = place[k + 1] if k + 1 < len(place) else len(tokens)
-                                while stop < end and tokens[stop] not in ".!?\n":
-                                    stop += 1
-                            values.append(" ".join(tokens[place[k] : stop]).lower())
-                        add(key, variant, a, int(np.searchsorted(words, place[a])), x, values)
-                n = len(words)
-                if wanted is None and not few:
-                    continue
-                literal = codes.arrays(tokens)[1][words] if n else words.astype(np.uint64)
-                for length in lengths if wanted is not None else [n] if n else []:
-                    h = whole(literal, length)
-                    at, h = let(np.arange(len(h)), h)
-                    for a, x in zip(at.tolist(), h.view(np.int64).tolist()):
-                        first, last = words[a], words[a + length - 1]
-                        alone = (first == 0 or tokens[first - 1] in ".!?\n") and (last + 1 == len(tokens) or tokens[last + 1] in ".!?\n")
-                        if wanted is None or alone or 2 * length >= size:
-                            add(key, 3, a, a, x, [tokens[k].lower() for k in words[a : a + length]])
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(out, kinds)], names=["key", "variant", "pos", "word", "h", "slots"])
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+                own = TOKEN.findall(text or "")
+                keys.append(key), counts.append(len(own) + 1)
+                tokens.append("\n")
+                tokens += own
+                if len(tokens) > 1 << 17:
+                    yield solve(codes, keys, tokens, counts)
+                    keys, tokens, counts = [], [], []
+        if keys:
+            yield solve(codes, keys, tokens, counts)
 
     return run
 
@@ -301,4 +326,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **parameters) -> Data
     """The rows of ``docs`` in which no benchmark item was found; columns as given, whatever their names. Rows with null ids are told apart by a hash of their text."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
     bad = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, **parameters).select(F.col("doc_id").alias("ident")).distinct()
-    return docs.select(packed(docs), key.alias("ident")).join(bad, "ident", "left_anti").select("doc.*")
+    return docs.select(whole(docs), key.alias("ident")).join(bad, "ident", "left_anti").select("doc.*")
