@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import EDGE_BUCKETS
-from ..storage import cut
+from ..storage import Rounds, cut
 
 
 def resolved_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -88,45 +88,31 @@ def bfs_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, scc, size``: strongly connected components, named by their greatest id.
 
-    Rounds: nodes without edges in or out on what is left are components of their own and go; greatest ids spread forward until
-    they settle, which colours the graph; what reaches its colour's root backward inside the colour is a component and goes. Rounds
-    and steps follow the graph's longest chains; each is a join and an aggregation, cut from its lineage.
+    In each round every node learns the greatest id that reaches it and the greatest that it reaches. Where both are the same the nodes with it are a
+    component; else only edges between nodes that agree in both can lie inside one, so the others go and the next round begins.
+    Greatest ids spread over edges and by pointer jumping (what reaches the id that reaches me reaches me too), so steps are few on long chains; a step is one table,
+    and the loop holds two of them.
     """
-    left = cut(nodes.select("id").distinct())
-    e = cut(resolved_edges(nodes, edges).where("source <> target").select("source", "target").distinct())
-    found = []
-    while not left.isEmpty():
-        while True:  # trim
-            ends = e.select(F.col("source").alias("id")).distinct().intersect(e.select(F.col("target").alias("id")).distinct())
-            gone = left.join(ends, "id", "left_anti")
-            if gone.isEmpty():
-                break
-            found.append(cut(gone.select("id", F.col("id").alias("scc"))))
-            left = cut(left.join(ends, "id", "left_semi"))
-            e = cut(e.join(left.withColumnRenamed("id", "source"), "source", "left_semi").join(left.withColumnRenamed("id", "target"), "target", "left_semi"))
-        if left.isEmpty():
+    spark = nodes.sparkSession
+    states, links, found = Rounds(spark), Rounds(spark), []
+    e = links.cut(resolved_edges(nodes, edges).where("source <> target").select("source", "target").distinct())
+    left = nodes.select("id").distinct()
+    while True:
+        state = states.cut(left.select("id", F.col("id").alias("f"), F.col("id").alias("b"), F.lit(True).alias("moved")))
+        while not state.where("moved").isEmpty():
+            up = e.join(state.select(F.col("id").alias("source"), "f"), "source").groupBy(F.col("target").alias("id")).agg(F.max("f").alias("fu"))
+            down = e.join(state.select(F.col("id").alias("target"), "b"), "target").groupBy(F.col("source").alias("id")).agg(F.max("b").alias("bd"))
+            jump = lambda c, to: state.select(F.col("id").alias(c), F.col(c).alias(to)).where(F.col(c) != F.col(to)).join(state.select(c).distinct(), c, "left_semi")  # noqa: B023, E731
+            new = state.join(up, "id", "left").join(down, "id", "left").join(jump("f", "ff"), "f", "left").join(jump("b", "bb"), "b", "left")
+            f, b = F.greatest("f", "fu", "ff"), F.greatest("b", "bd", "bb")
+            state = states.cut(new.select("id", f.alias("f"), b.alias("b"), ((f > F.col("f")) | (b > F.col("b"))).alias("moved")))
+        found.append(cut(state.where("f = b").select("id", F.col("f").alias("scc"))))
+        rest = state.where("f <> b").select("id", "f", "b")
+        if rest.isEmpty():
             break
-        color = left.withColumn("color", F.col("id"))
-        while True:
-            got = e.join(color.toDF("source", "color"), "source").groupBy(F.col("target").alias("id")).agg(F.max("color").alias("c"))
-            new = cut(color.join(got, "id", "left").select("id", F.greatest("color", "c").alias("color"), (F.col("c") > F.col("color")).alias("moved")))
-            color = new.select("id", "color")
-            if new.where("moved").isEmpty():
-                break
-        inside = cut(e.join(color.toDF("source", "cs"), "source").join(color.toDF("target", "ct"), "target").where("cs = ct").select("source", "target"))
-        hit = front = color.where("id = color")
-        while True:
-            back = front.join(inside, F.col("id") == F.col("target")).select(F.col("source").alias("id"), "color").distinct()
-            front = cut(back.join(hit.select("id"), "id", "left_anti"))
-            if front.isEmpty():
-                break
-            hit = hit.unionByName(front)
-        hit = cut(hit)
-        found.append(hit.select("id", F.col("color").alias("scc")))
-        left = cut(left.join(hit, "id", "left_anti"))
-        e = cut(e.join(left.withColumnRenamed("id", "source"), "source", "left_semi").join(left.withColumnRenamed("id", "target"), "target", "left_semi"))
-    if not found:
-        return nodes.select("id", F.col("id").alias("scc"), F.lit(1).cast("long").alias("size")).limit(0)
+        ends = e.join(rest.toDF("source", "f", "b"), "source").join(rest.toDF("target", "tf", "tb"), "target")
+        e = links.cut(ends.where("f = tf and b = tb").select("source", "target"))
+        left = rest.select("id")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
