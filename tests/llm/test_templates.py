@@ -37,3 +37,51 @@ def test_largest_consistent_part():
     w = lambda k, *pairs: (k, k, k, frozenset(pairs))
     found = [w(0, ("3", "3")), w(1, ("3", "3"), ("5", "5")), w(2, ("5", "5")), w(3, ("5", "5"), ("7", "3")), w(4, ("7", "3")), w(5)]
     assert [x[0] for x in consistent(found, 1)] == [0, 1, 2, 5] and consistent(found, 5) == []
+
+
+FIRST, LAST = "Anna Bob Carla Dmitri Elena Farid Grace Hugo Ines Jonas".split(), "Stone Rivers Okafor Lindgren Castillo Meyer".split()
+PLAIN_WORDS = "the old farmer sold some fresh apples to a small market near river while rain fell over wide green fields and children played beside long wooden bridge before dinner".split()
+UNIT_WORDS = ["km", "kg", "hours", "minutes", "dollars", "meters", "liters", "days"]
+
+
+def question(rng):
+    """Words with places for a name, numbers and units; the name opens a sentence at times."""
+    words = [rng.choice(PLAIN_WORDS) for _ in range(rng.randint(18, 45))]
+    for _ in range(rng.randint(2, 4)):
+        words.insert(rng.randrange(1, len(words)), "{number} {unit}" if rng.random() < 0.5 else "{number}")
+    for _ in range(rng.randint(1, 3)):
+        words.insert(rng.randrange(len(words)), "{name}")
+    words.insert(len(words) // 2, ". Then {name}")
+    return " ".join(words) + "?"
+
+
+def filled(rng, form):
+    """One value for every place of one kind, so that the places agree; numbers differ from place to place."""
+    name = rng.choice(FIRST) + (" " + rng.choice(LAST) if rng.random() < 0.5 else "")
+    unit, numbers = rng.choice(UNIT_WORDS), rng.sample(range(2, 900), 9)
+    out = form.replace("{name}", name).replace("{unit}", unit)
+    for n in numbers:
+        out = out.replace("{number}", str(n), 1)
+    return out
+
+
+def test_recall_of_questions_with_new_parameters(spark):
+    import random
+
+    rng = random.Random(11)
+    forms = [question(rng) for _ in range(120)]
+    bench = [(i, filled(rng, f)) for i, f in enumerate(forms)]
+    around = lambda: " ".join(rng.choice(PLAIN_WORDS) for _ in range(30))
+    docs = [(i, f"{around()}. {filled(rng, f)} {around()}") for i, f in enumerate(forms)]
+    clean = [(1000 + i, f"{around()}. {filled(rng, question(rng))} {around()}") for i in range(120)]
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs + clean, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    recall = sum((i, i) in got for i in range(120)) / 120
+    assert recall >= 0.9, recall
+    assert not any(d != i for d, i in got)
+
+
+def test_short_and_slot_dense_items_stand_word_for_word(spark):
+    bench = [(1, "What is the capital city of Peru?"), (2, "Compute 17 + 25 * 3 - 4 and 9 / 3 then 12 - 7 and 8 + 1")]
+    docs = [(1, f"Quiz time. {bench[0][1]} Lima."), (2, f"Now {bench[1][1]} please"), (3, "What is the capital city of Chile?"), (4, "Compute 17 + 25 * 3 - 4 and 9 / 3 then 12 - 7 and 8 + 2")]
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 2)]
