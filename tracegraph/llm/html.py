@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -34,7 +35,7 @@ NEVER = set(
 STATE_FIRST, STATE_LAST = set("has have with no without is js not show hide".split()), set("layout open closed enabled disabled active visible offset free less".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?:(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<odd>[^>]*)>)", re.S
+    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^>]*)>)", re.S
 )
 ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
@@ -62,15 +63,30 @@ def beside(names: str) -> set[str]:
     return found
 
 
+@lru_cache(4096)
+def judged(rest: str) -> tuple[bool, frozenset[str], str]:
+    """Of a tag's attributes: whether the element is hidden or has a role beside the article, its marks, and its first class as in a path."""
+    names = attributes(rest)
+    gone = names.get("hidden", "no") not in ("no", "false", "until-found") or names.get("aria-hidden", "").lower() == "true"
+    gone = gone or names.get("role", "").lower() in ROLES or bool(UNSEEN.search(names.get("style", "")))
+    first = names.get("class", "").split()[:1]
+    return gone, frozenset(beside(names.get("class", "") + " " + names.get("id", ""))), f".{DIGITS.sub('#', first[0].lower())}" if first else ""
+
+
+PLAIN = (False, frozenset(), "")
+
+
 class Block(list):
     """Pieces of text of one block, the innermost container and the innermost set-aside element it lies in, and how much of it is link text."""
 
-    __slots__ = ("box", "aside", "links")
+    __slots__ = ("box", "aside", "links", "weight")
 
     def good(self) -> float:
         """Characters outside links, a link's counting against the block; short blocks count for less."""
-        n = len(SPACE.sub(" ", "".join(self)).strip())
-        return max(0, n - 2 * self.links) * (1.0 if n >= 40 else 0.3)
+        if self.weight is None:
+            n = len(" ".join("".join(self).split()))
+            self.weight = max(0, n - 2 * self.links) * (1.0 if n >= 40 else 0.3)
+        return self.weight
 
 
 class Page:
@@ -161,7 +177,7 @@ def read(html: str) -> Page:
             return
         if block is None:
             block = Block()
-            block.box, block.aside, block.links = box, aside, 0
+            block.box, block.aside, block.links, block.weight = box, aside, 0, None
             page.blocks.append(block)
         block.append(piece)
         if link:
@@ -183,10 +199,10 @@ def read(html: str) -> Page:
         if m.start() > at:
             text(html[at : m.start()])
         at = m.end()
-        tag = m["tag"].lower() if m["tag"] else ""
+        tag = m[2].lower() if m[2] else ""
         if not tag:
             continue
-        if m["close"]:
+        if m[1]:
             if opened.get(tag):
                 pop(nearest((tag,)))
             if tag in BLOCK or tag in DROP:
@@ -205,14 +221,11 @@ def read(html: str) -> Page:
                 pop(k)
         if tag == "li" and opened.get("li") and stack[k := nearest(LISTS)][0] == "li":
             pop(k)
-        rest = m["rest"] or m["odd"]
-        names = attributes(rest) if rest else {}
+        rest = m[3] or m[4]
+        gone, marks, first = judged(rest) if rest else PLAIN
         _, path, box, dropped, aside, link = stack[-1] if stack else nothing
-        gone = names.get("hidden", "no") not in ("no", "false", "until-found") or names.get("aria-hidden", "").lower() == "true"
-        gone = gone or names.get("role", "").lower() in ROLES or bool(UNSEEN.search(names.get("style", "")))
         whole = tag in ("html", "body")
         dropped = dropped or tag in DROP or (gone and not whole)
-        marks = beside(names.get("class", "") + " " + names.get("id", ""))
         if not dropped and not whole and (marks or tag == "form"):  # some pages are one form
             apart.append((aside, not marks & NEVER))
             aside = len(apart) - 1
@@ -220,8 +233,7 @@ def read(html: str) -> Page:
             close = re.compile(f"</{tag}", re.I).search(html, at)
             at = close.start() if close else end
         if tag in CONTAINER or tag in BLOCK:
-            first = names.get("class", "").split()[:1]
-            path = page.step(path, tag + (f".{DIGITS.sub('#', first[0].lower())}" if first else ""))
+            path = page.step(path, tag + first)
         if tag in CONTAINER and not dropped:
             page.box_up.append(box), page.box_path.append(path)
             box = len(page.box_up) - 1
@@ -246,7 +258,7 @@ P_OR_CONTAINER, LISTS = CONTAINER | {"p"}, {"li", "ul", "ol"}
 
 
 def tidy(block: Block) -> str:
-    return SPACE.sub(" ", unescape("".join(block))).strip()
+    return " ".join(unescape("".join(block)).split())
 
 
 def scores(page: Page) -> dict[int, float]:
