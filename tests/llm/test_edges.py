@@ -149,3 +149,21 @@ def test_languages_of_odd_rows(spark, docs):
     digits = spark.createDataFrame([(1, "12 34 !?"), (2, "\u4f60\u597d")], "doc_id long, text string")
     got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(digits, langid.train(docs)).collect()}
     assert got[1] == "und" and got[2] != "und"  # letters of no script that was learned have a nearest language, marked as rejected
+
+
+def test_megabytes_in_one_line(spark):
+    """Texts of some megabytes, as one line, as one word, and as lines of nothing."""
+    texts = [" ".join(f"word{i * i % 9973}" for i in range(300_000)), "x" * 3_000_000, "\n" * 500_000, "short text of a few words"]
+    df = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").repartition(4)
+    verdicts = {r["doc_id"]: r for r in quality.quality_rules(df)[0].collect()}
+    assert [verdicts[i]["n_words"] for i in range(4)] == [300_000, 1, 0, 6] and verdicts[1]["word_chars"] == 3_000_000
+    assert {r["doc_id"]: r["n_lines"] for r in line_dedup.without_repeats(df).collect()} == {0: 1, 1: 1, 2: 500_001, 3: 1}
+    assert {r["doc_id"]: r["n_words"] for r in license.scan_licenses(df).collect()} == {0: 300_000, 1: 1, 2: 0, 3: 6}
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()} == {i: i for i in range(4)}
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(df).collect()} == {i: i for i in range(4)}
+    item = df.where("doc_id = 3").selectExpr("doc_id item_id", "text")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, item).collect()] == [(3, 3)]
+    assert langid.predict(df, langid.train(df)).where("lang_pred = 'en'").count() == 3
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(df).collect()} == {0: 300_000, 1: 1, 2: 0, 3: 6}
+    pages = df.selectExpr("doc_id page_id", "'u' url", "concat('<p>', text) html")
+    assert {r["page_id"]: r["n_chars"] for r in html.main_text(pages).collect()} == {0: len(texts[0]), 1: 3_000_000, 2: 0, 3: len(texts[3])}

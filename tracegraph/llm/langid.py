@@ -81,6 +81,7 @@ def train(labelled: DataFrame, per_language: int = 1000, clusters: int = 4) -> M
     order = Window.partitionBy("lang").orderBy("order", "doc_id")
     chosen = known.select("lang", "order", "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
     rows = known.join(chosen.select("lang", "order").distinct(), ["lang", "order"], "left_semi")  # texts move only if chosen
+    rows = rows.groupBy("lang", "order").agg(F.min("text").alias("text"))  # one of an id's texts, however often it is repeated
     counted = rows.select("lang", "text").mapInArrow(_count_batches, "lang string, counts binary").persist()
     seen = [np.frombuffer(r.df, np.int64) for r in counted.groupBy("lang").applyInPandas(_document_frequency, "df binary").collect()]
     total = np.sum(seen, axis=0) if seen else np.zeros(BINS + 1, np.int64)
