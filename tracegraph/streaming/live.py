@@ -6,6 +6,7 @@ import time
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -178,28 +179,34 @@ def recent(rows: DataFrame, now_ns: int, seconds: float = 60.0, max_events: int
 
 
 def stream_recent(events: DataFrame, folder: str, seconds: float = 60.0, max_events: int | None = None):
-    """Keeps the recent history of a stream in ``folder/batch=N``, one table a batch, for those who join late (``latest_recent``)."""
+    """Keeps the recent history of a stream in ``folder`` for those who join late (``latest_recent``): two tables that batches write in turn.
+
+    A table counts once the mark beside it has its batch's number, so a batch that is broken off leaves the one before it in place.
+    """
 
     def batch(df: DataFrame, n: int) -> None:
-        now = time.time_ns()
+        spark, now, side = df.sparkSession, time.time_ns(), f"{folder}/side={n % 2}"
         rows = df.withColumn("received_ns", F.lit(now))
-        before = latest_recent(df.sparkSession, folder, n)
+        before = latest_recent(spark, folder, n)
         if before is not None:
             rows = before.unionByName(rows)
-        recent(rows, now, seconds, max_events).write.mode("overwrite").parquet(f"{folder}/batch={n}")
+        recent(rows, now, seconds, max_events).write.mode("overwrite").parquet(f"{side}/rows")
+        spark.range(n, n + 1).coalesce(1).write.mode("overwrite").parquet(f"{side}/mark")
 
     return events.writeStream.foreachBatch(batch)
 
 
 def latest_recent(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
     """The table of the last whole batch (under ``before``), if any."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    done = [int(s.getPath().getName()[6:]) for s in fs.listStatus(path) if s.getPath().getName().startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    done = [n for n in done if before is None or n < before]
-    return spark.read.parquet(f"{folder}/batch={max(done)}") if done else None
+    marks = {}
+    for side in (f"{folder}/side=0", f"{folder}/side=1"):
+        try:
+            for row in spark.read.schema("id long").parquet(f"{side}/mark").collect():  # one row
+                marks[row.id] = side
+        except AnalysisException:  # not written yet
+            continue
+    done = [n for n in marks if before is None or n < before]
+    return spark.read.parquet(f"{marks[max(done)]}/rows") if done else None
 
 
 SESSION = "connection string, session_id string, started_ns long, ended_ns long, event_count long"
