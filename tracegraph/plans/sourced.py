@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import hints as H
 from ..functions import messages as M
+from ..operators import events as E
 from ..operators import resolve as RS
 from ..operators import series as SR
 from ..sources import profiles as P
+from ..sources import traces as R
+from ..sources.files import reuse_partials
+from ..storage import new_folder
 from . import derived as D
 from .registry import events_query, query
 
@@ -146,3 +150,49 @@ query("resolve_relative", f"""WITH n AS (SELECT {_RE.format("p_partkey")} AS pat
  q AS (SELECT {_RE.format("l_partkey")} AS file, CASE WHEN l_linenumber % 2 = 0 THEN 'f' ELSE 'g' END || (l_suppkey % 50) AS name FROM lineitem),
  r AS (SELECT q.file, q.name, coalesce(own.id, ex.id) AS found FROM q LEFT JOIN own ON own.path = q.file AND own.name = q.name LEFT JOIN b ON b.file = q.file AND b.head = q.name AND b.c % 9 <> 0 AND b.module IN (SELECT path FROM fl) LEFT JOIN ex ON ex.path = b.module AND ex.name = b.original)
  SELECT file || ':f' AS source, coalesce(found, name) AS target, found IS NOT NULL AS followed, count(*) AS n FROM r GROUP BY ALL""")(_relative)
+
+
+def _trace_files(spark, sf):
+    """The trace written as JSON lines into the shared folder and read again; a file is a session there, so heat is summed over nodes."""
+    path = new_folder(spark)
+    e = D.trace_events(spark, sf).withColumns({"metadata": F.to_json(F.struct(F.col("weight").alias("count"))), "args": F.lit(None).cast("array<string>"), "ret_truncated": F.col("ret").isNotNull()})
+    R.write_trace(e, path)
+    return E.heat(R.read_trace(spark, path, "FAILFAST")).groupBy("node_id").agg(F.sum("heat").alias("heat"))
+
+
+query("trace_files", f"WITH {D.TE} SELECT node_id, CAST(sum(weight) AS BIGINT) AS heat FROM te GROUP BY 1")(_trace_files)
+
+
+def _graph_files(spark, sf):
+    """A graph document for every supplier, with its parts and line items, written into the shared folder and read again."""
+    path = new_folder(spark)
+    line = D.t(spark, sf, "lineitem")
+    nodes = line.selectExpr("l_suppkey graph_id", "l_partkey node_ord", "concat('p', l_partkey) id", "'function' kind", "concat('f', l_partkey) name", "concat('s', l_suppkey, '.go') path", "if(l_partkey % 2 = 0, cast(l_partkey as int), null) line", "if(l_partkey % 3 = 0, 'T', null) receiver").distinct()
+    edges = line.selectExpr("l_suppkey graph_id", "l_orderkey * 10 + l_linenumber edge_ord", "concat('s', l_suppkey) source", "concat('p', l_partkey) target", "'call' kind", "cast(l_quantity as int) line", "l_linenumber = 1 resolved",
+                            "if(l_linenumber = 2, array('a', 'b'), null) names", "cast(null as string) alias", "cast(null as string) default_name", "if(l_linenumber = 3, map('a', 'z'), null) aliases")
+    R.write_graph(nodes, edges, path)
+    nodes, edges = R.read_graph(spark, path)
+    seen = nodes.selectExpr("path source", "id target", "coalesce(receiver, '') mark", "line").union(edges.selectExpr("source", "target", "concat_ws(',', cast(resolved as string), cast(size(names) as string), aliases['a'])", "line"))
+    return seen.groupBy("source", "target", "mark", "line").agg(F.count("*").alias("n"))
+
+
+query("graph_files", """SELECT source, target, mark, line, count(*) AS n FROM (SELECT DISTINCT 's' || l_suppkey || '.go' AS source, 'p' || l_partkey AS target, CASE WHEN l_partkey % 3 = 0 THEN 'T' ELSE '' END AS mark, CASE WHEN l_partkey % 2 = 0 THEN CAST(l_partkey AS INT) END AS line FROM lineitem
+ UNION ALL SELECT 's' || l_suppkey, 'p' || l_partkey, CASE l_linenumber WHEN 1 THEN 'true' WHEN 2 THEN 'false,2' WHEN 3 THEN 'false,z' ELSE 'false' END, CAST(l_quantity AS INT) FROM lineitem) GROUP BY ALL""")(_graph_files)
+
+query("parse_scores", """WITH c AS (SELECT c_custkey // 20 AS g, c_custkey AS c, c_custkey % 40 / 8 AS score FROM customer WHERE c_custkey % 7 > 0), m AS (SELECT g, max(score) AS m FROM c GROUP BY 1)
+ SELECT CAST(g AS VARCHAR) AS graph_id, CAST(3 AS DOUBLE) AS model_version, 'n' || c AS node_id, CAST(score AS DOUBLE) AS score, CAST(m AS DOUBLE) AS max_score FROM c JOIN m USING (g) WHERE m > 0""")(
+    lambda spark, sf: M.parse_scores(
+        D.t(spark, sf, "customer").selectExpr("cast(c_custkey div 20 as string) graph_id", "struct(if(c_custkey % 7 = 0, '', concat('n', c_custkey)) as node_id, c_custkey % 40 / 8 as score) s")
+        .groupBy("graph_id").agg(F.to_json(F.struct(F.struct(F.lit(3).alias("model_version"), F.collect_list("s").alias("scores")).alias("predicted_heat"))).alias("metadata"))
+    )
+)
+
+
+def _partials(spark, sf):
+    part = D.t(spark, sf, "part")
+    cached = part.where("p_partkey % 4 > 0").selectExpr("concat('f', p_partkey) path", "concat(p_brand, if(p_partkey % 5 = 0, '!', '')) hash", "'kept' found")
+    files = part.where("p_partkey % 9 > 0").selectExpr("concat('f', p_partkey) path", "p_brand hash")
+    return reuse_partials(files, cached, lambda f: f.selectExpr("path", "hash", "'again' found"))
+
+
+query("reuse_partials", "SELECT 'f' || p_partkey AS path, p_brand AS hash, CASE WHEN p_partkey % 4 > 0 AND p_partkey % 5 > 0 THEN 'kept' ELSE 'again' END AS found FROM part WHERE p_partkey % 9 > 0")(_partials)

@@ -69,7 +69,7 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, version: str = "1") -> None:
-    """One JSON document per ``graph_id``, nodes and edges by their ordinals, absent keys left out; what ``read_graph`` reads. A document is one row and as large as its graph."""
+    """One JSON document in a file of its own per ``graph_id``, nodes and edges by their ordinals, absent keys left out; what ``read_graph`` reads. A document is one row and as large as its graph."""
     node_meta = F.when(F.col("receiver").isNotNull(), F.struct("receiver"))
     node = F.struct("node_ord", F.struct("id", "kind", "name", "path", "line", node_meta.alias("metadata")).alias("n"))
     edge_meta = F.struct("line", "resolved", "names", "alias", F.col("default_name").alias("default"), "aliases")
@@ -79,7 +79,7 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str, version: str = "1
     ns = nodes.groupBy("graph_id").agg(F.transform(F.array_sort(F.collect_list(node), by("node_ord")), lambda x: x["n"]).alias("nodes"))
     es = edges.groupBy("graph_id").agg(F.transform(F.array_sort(F.collect_list(edge), by("edge_ord")), lambda x: x["e"]).alias("edges"))
     doc = ns.join(es, "graph_id", "full_outer").select(F.to_json(F.struct(F.lit(version).alias("version"), F.coalesce("nodes", F.array()).alias("nodes"), F.coalesce("edges", F.array()).alias("edges"))).alias("value"), "graph_id")
-    doc.repartition("graph_id").select("value").write.text(path)
+    doc.repartition("graph_id").write.partitionBy("graph_id").text(path)
 
 
 def parse_line_coverage(lines: DataFrame) -> DataFrame:
