@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,27 +37,20 @@ def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame
     """One row per ``conv_id``: ``formatted``, the conversation as one string, and ``loss_spans``, where assistants' texts stand in it.
 
     Turns are ordered by ``(turn, role, text)``, nulls first, so ties and repeated rows give one defined
-    order. An aggregation over the turns merges adjacent ones of one role into a block, with a mark between their texts, so that
+    order. Adjacent turns of one role are aggregated into a block, with a mark between their texts, so that
     :func:`read_back` finds every turn again. Null text and
     null role count as empty; null ``conv_id`` rows form one conversation; an empty table gives no
     rows; other columns are not read. A conversation is one output row, so it is as large as that.
     """
     t = template
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    rows = turns.select("conv_id", F.struct("turn", role.alias("role"), escape(text, t).alias("text"), escape(role, t).alias("mark")).alias("t"))
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), _order).alias("t"))
-    kind = "struct<role:string,mark:string,texts:array<string>>"
-    none = F.array().cast(f"array<{kind}>")
-    block = lambda role, mark, texts: F.struct(role.alias("role"), mark.alias("mark"), texts.alias("texts"))
-    # blocks that are done, and the one that still grows
-    first = F.struct(none.alias("done"), F.lit(None).cast(kind).alias("open"))
-    new = lambda x: block(x["role"], x["mark"], F.array(x["text"]))
-    merge = lambda acc, x: (
-        F.when(acc["open"].isNull(), F.struct(acc["done"].alias("done"), new(x).alias("open")))
-        .when(acc["open"]["role"] == x["role"], F.struct(acc["done"].alias("done"), block(x["role"], x["mark"], F.array_append(acc["open"]["texts"], x["text"])).alias("open")))
-        .otherwise(F.struct(F.array_append(acc["done"], acc["open"]).alias("done"), new(x).alias("open")))
-    )
-    blocks = grouped.select("conv_id", F.aggregate("t", first, merge, lambda acc: F.array_append(acc["done"], acc["open"])).alias("b"))
+    rows = turns.select("conv_id", "turn", role.alias("role"), escape(text, t).alias("text"), escape(role, t).alias("mark"))
+    w = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    opens = F.coalesce(F.lag("role").over(w) != F.col("role"), F.lit(True)).cast("int")
+    rows = rows.withColumns({"opens": opens, "n": F.row_number().over(w)}).withColumn("block", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"])
+    blocks = rows.groupBy("conv_id", "block").agg(F.first("role").alias("role"), F.first("mark").alias("mark"), texts.alias("texts"))
+    blocks = blocks.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("block", "role", "mark", "texts"))).alias("b"))
     piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
     fixed = lambda *parts: piece(F.concat(F.lit("<|"), *parts, F.lit("|>")), F.lit(False))
     said = lambda b: F.transform(b["texts"], lambda x, i: F.array(F.when(i == 0, fixed(F.lit(":"), b["mark"])).otherwise(fixed(F.lit(t.more))), piece(x, b["role"] == "assistant")))
@@ -67,13 +60,6 @@ def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame
     )
 
 
-def _order(a: Column, b: Column) -> Column:
-    """Compare turns: number (nulls first), role, text."""
-    by = lambda x, y: F.when(x < y, -1).when(x > y, 1)
-    nulls = F.when(a["turn"].isNull() & b["turn"].isNotNull(), -1).when(a["turn"].isNotNull() & b["turn"].isNull(), 1)
-    return F.coalesce(nulls, by(a["turn"], b["turn"]), by(a["role"], b["role"]), by(a["text"], b["text"]), F.lit(0))
-
-
 def loss_spans(pieces: str) -> Column:
     """``array<struct<start, length, byte, bytes>>``: places of the pieces marked for the loss in their concatenation, in characters and in UTF-8 bytes."""
     zero = F.expr("struct(0L as at, 0L as byte, cast(array() as array<struct<start:bigint,length:bigint,byte:bigint,bytes:bigint>>) as spans)")
