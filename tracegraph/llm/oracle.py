@@ -66,4 +66,35 @@ QUALITY = f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coa
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 10 * (n_words - gone) >= 3 * n_words AS kept FROM m"""
 
-SQL = {"op3_chat": CHAT, "op7_mix": MIX, "op8_quality": QUALITY}
+UNIT_RE = "[A-Za-z]+|[^A-Za-z]"
+FIM = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+ u AS (SELECT *, regexp_extract_all(text, '{UNIT_RE}') AS units, [CAST('0x' || h[1:8] AS BIGINT), CAST('0x' || h[9:16] AS BIGINT), CAST('0x' || h[17:24] AS BIGINT), CAST('0x' || h[25:32] AS BIGINT)] AS d FROM t),
+ n AS (SELECT *, CAST(len(units) AS BIGINT) AS n FROM u),
+ c AS (SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b,
+   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 90 THEN 'plain' WHEN d[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+ p AS (SELECT *, array_to_string(units[1:a], '') AS pre, array_to_string(units[a + 1:b], '') AS mid, array_to_string(units[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+
+def _codes_sql(rounds: int = 2) -> str:
+    steps = ["""kept AS (SELECT vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v, len(embedding) // 16 AS w FROM embeddings
+   WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0)""",
+     "p AS MATERIALIZED (SELECT vec_id, label, part, w, v[part * w + 1:part * w + w] AS x FROM kept, range(16) t(part))",
+     "c0 AS MATERIALIZED (SELECT part, entry, x AS c FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM p) WHERE entry < 64)"]
+    near = "{name} AS MATERIALIZED (SELECT vec_id, any_value(label) AS label, part, any_value(w) AS w, any_value(x) AS x, min(ROW(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(x, c)]), entry)) AS best FROM p JOIN {book} USING (part) GROUP BY vec_id, part)"
+    for k in range(rounds):
+        steps.append(near.format(name=f"a{k}", book=f"c{k}"))
+        steps.append(f"""s{k} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM
+   (SELECT part, struct_extract(best, 2) AS entry, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT part, best, x, unnest(range(1, w + 1)) AS i FROM a{k}) GROUP BY ALL) GROUP BY part, entry)""")
+        steps.append(f"c{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m, c) AS c FROM c{k} LEFT JOIN s{k} USING (part, entry))")
+    steps.append(near.format(name="z", book=f"c{rounds}"))
+    steps.append("""v AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', CAST(struct_extract(best, 2) AS INT)), '' ORDER BY part) AS code, CAST(sum(struct_extract(best, 1)) AS BIGINT) AS error FROM z GROUP BY vec_id)""")
+    book = f"(SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM c{rounds})"
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, {book} AS codebooks_sha256 FROM v"
+
+
+#: For distinct ids.
+CODES = _codes_sql()
+
+SQL = {"op3_chat": CHAT, "op7_mix": MIX, "op8_quality": QUALITY, "op12_fim": FIM, "op13_codes": CODES}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, langid, license, line_dedup, mixing, oracle, quality, simhash, substrings
+from . import chat, codes, decontaminate, fim, html, langid, license, line_dedup, mixing, oracle, quality, simhash, substrings
+from ..storage import cut
 from ._common import table
 
 
@@ -72,6 +73,20 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transformed(table(spark, sf_dir, "documents"), output=False)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = codes.fit(vectors)
+    if books is None:
+        return spark.createDataFrame([], "vec_id long, code string, error long, label_error long, codebooks_sha256 string")
+    out = codes.with_label_error(cut(codes.encoded(vectors, books, ["vec_id", "label"])))
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -84,6 +99,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_repeats": op9_repeats,
         "op10_licenses": op10_licenses,
+        "op12_fim": op12_fim,
+        "op13_codes": op13_codes,
     }
 
 
