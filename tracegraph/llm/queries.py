@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codes, decontaminate, fim, html, langid, license, line_dedup, mixing, oracle, quality, simhash, substrings
+from . import bpe, chat, codes, decontaminate, fim, html, langid, license, line_dedup, mixing, oracle, quality, simhash, substrings
 from ..storage import cut
 from ._common import table
 
@@ -73,6 +73,17 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = bpe.encode(table(spark, sf_dir, "documents"), path, ["doc_id"])
+    return ids.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(bpe.decoded("ids", path), 256).alias("decoded_sha256"),
+    )
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fim.transformed(table(spark, sf_dir, "documents"), output=False)
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
@@ -99,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_repeats": op9_repeats,
         "op10_licenses": op10_licenses,
+        "op11_bpe": op11_bpe,
         "op12_fim": op12_fim,
         "op13_codes": op13_codes,
     }
