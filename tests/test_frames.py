@@ -119,3 +119,49 @@ def test_hops_carry_arguments_and_call_sites(spark):
     edges = spark.createDataFrame([("a", "b", "call", 12, 0), ("a", "b", "call", 30, 1), ("b", "c", "import", 7, 2)], "source string, target string, kind string, line int, edge_ord long")
     got = FR.causal_hops(spark.createDataFrame(rows, SCHEMA + ", args string"), edges).where("call_idx = 2").orderBy("hop").collect()
     assert [(r["hop"], r["hop_idx"], r["node_id"], r["args"], r["line"]) for r in got] == [(0, 0, "a", "x=1", None), (1, 1, "b", None, 12), (2, 2, "c", "y=2", None)]
+
+
+def test_a_deep_recursion_has_a_row_a_path_and_no_stack_in_it(spark):
+    """5,000 levels over several chunks, called twice: a path's id is the same whichever way chunks cut it, and rows do not grow with depth."""
+    n = 5000
+    once = [("s", 1, i, "call", "f", i, i) for i in range(n)] + [("s", 1, n + i, "return", "f", n - 1 - i, n + i) for i in range(n)]
+    rows = once + [(s, t, 2 * n + 7 + i, e, v, d, 2 * n + ts) for s, t, i, e, v, d, ts in once]
+    frames = FR.build_frames(spark.createDataFrame(rows, SCHEMA), chunk=1700, ids=True)
+    assert not any(f.dataType.typeName() == "array" for f in frames.schema)
+    flame = FR.cut(FR.flame(frames, names=False))
+    r = flame.selectExpr("count(*) k", "min(n) a", "max(n) z", "max(level) d", "count(parent_path_id) p").first()
+    assert (r.k, r.a, r.z, r.d, r.p) == (n, 2, 2, n, n - 1)
+    hot = FR.hot_path(flame).selectExpr("count(*) k", "max(depth) d", "sum(depth) s").first()
+    assert (hot.k, hot.d, hot.s) == (n, n, n * (n + 1) // 2)
+    names = FR.path_names(FR.trie(flame)).selectExpr("max(size(path)) d", "sum(size(path)) s", "count(distinct path) k").first()
+    assert (names.d, names.s, names.k) == (n, n * (n + 1) // 2, n)
+
+
+def test_paths_are_the_same_on_every_thread_and_chunk(spark):
+    rows = trace(11, 2500, 30)
+    df = spark.createDataFrame(rows, SCHEMA)
+    seen = {}
+    for chunk in (9, 130, 1 << 16):
+        for r in FR.build_frames(df, paths=True, chunk=chunk).collect():
+            assert len(r["path"]) == r["level"] and r["path"][-1] == r["node_id"]
+            assert seen.setdefault(tuple(r["path"]), r["path_id"]) == r["path_id"]
+            assert (r["parent_path_id"] is None) == (len(r["path"]) == 1) and seen.get(tuple(r["path"][:-1]), r["parent_path_id"]) == r["parent_path_id"]
+    assert len(set(seen.values())) == len(seen) > 300
+
+
+def test_hot_path_against_a_walk(spark):
+    rows = trace(23, 3000, 9)
+    flame = FR.flame(FR.build_frames(spark.createDataFrame(rows, SCHEMA), chunk=200, paths=True)).collect()
+    want = set()
+    for t in {r["thread_id"] for r in flame}:
+        at = ()
+        while True:
+            inside = [r for r in flame if r["thread_id"] == t and tuple(r["parent_path"]) == at and r["sibling"] == 1]
+            if not inside:
+                break
+            at = tuple(inside[0]["path"])
+            want.add((t, at, len(at)))
+    for names in (True, False):
+        f = FR.cut(FR.flame(FR.build_frames(spark.createDataFrame(rows, SCHEMA), chunk=200, ids=True), names=names))
+        hot = FR.hot_path(f) if names else FR.named(FR.hot_path(f), FR.trie(f))
+        assert {(r["thread_id"], tuple(r["path"]), r["depth"]) for r in hot.collect()} == want

@@ -10,6 +10,7 @@ from ..operators import frames as FR_
 from ..operators import graph as G_
 from ..operators import learn as L
 from ..sources import traces as R
+from ..storage import cut
 from . import derived as D
 
 Q: dict = {}
@@ -107,15 +108,15 @@ frames_query("open_frames", lambda e, f: FR_.open_frames(e, e.where("event = 'ex
 frames_query("active_threads", lambda e, f: FR_.active_threads(f, 1200), "SELECT session_id, count(DISTINCT thread_id) AS threads FROM fr WHERE call_idx <= 1200 AND (close_idx IS NULL OR close_idx > 1200) GROUP BY 1")
 frames_query("causal_paths", lambda e, f: FR_.causal_paths(e).withColumn("path", F.array_join("path", ">")), "SELECT session_id, thread_id, call_idx, array_to_string(path, '>') AS path FROM pa", D.PATHS)
 frames_query("mark_raised", lambda e, f: FR_.mark_raised(e), ", op AS (SELECT x.session_id, x.thread_id, x.idx, max(f.call_idx) FILTER (f.node_id = x.node_id) AS own, max(f.call_idx) AS top FROM te x JOIN fr f ON f.session_id = x.session_id AND f.thread_id = x.thread_id AND f.call_idx < x.idx AND (f.close_idx IS NULL OR f.close_idx > x.idx) WHERE x.event = 'exception' GROUP BY ALL) SELECT DISTINCT session_id, thread_id, coalesce(own, top) AS call_idx FROM op")
-frames_query("tree_stats", lambda e, f: FR_.tree_stats(e, FR_.build_frames(e, paths=True)).withColumn("threads", F.array_join("threads", ",")), ", fi AS (SELECT session_id, thread_id, min(idx) AS f FROM te GROUP BY 1, 2) SELECT s.session_id, (SELECT string_agg(thread_id, ',' ORDER BY f) FROM fi WHERE fi.session_id = s.session_id) AS threads, (SELECT CAST(max(len(path)) AS BIGINT) FROM pa WHERE pa.session_id = s.session_id) AS max_depth, max(ts_ns) - min(ts_ns) AS wall_ns, count(DISTINCT thread_id) AS n_threads, (SELECT count(*) FROM fr WHERE fr.session_id = s.session_id) AS n_frames, (SELECT bool_or(synthetic) FROM fr WHERE fr.session_id = s.session_id) AS had_synthetic, count(*) FILTER (event = 'return') - (SELECT count(*) FROM fr WHERE fr.session_id = s.session_id AND NOT synthetic) AS orphan_returns FROM te s GROUP BY 1", D.PATHS)
+frames_query("tree_stats", lambda e, f: FR_.tree_stats(e, f).withColumn("threads", F.array_join("threads", ",")), ", fi AS (SELECT session_id, thread_id, min(idx) AS f FROM te GROUP BY 1, 2) SELECT s.session_id, (SELECT string_agg(thread_id, ',' ORDER BY f) FROM fi WHERE fi.session_id = s.session_id) AS threads, (SELECT CAST(max(len(path)) AS BIGINT) FROM pa WHERE pa.session_id = s.session_id) AS max_depth, max(ts_ns) - min(ts_ns) AS wall_ns, count(DISTINCT thread_id) AS n_threads, (SELECT count(*) FROM fr WHERE fr.session_id = s.session_id) AS n_frames, (SELECT bool_or(synthetic) FROM fr WHERE fr.session_id = s.session_id) AS had_synthetic, count(*) FILTER (event = 'return') - (SELECT count(*) FROM fr WHERE fr.session_id = s.session_id AND NOT synthetic) AS orphan_returns FROM te s GROUP BY 1", D.PATHS)
 
 
 def flame_query(name: str, build, sql: str):
-    """Over frames with their paths; every ninth node is an unresolved one, whose id holds a separator of printed paths."""
+    """Over frames with the ids of their paths; every ninth node is an unresolved one, whose id holds a separator of printed paths."""
 
     def run(spark, sf):
         e = D.trace_events(spark, sf)
-        return build(FR_.flame(FR_.build_frames(e.withColumn("node_id", F.when(F.col("k") % 9 == 0, "<unresolved>").otherwise(F.col("node_id"))), paths=True)))
+        return build(FR_.flame(FR_.build_frames(e.withColumn("node_id", F.when(F.col("k") % 9 == 0, "<unresolved>").otherwise(F.col("node_id"))), ids=True), names=False))
 
     named = "'mod' || (k % 10) || '.py:fn' || k"
     query(name, f"WITH RECURSIVE {D.PATHS.replace(f'{named} AS node_id', f"CASE WHEN k % 9 = 0 THEN '<unresolved>' ELSE {named} END AS node_id")} {sql}")(run)
@@ -124,8 +125,22 @@ def flame_query(name: str, build, sql: str):
 FLAME = "SELECT session_id, thread_id, path, count(*) AS n, CAST(sum(total_ns) AS BIGINT) AS total_ns, CAST(sum(self_ns) AS BIGINT) AS self_ns, min(start_ns) AS start_ns, max(end_ns) AS end_ns, bool_or(synthetic) AS synthetic, min(call_idx) AS first_idx, path[:-2] AS parent_path FROM fr JOIN pa USING (session_id, thread_id, call_idx) GROUP BY session_id, thread_id, path"
 RANKED = f", fl AS (SELECT *, row_number() OVER (PARTITION BY session_id, thread_id, parent_path ORDER BY total_ns DESC, n DESC, first_idx) AS sibling FROM ({FLAME}))"
 printed = lambda df, *names: df.withColumns({c: F.array_join(c, " > ") for c in names})
-flame_query("flame", lambda f: printed(f, "path", "parent_path"), f"{RANKED} SELECT * REPLACE (array_to_string(path, ' > ') AS path, array_to_string(parent_path, ' > ') AS parent_path) FROM fl")
-flame_query("hot_path", lambda f: printed(FR_.hot_path(f), "path"), f"{RANKED}, hp AS (SELECT session_id, thread_id, path, 1 AS depth FROM fl WHERE len(path) = 1 AND sibling = 1 UNION ALL SELECT fl.session_id, fl.thread_id, fl.path, hp.depth + 1 FROM hp JOIN fl ON fl.session_id = hp.session_id AND fl.thread_id = hp.thread_id AND fl.parent_path = hp.path AND fl.sibling = 1) SELECT session_id, thread_id, array_to_string(path, ' > ') AS path, CAST(depth AS BIGINT) AS depth FROM hp")
+
+
+def flame_named(flame):
+    """The names are joined at the end, to a table of the flame."""
+    flame = cut(flame)
+    out = FR_.named(flame, FR_.trie(flame)).withColumn("parent_path", F.slice("path", F.lit(1), F.size("path") - 1))
+    return printed(out, "path", "parent_path").drop("path_id", "parent_path_id", "node_id", "level")
+
+
+def hot_named(flame):
+    flame = cut(flame)
+    return printed(FR_.named(FR_.hot_path(flame), FR_.trie(flame)).drop("path_id"), "path")
+
+
+flame_query("flame", flame_named, f"{RANKED} SELECT * REPLACE (array_to_string(path, ' > ') AS path, array_to_string(parent_path, ' > ') AS parent_path) FROM fl")
+flame_query("hot_path", hot_named, f"{RANKED}, hp AS (SELECT session_id, thread_id, path, 1 AS depth FROM fl WHERE len(path) = 1 AND sibling = 1 UNION ALL SELECT fl.session_id, fl.thread_id, fl.path, hp.depth + 1 FROM hp JOIN fl ON fl.session_id = hp.session_id AND fl.thread_id = hp.thread_id AND fl.parent_path = hp.path AND fl.sibling = 1) SELECT session_id, thread_id, array_to_string(path, ' > ') AS path, CAST(depth AS BIGINT) AS depth FROM hp")
 frames_query("to_chrome_trace", lambda e, f: R.to_chrome_trace(f).select("session_id", "name", F.round("ts", 3).alias("ts"), F.round("dur", 3).alias("dur"), "tid"), "SELECT session_id, node_id AS name, round((start_ns - min(start_ns) OVER (PARTITION BY session_id)) / 1000, 3) AS ts, round(total_ns / 1000, 3) AS dur, thread_id AS tid FROM fr")
 
 graph_query("count_by_kind", lambda n, e: G_.count_by_kind(n), "SELECT kind, count(*) AS n FROM gn GROUP BY 1")
