@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import DIFF_ORDER
+from ..storage import cut
+from . import scan as S
 
 KEY = ["session_id", "node_id"]
 
@@ -30,10 +32,10 @@ def heat(events: DataFrame, at_index: int | None = None, weighted: bool = True,
     return e.groupBy(*KEY).agg((F.sum("weight") if weighted else F.count("*")).cast("long").alias("heat")).where("heat > 0")
 
 
-def heat_timeline(events: DataFrame) -> DataFrame:
-    """Running heat of the event's own node at every event."""
-    w = Window.partitionBy(*KEY).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return events.where("node_id <> ''").select(*KEY, "idx", F.sum("weight").over(w).cast("long").alias("heat"))
+def heat_timeline(events: DataFrame, width: int = S.WIDTH) -> DataFrame:
+    """Running heat of the event's own node at every event. A node that takes all events of a session is many tasks."""
+    rows = events.where("node_id <> ''").select(*KEY, "idx", "weight")
+    return S.scan(rows, KEY, "idx", {"heat": S.running_sum(F.col("weight"))}, width).drop("weight")
 
 
 def coverage(events: DataFrame, at_index: int) -> DataFrame:
@@ -72,9 +74,9 @@ def windowed_heat(events: DataFrame, playhead: int, window_size: int | None = No
     return out.join(most, "session_id")
 
 
-def sliding_heat(events: DataFrame, n: int) -> DataFrame:
-    w = Window.partitionBy(*KEY).orderBy("idx").rangeBetween(-(n - 1), 0)
-    return events.select(*KEY, "idx", F.count("*").over(w).alias("heat"))
+def sliding_heat(events: DataFrame, n: int, width: int = S.WIDTH) -> DataFrame:
+    """How many of the last ``n`` events of its session each event's node has."""
+    return S.trailing_count(events.select(*KEY, "idx"), KEY, "idx", n, "heat", width)
 
 
 def runtime_coverage(nodes: DataFrame, events: DataFrame, floor: int = 2) -> DataFrame:
@@ -98,10 +100,10 @@ def merge_heat(events: DataFrame, nodes: DataFrame, sessions: list[str]) -> Data
     return total.join(known, "node_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
-def limit_captures(events: DataFrame, first_n: int = 100) -> DataFrame:
+def limit_captures(events: DataFrame, first_n: int = 100, width: int = S.WIDTH) -> DataFrame:
     """``ret`` only for the first ``first_n`` captures of a node; the events stay."""
-    w = Window.partitionBy(*KEY).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("ret", F.when(F.count("ret").over(w) <= first_n, F.col("ret")))
+    counted = S.scan(events, KEY, "idx", {"_nth": S.running_sum(F.col("ret").isNotNull())}, width)
+    return counted.withColumn("ret", F.when(F.col("_nth") <= first_n, F.col("ret"))).drop("_nth")
 
 
 def rank_status(col="status") -> F.Column:
@@ -143,25 +145,30 @@ def has_regression(diff: DataFrame) -> DataFrame:
     return diff.agg(F.coalesce(F.bool_or(F.col("status") == "hotter"), F.lit(False)).alias("regression"))
 
 
-def as_of(probes: DataFrame, series: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
-    """Each probe with the last ``value`` at or before it: one union and one window per key, no range join.
-    Ties in ``at``: the greatest value."""
-    s = series.select(*by, at, F.col(value).alias("_v"), F.lit(0).alias("_probe"))
-    p = probes.withColumns({"_v": F.lit(None).cast(series.schema[value].dataType), "_probe": F.lit(1)})
-    w = Window.partitionBy(*by).orderBy(at, "_probe", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    both = p.unionByName(s, allowMissingColumns=True)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_probe = 1").drop("_v", "_probe")
+def as_of(probes: DataFrame, series: DataFrame, by: list[str], at: str, value: str, width: int = S.WIDTH) -> DataFrame:
+    """Each probe with the last ``value`` at or before it, no range join. Ties in ``at`` (a whole number): the greatest value.
 
+    Places are looked up, not probes: of each key and place there is one row, with the series' greatest value there if it has one, so that a bucket of ``width`` places
+    is at most that many rows however many probes a place has. Answers go back to the probes by an equal join. A probe without a place gets the greatest
+    value of those without one, as nothing stands before it.
+    """
+    v = F.col(value)
+    there = series.select(*by, at, v.alias("_v")).unionByName(probes.select(*by, at, F.lit(None).cast(series.schema[value].dataType).alias("_v")))
+    places = there.groupBy(*by, at).agg(F.max("_v").alias("_v"))
+    found = S.scan(places, by, at, {"_last": S.last_value(F.col("_v"))}, width).select(F.struct(*by, at).alias("_place"), "_last")
+    out = probes.withColumn("_place", F.struct(*by, at)).join(found, "_place", "left")
+    return out.select(*probes.columns, F.col("_last").alias(value))
 
-def coverage_deltas(polls: DataFrame) -> DataFrame:
+
+def coverage_deltas(polls: DataFrame, width: int = S.WIDTH) -> DataFrame:
     """Positive growth of each key against the poll just before; a key absent there starts at 0 again.
     ``polls(script, start, poll, n)``."""
-    w = Window.partitionBy("script", "start").orderBy("poll")
-    base = F.when(F.lag("poll").over(w) == F.col("poll") - 1, F.lag("n").over(w)).otherwise(0)
-    return polls.withColumn("delta", F.col("n") - base).where("delta > 0")
+    rows = S.scan(polls, ["script", "start"], "poll", {"_before": S.row_before(F.struct("poll", "n"))}, width)
+    base = F.when(F.col("_before.poll") == F.col("poll") - 1, F.col("_before.n")).otherwise(0)
+    return rows.withColumn("delta", F.col("n") - base).where("delta > 0").drop("_before")
 
 
-def segment_runs(series: DataFrame) -> DataFrame:
+def segment_runs(series: DataFrame, width: int = S.WIDTH) -> DataFrame:
     """``run`` of each point: a run starts where the epoch does not rise. ``series(session_id, idx, epoch)``."""
-    w = Window.partitionBy("session_id").orderBy("idx")
-    return series.withColumn("run", F.sum(F.when(F.col("epoch") <= F.lag("epoch").over(w), 1).otherwise(0)).over(w).cast("long"))
+    before = cut(S.scan(series, ["session_id"], "idx", {"_before": S.row_before(F.col("epoch"))}, width))  # a second scan reads it twice
+    return S.scan(before, ["session_id"], "idx", {"run": S.running_sum(F.col("epoch") <= F.col("_before"))}, width).drop("_before")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import Rounds, cut
+from . import scan as S
 
 THREAD = ["session_id", "thread_id"]
 NEVER = 2**31 - 1  # no call or return yet
@@ -242,10 +243,10 @@ def active_threads(frames: DataFrame, idx: int) -> DataFrame:
     return stack_at(frames, idx).groupBy("session_id").agg(F.countDistinct("thread_id").alias("threads"))
 
 
-def boundaries(events: DataFrame) -> DataFrame:
+def boundaries(events: DataFrame, width: int = S.WIDTH) -> DataFrame:
     """Previous and next call or return of each call and return, over all threads of a session."""
-    w = Window.partitionBy("session_id").orderBy("idx")
-    return events.where("event in ('call', 'return')").select("session_id", "idx", F.lag("idx").over(w).alias("prev_idx"), F.lead("idx").over(w).alias("next_idx"))
+    rows = events.where("event in ('call', 'return')").select("session_id", "idx")
+    return S.scan(rows, ["session_id"], "idx", {"prev_idx": S.row_before(F.col("idx")), "next_idx": S.row_after(F.col("idx"))}, width)
 
 
 def firings(events: DataFrame, cap: int = 200) -> DataFrame:
