@@ -140,3 +140,69 @@ def test_live_diff(spark):
     assert len(seen) == 2 and seen[1] == key(E.diff_traces(a, b))
     with pytest.raises(ValueError):
         live.stream_diff(e, base.limit(0), None)
+
+
+EVENTS = "session_id string, idx long, event string, node_id string, ts_ns long, thread_id long, frame_depth int"
+COLS = ["session_id", "thread_id", "call_idx", "close_idx", "parent_idx", "node_id", "depth", "start_ns", "end_ns", "total_ns", "self_ns", "synthetic"]
+
+
+def add(spark, folder, part, k):
+    spark.createDataFrame(part, EVENTS).coalesce(1).write.parquet(f"{folder}/in/p{k}")
+
+
+def test_frames_after_a_restart_equal_the_batch(spark):
+    """Threads of their own, null ones and odd rows among them, over a query that is stopped and started again between any two batches."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for s in ("s", "t", None):
+        at = {1: 0, 2: 0, None: 0}
+        for i in range(240):
+            t = rng.choice([1, 1, 2, None])
+            event = rng.choice(["call", "call", "return", "exception", "line", None])
+            at[t] = max(0, min(9, at[t] + (event == "call") - (event == "return") * rng.choice([0, 1, 1, 2])))
+            rows.append((s, i, event, rng.choice(["a", "b", None]), 10 * i, t, None if rng.random() < 0.02 else at[t]))
+    folder = tempfile.mkdtemp()
+    seen = []
+    for k in range(4):
+        part = [r for r in rows if r[1] // 60 == k] + [("s", None, "call", "no index", 1, 1, 0)]
+        if k == 3:
+            part += [(s, 1000, "end", None, None, None, None) for s in ("s", "t", None)]
+        add(spark, folder, part, k)
+        source = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        q = live.stream_frames(source).writeStream.option("checkpointLocation", f"{folder}/ck").foreachBatch(lambda df, n: seen.extend(df.select(COLS).collect()))
+        q.trigger(availableNow=True).start().awaitTermination()
+    norm = lambda rs: sorted((tuple(r) for r in rs), key=repr)
+    assert norm(seen) == norm(FR.build_frames(spark.createDataFrame(rows, EVENTS)).select(COLS).collect())
+    assert len({r.thread_id for r in seen}) == 3 and any(r.close_idx is None for r in seen)
+    add(spark, folder, [("s", 2000, "call", "again", 5, 1, 0), ("s", 2001, "return", "again", 9, 1, 0)], 9)  # an ended session may go on
+    q = live.stream_frames(spark.readStream.schema(EVENTS).option("recursiveFileLookup", True).parquet(f"{folder}/in")).writeStream.option("checkpointLocation", f"{folder}/ck")
+    q.foreachBatch(lambda df, n: seen.extend(df.select(COLS).collect())).trigger(availableNow=True).start().awaitTermination()
+    assert [tuple(r)[2:4] for r in seen if r.node_id == "again"] == [(2000, 2001)]
+
+
+def test_sessions_with_odd_rows(spark):
+    m = lambda seq, kind, sid=None, t=None: ("c", seq, kind, sid, t)
+    parts = [[m(0, "trace_session_start", "a"), m(1, "trace_event"), m(None, "trace_event", t=3)], [m(2, "trace_event", t=9), m(3, "trace_event"), m(4, "trace_session_start", None), m(5, "trace_event", t=1)],
+             [m(6, "trace_session_start", "b"), m(7, "trace_event"), m(8, "trace_session_end")]]
+    path = tempfile.mkdtemp() + "/m"
+    schema = "connection string, seq long, type string, session_id string, ts_ns long"
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    run(live.stream_sessions(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)), "append", "odd_sessions")
+    assert sorted(tuple(r) for r in spark.table("odd_sessions").collect()) == [("c", "a", 9, 9, 3), ("c", "b", None, None, 1)]
+
+
+def test_recent_history_writes_each_row_once(spark):
+    folder, src = tempfile.mkdtemp() + "/r", tempfile.mkdtemp() + "/t"
+    for k in range(4):
+        spark.createDataFrame([("s", 10 * k + i) for i in range(5)] + [("t", k)], "session_id string, idx long").coalesce(1).write.mode("append").parquet(src)
+    q = live.stream_recent(spark.readStream.schema("session_id string, idx long").option("maxFilesPerTrigger", 1).parquet(src), folder, 3600, 7).start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.read.parquet(folder).count() == 24 and spark.read.parquet(folder).select("batch").distinct().count() == 4
+    assert sorted((r.session_id, r.idx) for r in live.latest_recent(spark, folder).collect()) == [("s", k) for k in (23, 24, 30, 31, 32, 33, 34)] + [("t", k) for k in range(4)]
+    later = time.time_ns() + 3 * 3600 * 10**9
+    assert live.latest_recent(spark, folder, later).count() == 0
+    assert live.latest_recent(spark, folder + "x") is None

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.messages import decode_envelopes
 from ..functions.scalars import event_weight
+from .stateful import FRAME, Ends, Frames, first_of_each, rocks
 
 
 def stream_events(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -58,79 +59,20 @@ def stream_heat(events: DataFrame) -> DataFrame:
     return events.where("node_id <> ''").groupBy("session_id", "node_id").agg(F.sum("weight").cast("long").alias("heat"))
 
 
-FRAME = (
-    "session_id string, thread_id long, call_idx long, close_idx long, parent_idx long, node_id string, depth int, start_ns long, end_ns long, total_ns long,"
-    " self_ns long, synthetic boolean"
-)
-OPEN = "thread array<long>, idx array<long>, node array<string>, depth array<int>, start array<long>, inner array<long>, threads array<long>, latest array<long>"
-
-
-def _frames(key, chunks: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None) -> Iterator[pd.DataFrame]:
-    """The open frames of a session's threads in state, as many as the stacks are deep, with the time their children took; and each thread's latest time."""
-    stacks: dict[int, list[list]] = {}
-    latest: dict[int, int] = {}
-    if state.exists:
-        *cols, threads, times = state.get
-        latest = dict(zip(threads, times))
-        for thread, *f in zip(*cols):
-            stacks.setdefault(thread, []).append(f)
-    done = []
-
-    def close(thread, idx, ts, normal):
-        i, node, depth, start, inner = stacks[thread].pop()
-        total = max(start, ts) - start
-        up = stacks[thread][-1] if stacks[thread] else None
-        if up:
-            up[4] += total
-        done.append((*key, thread, i, idx, up[0] if up else None, node, depth, start, start + total, total, max(0, total - inner), not normal))
-
-    def flush():
-        for thread, stack in stacks.items():
-            while stack:
-                close(thread, None, latest[thread], False)
-        stacks.clear()
-        latest.clear()
-
-    if state.hasTimedOut:
-        flush()
-    else:
-        for r in pd.concat(list(chunks)).sort_values("idx").itertuples():
-            if r.event == "end":
-                flush()
-                continue
-            thread = int(r.thread_id)
-            latest[thread] = max(latest.get(thread, r.ts_ns), r.ts_ns)
-            if r.event not in ("call", "return") or pd.isna(r.frame_depth):
-                continue
-            stack = stacks.setdefault(thread, [])
-            while stack and stack[-1][2] >= r.frame_depth:
-                close(thread, r.idx, r.ts_ns, r.event == "return" and stack[-1][2] == r.frame_depth)
-            if r.event == "call":
-                stack.append([r.idx, r.node_id, int(r.frame_depth), r.ts_ns, 0])
-    if latest:
-        flat = [[t, *f] for t, stack in stacks.items() for f in stack]
-        cols = [list(c) for c in zip(*flat)] if flat else [[] for _ in range(6)]
-        state.update((*cols, list(latest), list(latest.values())))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-    elif state.exists:
-        state.remove()
-    names = [c.split()[0] for c in FRAME.split(", ")]
-    out = pd.DataFrame(done, columns=names)
-    for c in ("close_idx", "parent_idx"):
-        out[c] = out[c].astype("Int64")
-    yield out
-
-
 def stream_frames(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Frames, as soon as they close, of a stream of events (append mode).
 
     Rows count in index order inside a batch and in the order of their batches; an event ``end`` closes all that is open in its session, as does
-    ``idle_ms`` without a row where that is given. Frames closed so have no ``close_idx`` and end at the latest time of their thread, so that rows with an
-    earlier time that come late let no frame end before its children. A session is one group: its state is as large as its threads' stacks are deep.
+    ``idle_ms`` without a row of the thread where that is given. Frames closed so have no ``close_idx`` and end at the latest time of their thread, so that rows with an
+    earlier time that come late let no frame end before its children. Each thread of a session is a group: its state is an entry for each open frame, of which a batch
+    reads and writes those it closes or opens. Rows without an index are left out; a thread, node or time may be null.
     """
-    how = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return events.groupBy("session_id").applyInPandasWithState(lambda *a: _frames(*a, idle_ms), FRAME, OPEN, "append", how)
+    rocks(events.sparkSession)
+    rows = events.selectExpr("session_id", "cast(thread_id as bigint) thread_id", "cast(idx as bigint) idx", "event", "node_id", "cast(frame_depth as int) frame_depth", "cast(ts_ns as bigint) ts_ns")
+    # a session's end goes to each thread that it has shown
+    ends = first_of_each(rows).groupBy("session_id").transformWithState(Ends(), "session_id string, thread_id long, idx long", "append", "none")
+    both = rows.where("event is distinct from 'end'").unionByName(ends.withColumn("event", F.lit("end")), allowMissingColumns=True)
+    return both.groupBy("session_id", "thread_id").transformWithState(Frames(idle_ms), FRAME, "append", "processingTime" if idle_ms else "none")
 
 
 def _deltas(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -178,35 +120,45 @@ def recent(rows: DataFrame, now_ns: int, seconds: float = 60.0, max_events: int
     return kept.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= max_events).drop("_n")
 
 
+SLOTS = 3
+
+
 def stream_recent(events: DataFrame, folder: str, seconds: float = 60.0, max_events: int | None = None):
-    """Keeps the recent history of a stream in ``folder`` for those who join late (``latest_recent``): two tables that batches write in turn.
+    """Keeps the recent history of a stream in ``folder`` for those who join late (``latest_recent``). A batch writes its own rows and no others.
 
-    A table counts once the mark beside it has its batch's number, so a batch that is broken off leaves the one before it in place.
+    Time is cut into epochs of ``seconds``, which take three places in turn; the first batch of an epoch clears its place of rows that are two epochs old, so the folder holds
+    three epochs at most. Age and count are exact when it is read. A batch that is run again replaces what it wrote.
     """
 
     def batch(df: DataFrame, n: int) -> None:
-        spark, now, side = df.sparkSession, time.time_ns(), f"{folder}/side={n % 2}"
-        rows = df.withColumn("received_ns", F.lit(now))
-        before = latest_recent(spark, folder, n)
-        if before is not None:
-            rows = before.unionByName(rows)
-        recent(rows, now, seconds, max_events).write.mode("overwrite").parquet(f"{side}/rows")
-        spark.range(n, n + 1).coalesce(1).write.mode("overwrite").parquet(f"{side}/mark")
+        now = time.time_ns()
+        epoch = now // max(1, int(seconds * 1_000_000_000))
+        place = f"{folder}/slot={epoch % SLOTS}"
+        rows = df.withColumns({"received_ns": F.lit(now), "_seconds": F.lit(float(seconds)), "_most": F.lit(max_events).cast("long")})
+        try:
+            begun = not df.sparkSession.read.parquet(place).where(F.col("epoch") == epoch).isEmpty()
+        except AnalysisException:  # nothing there yet
+            begun = False
+        if begun:
+            rows.write.mode("overwrite").parquet(f"{place}/epoch={epoch}/batch={n}")
+        else:
+            rows.withColumns({"epoch": F.lit(epoch), "batch": F.lit(n)}).write.mode("overwrite").partitionBy("epoch", "batch").parquet(place)
 
     return events.writeStream.foreachBatch(batch)
 
 
-def latest_recent(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
-    """The table of the last whole batch (under ``before``), if any."""
-    marks = {}
-    for side in (f"{folder}/side=0", f"{folder}/side=1"):
-        try:
-            for row in spark.read.schema("id long").parquet(f"{side}/mark").collect():  # one row
-                marks[row.id] = side
-        except AnalysisException:  # not written yet
-            continue
-    done = [n for n in marks if before is None or n < before]
-    return spark.read.parquet(f"{marks[max(done)]}/rows") if done else None
+def latest_recent(spark: SparkSession, folder: str, now_ns: int | None = None) -> DataFrame | None:
+    """The rows that ``stream_recent`` keeps, as of ``now_ns`` (now): those young enough, and of each session no more than its cap. None where there are none."""
+    try:
+        held = spark.read.parquet(folder)
+    except AnalysisException:  # not written yet
+        return None
+    last = held.orderBy(F.desc("received_ns")).select("_seconds", "_most", "received_ns").first()
+    if last is None:
+        return None
+    now = time.time_ns() if now_ns is None else now_ns
+    young = held.where(F.col("epoch") >= now // max(1, int(last._seconds * 1_000_000_000)) - 1)  # prunes folders
+    return recent(young, now, last._seconds, last._most).drop("_seconds", "_most", "slot", "epoch", "batch")
 
 
 SESSION = "connection string, session_id string, started_ns long, ended_ns long, event_count long"
@@ -214,22 +166,26 @@ SESSION = "connection string, session_id string, started_ns long, ended_ns long,
 
 def _sessions(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """The open recording of one connection in state. Messages of a batch are taken in ``seq`` order."""
-    sid, first, last, n = state.get if state.exists else (None, 0, 0, 0)
+    sid, first, last, n = state.get if state.exists else (None, -1, -1, 0)
     done = []
-    for r in pd.concat(list(chunks)).sort_values("seq").itertuples():
+    for r in pd.concat(list(chunks)).dropna(subset="seq").sort_values("seq").itertuples():
         if r.type == "trace_event" and sid:
-            first, last, n = (r.ts_ns if n == 0 else first), max(last, r.ts_ns), n + 1
+            n += 1
+            if not pd.isna(r.ts_ns):  # an event without a time counts and moves no bound
+                first, last = (int(r.ts_ns) if first < 0 else first), max(last, int(r.ts_ns))
         elif r.type in ("trace_session_start", "trace_session_end"):
             if sid and n:  # empty recordings leave no session
-                done.append((*key, sid, first, last, n))
-            sid, first, last, n = (r.session_id or None) if r.type == "trace_session_start" else None, 0, 0, 0
-    state.update((sid, int(first), int(last), int(n)))
-    yield pd.DataFrame(done, columns=[c.split()[0] for c in SESSION.split(", ")])
+                done.append((*key, sid, None if first < 0 else first, None if last < 0 else last, n))
+            named = r.type == "trace_session_start" and isinstance(r.session_id, str)
+            sid, first, last, n = (r.session_id or None) if named else None, -1, -1, 0
+    state.update((sid, first, last, n))
+    out = pd.DataFrame(done, columns=[c.split()[0] for c in SESSION.split(", ")])
+    yield out.astype({"started_ns": "Int64", "ended_ns": "Int64"})
 
 
 def stream_sessions(messages: DataFrame) -> DataFrame:
     """Sessions as they end (append mode) of ``messages(connection, seq, type, session_id, ts_ns)``. A new start ends the session before it; sessions without events
-    are left out; events outside a session are ignored. The rows go to ``save_sessions``."""
+    are left out; events outside a session are ignored, as are rows without ``seq``; a session none of whose events has a time has no times. The rows go to ``save_sessions``."""
     return messages.groupBy("connection").applyInPandasWithState(_sessions, SESSION, "sid string, first long, last long, n long", "append", GroupStateTimeout.NoTimeout)
 
 
