@@ -119,3 +119,50 @@ def test_chrome_round_trip(spark):
     back = FR.build_frames(P.from_chrome_trace(docs(spark, doc)))
     shape = lambda f, z: sorted(tuple(r) for r in f.selectExpr("thread_id", "node_id", "depth", f"start_ns - {z}", f"end_ns - {z}").collect())
     assert shape(back, 0) == shape(frames, zero)
+
+
+def plain_intervals(events):
+    """A stack over the intervals of one thread in order, and nothing else: ``(event, name, time, depth)``."""
+    open_, spans = [], []
+    for e in events:
+        if e["ph"] == "X":
+            spans.append((e["ts"], e["ts"] + e["dur"], e["name"]))
+        elif e["ph"] == "B":
+            open_.append(e)
+        elif open_:
+            b = open_.pop()
+            spans.append((b["ts"], e["ts"], b["name"]))
+    spans += [(b["ts"], b["ts"], b["name"]) for b in open_]
+    out, stack = [], []
+    for start, end, name in sorted(spans, key=lambda s: (s[0], -s[1])):
+        while stack and stack[-1][0] <= start:
+            t, was = stack.pop()
+            out.append(("return", was, t, len(stack)))
+        out.append(("call", name, start, len(stack)))
+        stack.append((end, name))
+    while stack:
+        t, was = stack.pop()
+        out.append(("return", was, t, len(stack)))
+    return out
+
+
+def test_overlapping_intervals_stay_open_under_later_ones(spark):
+    import json
+    import random
+
+    cases = [[{"name": "a", "ph": "X", "ts": 0, "dur": 10}, {"name": "b", "ph": "X", "ts": 5, "dur": 10}, {"name": "c", "ph": "X", "ts": 12, "dur": 1}, {"name": "d", "ph": "X", "ts": 20, "dur": 0}]]
+    rng = random.Random(3)
+    for _ in range(40):
+        case = []
+        for k in range(rng.randrange(1, 14)):
+            ph = rng.choice("XXXBE")
+            case.append({"name": f"n{k}", "ph": ph, "ts": rng.randrange(12), **({"dur": rng.choice([0, 1, 3, 8])} if ph == "X" else {})})
+        cases.append(case)
+    docs = [(str(k), json.dumps({"traceEvents": [e | {"pid": 1, "tid": 7} for e in case]})) for k, case in enumerate(cases)]
+    got = {}
+    for r in P.from_chrome_trace(spark.createDataFrame(docs, "doc string, value string")).orderBy("session_id", "idx").collect():
+        assert r.thread_id == 7 and r.idx == len(got.setdefault(r.session_id, []))
+        got[r.session_id].append((r.event, r.node_id, r.ts_ns // 1000, r.frame_depth))
+    for k, case in enumerate(cases):
+        assert got.get(str(k), []) == plain_intervals(case), case
+    assert got["0"][:3] == [("call", "a", 0, 0), ("call", "b", 5, 1), ("call", "c", 12, 2)]  # a has ended and stays open under b

@@ -160,15 +160,19 @@ def speedscope_documents(frames: DataFrame) -> DataFrame:
 
 def from_chrome_trace(docs: DataFrame) -> DataFrame:
     """Trace events (``session_id, thread_id, idx``...) of interval documents. ``B`` and ``E`` pair last in, first out; an ``E`` without ``B`` is skipped, a ``B`` without
-    ``E`` has no length; the process counts in the thread only where a document has several. Intervals of a thread are taken to nest."""
+    ``E`` has no length; the process counts in the thread only where a document has several.
+
+    Intervals are taken by start, the longer first, then in the order they were complete. One that ends inside a later one, which it does not hold whole, stays open under it: its
+    return comes behind the other's and has its own end as time. Each thread is scanned once, in that order, with the open intervals held and no others.
+    """
     schema = "traceEvents array<struct<name string, ph string, ts string, dur string, pid string, tid string>>"
     raw = docs.select(F.col("doc").alias("session_id"), F.posexplode(F.from_json("value", schema)["traceEvents"]).alias("ord", "e")).select("session_id", "ord", "e.*")
     raw = raw.withColumns({"pid": _number("pid").cast("long"), "tid": _number("tid").cast("long"), "ts": _number("ts"), "name": F.coalesce("name", F.lit(UNRESOLVED))})
     several = raw.groupBy("session_id").agg((F.min("pid") < F.max("pid")).alias("several"))
     raw = raw.where("ph in ('X', 'B', 'E')").join(several, "session_id").withColumn("thread_id", F.when(F.col("several"), F.col("pid") * 1000000 + F.col("tid")).otherwise(F.col("tid")))
     thread = ["session_id", "thread_id"]
-    keep = [*thread, "ord", "name", F.col("ts").alias("start")]
-    whole = raw.where("ph = 'X'").select(*keep, (F.col("ts") + _number("dur")).alias("end"))
+    keep = [*thread, "name", F.col("ts").alias("start")]
+    whole = raw.where("ph = 'X'").select(*keep, (F.col("ts") + _number("dur")).alias("end"), "ord")
     order = Window.partitionBy(*thread).orderBy("ord")
     b = raw.where("ph <> 'X'").withColumn("sum", F.sum(F.when(F.col("ph") == "B", 1).otherwise(-1)).over(order))
     b = b.withColumn("low", F.least(F.lit(0), F.min("sum").over(order))).withColumn("depth", F.col("sum") - F.col("low"))
@@ -176,16 +180,45 @@ def from_chrome_trace(docs: DataFrame) -> DataFrame:
     floor = F.col("low") < F.coalesce(F.lag("low").over(order), F.lit(0))
     b = b.withColumn("idle", (F.col("ph") == "E") & floor).where("not idle").withColumn("level", F.col("depth") + F.when(F.col("ph") == "E", 1).otherwise(0))
     level = Window.partitionBy(*thread, "level").orderBy("ord")
-    paired = b.withColumn("end", F.coalesce(F.lead("ts").over(level), F.col("ts"))).where("ph = 'B'").select(*keep, "end")
-    spans = whole.unionByName(paired)
-    spans = spans.withColumn("rank", F.row_number().over(Window.partitionBy(*thread).orderBy("start", F.desc("end"), "ord")))
-    empty = F.col("start") == F.col("end")
-    sides = F.array(
-        F.struct(F.lit("call").alias("event"), F.col("start").alias("t"), F.when(empty, 2).otherwise(1).alias("turn"), (F.col("rank") * 2).alias("place")),
-        F.struct(F.lit("return").alias("event"), F.col("end").alias("t"), F.when(empty, 2).otherwise(0).alias("turn"), F.when(empty, F.col("rank") * 2 + 1).otherwise(-F.col("rank")).alias("place")),
-    )
-    e = spans.select(*thread, "name", F.explode(sides).alias("e")).select(*thread, "name", "e.*")
-    along = Window.partitionBy(*thread).orderBy("t", "turn", "place")
-    e = e.withColumns({"idx": F.row_number().over(along) - 1, "after": F.sum(F.when(F.col("event") == "call", 1).otherwise(-1)).over(along)})
-    depth = F.col("after") - F.when(F.col("event") == "call", 1).otherwise(0)
-    return e.select(*thread, F.col("idx").cast("long").alias("idx"), "event", F.col("name").alias("node_id"), F.round(F.col("t") * 1000).cast("long").alias("ts_ns"), depth.cast("int").alias("frame_depth"))
+    unclosed = F.lit(1 << 40) + F.col("ord")  # these are complete when all others are
+    paired = b.withColumns({"end": F.coalesce(F.lead("ts").over(level), F.col("ts")), "done": F.coalesce(F.lead("ord").over(level).cast("long"), unclosed)})
+    spans = whole.unionByName(paired.where("ph = 'B'").select(*keep, "end", F.col("done").alias("ord"))).select(*thread, "name", F.col("start").cast("double"), F.col("end").cast("double"), F.col("ord").cast("long"), (-F.col("end")).cast("double").alias("sooner"))
+    rows = spans.repartition(*thread).sortWithinPartitions(*thread, "start", "sooner", "ord")
+    e = rows.mapInArrow(_nest, "session_id string, thread_id long, idx long, event string, node_id string, t double, frame_depth int")
+    return e.select(*thread, "idx", "event", "node_id", F.round(F.col("t") * 1000).cast("long").alias("ts_ns"), "frame_depth")
+
+
+def _nest(batches):
+    """Calls and returns of intervals in order: what has ended by an interval's start closes before it, from the innermost one down to the first that is still open."""
+    import pyarrow as pa
+
+    names = ["session_id", "thread_id", "idx", "event", "node_id", "t", "frame_depth"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32()]
+    key, stack, n, out = None, [], 0, []
+
+    def table():
+        cols = list(zip(*out)) if out else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+    def add(event, name, t):
+        nonlocal n
+        out.append((*key, n, event, name, t, len(stack)))
+        n += 1
+
+    def close(upto=None):
+        while stack and (upto is None or stack[-1][1] <= upto):
+            name, end = stack.pop()
+            add("return", name, end)
+
+    for batch in batches:
+        for session, thread, name, start, end in zip(*(batch.column(c).to_pylist() for c in ("session_id", "thread_id", "name", "start", "end"))):
+            if (session, thread) != key:
+                close()
+                key, n = (session, thread), 0
+            close(start)
+            add("call", name, start)
+            stack.append((name, end))
+        yield table()
+        out = []
+    close()
+    yield table()
