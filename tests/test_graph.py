@@ -52,3 +52,17 @@ def test_implementations_with_a_method_that_all_have(spark):
     df = spark.createDataFrame(rows + rows[:40], "id string, kind string, method string")
     want = {(s, i) for s, have in structs.items() for i, need in interfaces.items() if need <= have}
     assert {tuple(r) for r in G.implements_edges(df).collect()} == want
+
+
+def test_merged_graph_links_its_languages(spark):
+    node, edge = "id string, kind string", "source string, target string, kind string, line int"
+    py = spark.createDataFrame([("a.py", "file"), ("a.py:f", "function")], node), spark.createDataFrame([("a.py", "a.py:f", "call", 3)], edge)
+    ts = spark.createDataFrame([("b.ts", "file"), ("x/run.ts", "file")], node), spark.createDataFrame([], edge)
+    hint = "kind string, node_id string, path string, command string, line int, ord long"
+    mine = spark.createDataFrame([("http_client", "a.py:f", "/Api/users/{id}/", None, 7, 0), ("http_client", "a.py:f", "/api/users/:id", None, 9, 1), ("subprocess", "a.py:f", None, "./run.ts -x", 11, 2), ("http_server", "a.py", "/api/users/<n>", None, 1, 99), ("http_client", "a.py", "/health", None, 1, 3)], hint)
+    theirs = spark.createDataFrame([("http_server", "b.ts", "/api/users/{x}", None, 2, 0), ("http_client", "b.ts", "/api/users/{y}", None, 5, 1), ("subprocess", "x/run.ts", None, "run.ts", 1, 2)], hint)
+    got = G.merge_graphs([("python", *py, mine), ("typescript", *ts, theirs), ("go", py[0].limit(0), py[1].limit(0), None)])
+    assert sorted(map(tuple, got.counts.collect())) == [("go+python+typescript", "go", 0), ("go+python+typescript", "python", 2), ("go+python+typescript", "typescript", 2)]
+    rows = sorted((r.source, r.target, r.kind, r.line) for r in got.edges.collect())
+    assert rows == [("a.py", "a.py:f", "call", 3), ("a.py:f", "b.ts", "cross_language_call", 7), ("a.py:f", "b.ts", "cross_language_call", 9), ("a.py:f", "x/run.ts", "cross_language_spawn", 11)]
+    assert got.nodes.where("language = 'python'").count() == 2 and got.hints.count() == 8

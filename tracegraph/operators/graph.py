@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,21 +183,30 @@ def implements_edges(members: DataFrame) -> DataFrame:
     return all_.unionByName(candidates.where("need = 1").select("struct", "interface"))
 
 
-def route_edges(hints: DataFrame) -> DataFrame:
-    """Clients to the last server of the same normalised path of two segments or more; no self edges. ``hints(kind, node_id, path, ord)``."""
+def _routes(hints: DataFrame) -> DataFrame:
+    """Each client's hint with ``route`` and ``target``."""
     from ..functions.scalars import normalize_http_path, path_segments
 
     h = hints.withColumn("route", normalize_http_path(F.col("path")))
     server = h.where("kind = 'http_server'").where(path_segments(F.col("route")) >= 2).groupBy("route").agg(F.max_by("node_id", "ord").alias("target"))
-    return h.where("kind = 'http_client'").join(server, "route").where("node_id <> target").select(F.col("node_id").alias("source"), "target", "route").distinct()
+    return h.where("kind = 'http_client'").join(server, "route").where("node_id <> target")
+
+
+def route_edges(hints: DataFrame) -> DataFrame:
+    """Clients to the last server of the same normalised path of two segments or more; no self edges. ``hints(kind, node_id, path, ord)``."""
+    return _routes(hints).select(F.col("node_id").alias("source"), "target", "route").distinct()
+
+
+def _spawns(hints: DataFrame, files: DataFrame) -> DataFrame:
+    suffix = files.withColumn("parts", F.split("id", "/")).select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", i, F.size("parts")), "/"))).alias("arg"))
+    best = suffix.groupBy("arg").agg(F.min("id").alias("target"))
+    return hints.where("kind = 'subprocess'").withColumn("arg", F.regexp_replace(F.substring_index("command", " ", 1), "^[./]+", "")).join(best, "arg")
 
 
 def spawn_edges(hints: DataFrame, files: DataFrame) -> DataFrame:
     """Commands to the smallest file id that is, or ends after a slash in, the command's first word. Every path suffix of a file is a row, so this
     is an equal join."""
-    suffix = files.withColumn("parts", F.split("id", "/")).select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", i, F.size("parts")), "/"))).alias("arg"))
-    best = suffix.groupBy("arg").agg(F.min("id").alias("target"))
-    return hints.where("kind = 'subprocess'").withColumn("arg", F.regexp_replace(F.substring_index("command", " ", 1), "^[./]+", "")).join(best, "arg").select(F.col("node_id").alias("source"), "target")
+    return _spawns(hints, files).select(F.col("node_id").alias("source"), "target")
 
 
 def edge_evidence(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -210,11 +221,38 @@ def call_sites(edges: DataFrame) -> DataFrame:
     return c.groupBy("source", "target").agg(F.min_by("line", "edge_ord").alias("line"))
 
 
-def merge_graphs(parts: list[tuple[str, DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """Nodes of several languages with ``language``, and one row of names and counts."""
-    nodes = None
-    for language, df in parts:
-        df = df.withColumn("language", F.lit(language))
-        nodes = df if nodes is None else nodes.unionByName(df, allowMissingColumns=True)
-    counts = nodes.groupBy("language").agg(F.count("*").alias("n"))
-    return nodes, counts.agg(F.array_join(F.array_sort(F.collect_set("language")), "+").alias("language"), F.sum("n").alias("n"))
+class Merged(NamedTuple):
+    nodes: DataFrame
+    edges: DataFrame
+    hints: DataFrame
+    counts: DataFrame
+
+
+HINT = "kind string, node_id string, path string, command string, line int, ord long, language string"
+
+
+def merge_graphs(parts: list[tuple[str, DataFrame, DataFrame, DataFrame | None]]) -> Merged:
+    """One graph of those of several languages: ``(language, nodes, edges, hints)`` each, hints (``kind, node_id, path, command, line, ord``) where there are any.
+
+    ``nodes``, ``edges`` and ``hints`` of all languages with ``language``; behind the edges those that lead from one language to another, or from one part of one to another: a
+    client's call to a route's last server and a command's file, one edge a hint with its line, none from a node to itself. ``counts``: nodes of each language, and on each row
+    ``graph``, the languages sorted and joined. A language without nodes counts 0. Of one language's hints the order is ``ord``, of several that of the parts.
+    """
+    spark = parts[0][1].sparkSession
+    nodes = edges = None
+    hints = spark.createDataFrame([], HINT)
+    for k, (language, n, e, h) in enumerate(parts):
+        n, e = n.withColumn("language", F.lit(language)), e.withColumn("language", F.lit(language))
+        nodes = n if nodes is None else nodes.unionByName(n, allowMissingColumns=True)
+        edges = e if edges is None else edges.unionByName(e, allowMissingColumns=True)
+        if h is not None:
+            # later parts stand behind earlier ones, whatever their own order
+            hints = hints.unionByName(h.withColumns({"language": F.lit(language), "ord": F.col("ord") + (k << 48)}), allowMissingColumns=True)
+    line = lambda df, kind: df.select(F.col("node_id").alias("source"), "target", F.lit(kind).alias("kind"), "line", F.lit(True).alias("resolved"))
+    files = nodes.where("kind = 'file'").select("id").distinct()
+    crossing = line(_routes(hints), "cross_language_call").unionByName(line(_spawns(hints, files).where("node_id <> target"), "cross_language_spawn"))
+    languages = [p[0] for p in parts]
+    every = spark.createDataFrame([(x,) for x in sorted(set(languages))], "language string")
+    counts = every.join(nodes.groupBy("language").agg(F.count("*").alias("n")), "language", "left")
+    counts = counts.select(F.lit("+".join(sorted(set(languages)))).alias("graph"), "language", F.coalesce("n", F.lit(0)).alias("n"))
+    return Merged(nodes, edges.unionByName(crossing, allowMissingColumns=True), hints, counts)

@@ -164,7 +164,27 @@ graph_query("clamp_middle", lambda n, e: n.select("id", S.clamp_middle(F.col("pa
 graph_query("redact", lambda n, e: n.select("id", S.redact(F.concat(F.lit("Api-"), F.when(F.col("line") % 2 == 0, "Key").otherwise("x")), F.col("name")).alias("value")), "SELECT id, CASE WHEN line % 2 = 0 THEN '<redacted>' ELSE name END AS value FROM gn")
 graph_query("posix_path", lambda n, e: n.select("id", S.posix_path(F.concat(F.lit("/r/x/../"), "path", F.lit("\\.\\b")), "/r").alias("p")), "SELECT id, path || '/b' AS p FROM gn")
 graph_query("dedupe_nodes", lambda n, e: G_.dedupe_nodes(n.select(F.col("path").alias("id"), "kind", "line", F.xxhash64("id").alias("node_ord")).withColumn("node_ord", F.col("line"))).select("id", "line"), "SELECT path AS id, min(line) AS line FROM gn GROUP BY 1")
-graph_query("merge_graphs", lambda n, e: G_.merge_graphs([("python", n.where("kind = 'class'")), ("go", n.where("kind = 'file'"))])[1], "SELECT 'go+python' AS language, count(*) AS n FROM gn WHERE kind IN ('class', 'file')")
+
+
+def _merged(spark, sf):
+    """Three languages over all nodes and edges: customers call their nation's route, suppliers serve it, and both start their nation's file."""
+    nodes, edges = D.graph_nodes(spark, sf), D.graph_edges(spark, sf)
+    cust, supp = D.t(spark, sf, "customer"), D.t(spark, sf, "supplier")
+    none = "cast(null as string)"
+    web = cust.selectExpr("'http_client' kind", "concat('c', c_custkey) node_id", "concat('/N/', c_nationkey, '/list/') path", f"{none} command", "c_nationkey line", "c_custkey ord")
+    serve = supp.selectExpr("'http_server' kind", "concat('s', s_suppkey) node_id", "concat('/n/', s_nationkey, '/list') path", f"{none} command", "1 line", "s_suppkey ord")
+    start = supp.selectExpr("'subprocess' kind", "concat('s', s_suppkey) node_id", f"{none} path", "concat('./n', s_nationkey, ' -v') command", "2 line", "s_suppkey ord")
+    of = lambda kinds, side: (nodes.where(F.col("kind").isin(kinds)), edges.where(F.substring("source", 1, 1).isin(side)))
+    return G_.merge_graphs([("typescript", *of(["method"], ["c"]), web), ("go", *of(["class", "function"], ["s", "p"]), serve.union(start)), ("python", *of(["file"], ["n", "r"]), None)])
+
+
+query("merge_graphs", f"WITH {D.G} SELECT 'go+python+typescript' AS graph, CASE WHEN kind = 'method' THEN 'typescript' WHEN kind = 'file' THEN 'python' ELSE 'go' END AS language, count(*) AS n FROM gn GROUP BY 2")(lambda spark, sf: _merged(spark, sf).counts)
+query("merged_edges", f"""WITH {D.G}, last AS (SELECT s_nationkey AS k, max(s_suppkey) AS s FROM supplier GROUP BY 1),
+ al AS (SELECT source, target, kind, line, CASE source[1] WHEN 'c' THEN 'typescript' WHEN 'n' THEN 'python' ELSE 'go' END AS language FROM ge
+  UNION ALL SELECT 'c' || c_custkey, 's' || s, 'cross_language_call', c_nationkey, NULL FROM customer JOIN last ON k = c_nationkey
+  UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'cross_language_spawn', 2, NULL FROM supplier) SELECT source, target, kind, line, language, count(*) AS n FROM al GROUP BY ALL""")(
+    lambda spark, sf: _merged(spark, sf).edges.groupBy("source", "target", "kind", "line", "language").agg(F.count("*").alias("n"))
+)
 graph_query("snapshot_diff", lambda n, e: R.snapshot_diff(n.where("line % 3 > 0").select(F.col("id").alias("key"), F.sha2("name", 256).alias("hash")), n.where("line % 4 > 0").select(F.col("id").alias("key"), F.when(F.col("line") == 1, "x").otherwise(F.sha2("name", 256)).alias("hash"))), "SELECT key, change FROM (SELECT id AS key, CASE WHEN line % 3 = 0 AND line % 4 > 0 THEN 'added' WHEN line % 4 = 0 AND line % 3 > 0 THEN 'removed' WHEN line = 1 THEN 'changed' END AS change FROM gn) WHERE change IS NOT NULL")
 query("asof_resolve", "WITH p AS (SELECT l_orderkey, l_linenumber, p_brand AS path, CAST(l_quantity AS INT) AS line FROM lineitem JOIN part ON p_partkey = l_partkey), d AS (SELECT p_brand AS path, p_size AS line, max(p_partkey) AS node FROM part GROUP BY 1, 2) SELECT l_orderkey, l_linenumber, p.path, p.line, node FROM p ASOF LEFT JOIN d ON p.path = d.path AND p.line >= d.line")(
     lambda spark, sf: E.as_of(D.t(spark, sf, "lineitem").join(D.t(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).selectExpr("l_orderkey", "l_linenumber", "p_brand path", "cast(l_quantity as int) line"), D.t(spark, sf, "part").selectExpr("p_brand path", "p_size line", "p_partkey node"), ["path"], "line", "node")
