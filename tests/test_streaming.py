@@ -206,3 +206,55 @@ def test_recent_history_writes_each_row_once(spark):
     later = time.time_ns() + 3 * 3600 * 10**9
     assert live.latest_recent(spark, folder, later).count() == 0
     assert live.latest_recent(spark, folder + "x") is None
+
+
+def test_a_graph_goes_on_after_its_query_broke_off(spark):
+    """A batch whose write fails ends the query; started again, it is run again from the tables before it, and the graph is that of all files."""
+    import pytest
+
+    schema = "path string, hash string, text string"
+    folder = tempfile.mkdtemp()
+    seen, fail = {}, {1}
+
+    def write(result, changes, n):
+        if n in fail:
+            fail.discard(n)
+            raise RuntimeError("lost")
+        seen[n] = ({r.word: r["count"] for r in result.collect()}, {r.key: r.change for r in changes.collect()})
+
+    def go():
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        extract = lambda files: files.select("path", "hash", F.explode(F.split("text", " ")).alias("word"))
+        q = live.stream_graph(source, extract, lambda rows: rows.groupBy("word").count(), write, f"{folder}/graph").option("checkpointLocation", f"{folder}/ck")
+        q.trigger(availableNow=True).start().awaitTermination()
+
+    parts = [[("a", "1", "x y"), ("b", "1", "y")], [("a", "2", "x"), ("c", "1", "z")], [("b", None, None)]]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{folder}/in/p{k}")
+        if k == 1:
+            with pytest.raises(Exception, match="lost"):
+                go()
+            continue
+        go()
+    assert seen == {0: ({"x": 1, "y": 2}, {"a": "added", "b": "added"}), 1: ({"x": 1, "y": 1, "z": 1}, {"a": "changed", "c": "added"}), 2: ({"x": 1, "z": 1}, {"b": "removed"})}
+
+
+def test_heat_and_diff_are_kept_by_what_moves(spark):
+    from tracegraph.storage import KeyedTable
+
+    schema = "session_id string, idx long, node_id string, weight long"
+    folder = tempfile.mkdtemp()
+    parts = [[("s", 0, "a", 2), ("s", 1, "b", 1)], [("s", 2, "a", 1), ("t", 0, "c", 5)], [("s", 3, "b", 1)]]
+    moved = {}
+    base = spark.createDataFrame([("a", 3), ("b", 9), ("z", 1)], "node_id string, heat long")
+    for k, part in enumerate(parts):  # a new query for each part
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{folder}/in/p{k}")
+        source = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        live.keep_heat(source, f"{folder}/heat").option("checkpointLocation", f"{folder}/ck1").trigger(availableNow=True).start().awaitTermination()
+        q = live.stream_diff(source, base, lambda df, n: None, f"{folder}/diff", lambda df, n: moved.update({n: {r.node_id: r.status for r in df.collect()}}))
+        q.option("checkpointLocation", f"{folder}/ck2").trigger(availableNow=True).start().awaitTermination()
+    heat = KeyedTable(spark, f"{folder}/heat", ["session_id", "node_id"]).read()
+    assert {(r.session_id, r.node_id): r.heat for r in heat.collect()} == {("s", "a"): 3, ("s", "b"): 2, ("t", "c"): 5}
+    diff = KeyedTable(spark, f"{folder}/diff", ["node_id"]).read()
+    assert {r.node_id: (r.status, r.count_a, r.count_b) for r in diff.collect()} == {"a": ("same", 3, 3), "b": ("colder", 9, 2), "c": ("new", 0, 5), "z": ("gone", 1, 0)}
+    assert moved == {0: {"a": "colder", "b": "colder"}, 1: {"a": "same", "c": "new"}, 2: {"b": "colder"}}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import event_weight
 from ..schemas import TRACE_LINE
+from ..storage import KeyedTable
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -109,6 +110,23 @@ def save_sessions(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("id"), "id", "left_anti").unionByName(new)
 
 
+class SessionStore:
+    """Sessions in a table under ``folder``: a save rewrites only the parts of the table that its ids fall in, and a lookup reads one part."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.table = KeyedTable(spark, folder, ["id"])
+
+    def save(self, sessions: DataFrame, batch: int | None = None) -> None:
+        self.table.upsert(sessions, batch)
+
+    def newest_first(self) -> DataFrame | None:
+        rows = self.table.read()
+        return None if rows is None else rows.orderBy(F.desc("started_ns"), "id")
+
+    def get(self, session_id: str) -> DataFrame | None:
+        return self.table.get(session_id)
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Keys added, removed or changed between two ``(key, hash)`` tables."""
     both = old.select("key", F.col("hash").alias("a")).join(new.select("key", F.col("hash").alias("b")), "key", "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.messages import decode_envelopes
 from ..functions.scalars import event_weight
+from ..storage import KeyedTable, Sides, cut, new_folder
 from .stateful import FRAME, Ends, Frames, first_of_each, rocks
 
 
@@ -94,21 +95,43 @@ def stream_coverage_deltas(polls: DataFrame) -> DataFrame:
     )
 
 
-def stream_diff(events: DataFrame, baseline: DataFrame, write) -> DataFrame:
-    """For each batch of running heat: its comparison with a fixed baseline, handed to ``write(diff, batch)``."""
+def keep_heat(events: DataFrame, folder: str):
+    """Running heat in a table under ``folder`` (``KeyedTable`` of session and node): a batch writes the parts that its nodes fall in."""
+    table = KeyedTable(events.sparkSession, folder, ["session_id", "node_id"])
+    return stream_heat(events).writeStream.outputMode("update").foreachBatch(lambda df, n: table.upsert(df, n))
+
+
+def stream_diff(events: DataFrame, baseline: DataFrame, write, folder: str | None = None, changes=None):
+    """A running comparison with a fixed baseline, kept in a table under ``folder`` (one of its own where none is given): ``write(diff, batch)`` gets the whole table after each
+    batch, to be read as far as it is needed, and ``changes(diff, batch)``, where given, the rows of the batch's nodes.
+
+    A batch reckons and writes the nodes that its events moved and no others; with a folder and a checkpoint, a query that is started again goes on.
+    """
     from ..operators.events import rank_status
 
     if baseline.isEmpty():
         raise ValueError("the baseline is empty")
+    spark = events.sparkSession
     base = baseline.select("node_id", F.col("heat").alias("count_a"))
+    table = KeyedTable(spark, folder or new_folder(spark), ["node_id"])
 
-    def batch(df: DataFrame, n: int) -> None:
-        both = df.groupBy("node_id").agg(F.sum("heat").alias("count_b")).join(base, "node_id", "full_outer").na.fill(0, ["count_a", "count_b"])
+    def status(df: DataFrame) -> DataFrame:
         a, b = F.col("count_a"), F.col("count_b")
-        status = F.when(a == 0, "new").when(b == 0, "gone").when(b > a, "hotter").when(b < a, "colder").otherwise("same")
-        write(both.withColumn("status", status).withColumn("status_rank", rank_status()), n)
+        kind = F.when(a == 0, "new").when(b == 0, "gone").when(b > a, "hotter").when(b < a, "colder").otherwise("same")
+        return df.withColumn("status", kind).withColumn("status_rank", rank_status())
 
-    return stream_heat(events).writeStream.outputMode("complete").foreachBatch(batch)
+    def batch(df: DataFrame, n: int) -> None:
+        if table.sides.last() is None:
+            table.upsert(status(base.withColumn("count_b", F.lit(0).cast("long"))), -1)  # nodes that the run has not touched
+        moved = df.select("node_id", F.col("heat").alias("count_b")).join(base, "node_id", "left").na.fill(0, ["count_a"])
+        moved = cut(status(moved.select("node_id", "count_a", "count_b")))
+        table.upsert(moved, n)
+        if changes is not None:
+            changes(moved, n)
+        write(table.read(), n)
+
+    heat = events.where("node_id <> ''").groupBy("node_id").agg(F.sum("weight").cast("long").alias("heat"))
+    return heat.writeStream.outputMode("update").foreachBatch(batch)
 
 
 def recent(rows: DataFrame, now_ns: int, seconds: float = 60.0, max_events: int | None = None) -> DataFrame:
@@ -212,36 +235,35 @@ def stream_metric_series(events: DataFrame, suffix: str = "metrics.py:record_epo
     return points.groupBy("session_id").applyInPandasWithState(_points, POINT, "last long, run long", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_graph(files: DataFrame, extract, analyse, write):
+def stream_graph(files: DataFrame, extract, analyse, write, folder: str | None = None):
     """Refreshes a graph from changed files: ``files(path, hash, text)`` as they arrive, a null text for one that is gone.
 
     Each batch computes ``extract(files)`` (rows with ``path`` and ``hash``) for files whose hash is new and keeps the rest of the table before,
-    then hands ``analyse(rows)`` of the whole table and the batch's changes of files to ``write(result, changes, batch)``. Between batches there is one table in the shared
-    folder, of two that are written in turn; the driver knows which, so a query that is started again begins with an empty graph. Of several rows of a file in one batch the last by ``ord`` counts where that column is there.
+    then hands ``analyse(rows)`` of the whole table and the batch's changes of files to ``write(result, changes, batch)``. Of several rows of a file in one batch the last by
+    ``ord`` counts where that column is there.
+
+    The two tables, of files and of rows, stand in ``folder`` (one of its own where none is given) with the number of their batch, in two places that are written in turn: with
+    the same folder and checkpoint a query that is started again goes on from the last whole batch, and runs a broken one again from the tables before it.
     """
     from ..sources.files import reuse_partials
     from ..sources.traces import snapshot_diff
-    from ..storage import Rounds
 
-    held: dict = {}
+    sides = Sides(files.sparkSession, folder or new_folder(files.sparkSession))
 
     def batch(df: DataFrame, n: int) -> None:
         spark = df.sparkSession
         if "ord" in df.columns:
             df = df.groupBy("path").agg(F.max_by(F.struct("hash", "text"), "ord").alias("f")).select("path", "f.*")
-        if not held:
-            held.update(known=Rounds(spark), parts=Rounds(spark))
-            before = df.select("path", "hash").limit(0)
-        else:
-            before = held["files"]
+        last, place = sides.last(n), sides.next(n)
         came = df.where("text is not null")
+        fresh = extract(came)
+        before = spark.read.parquet(f"{last[1]}/files") if last else df.select("path", "hash").limit(0)
+        kept = spark.read.parquet(f"{last[1]}/rows") if last else fresh.limit(0)
         now = before.join(df.select("path").distinct(), "path", "left_anti").unionByName(came.select("path", "hash"))
         changes = snapshot_diff(before.select(F.col("path").alias("key"), "hash"), now.select(F.col("path").alias("key"), "hash"))
-        files_now = held["known"].cut(now)
-        fresh = extract(came)
-        kept = held["rows"] if "rows" in held else fresh.limit(0)
-        rows = held["parts"].cut(reuse_partials(files_now, kept, lambda missing: extract(came.join(missing.select("path", "hash"), ["path", "hash"], "left_semi"))))
+        files_now = cut(now, f"{place}/files")
+        rows = cut(reuse_partials(files_now, kept, lambda missing: extract(came.join(missing.select("path", "hash"), ["path", "hash"], "left_semi"))), f"{place}/rows")
+        sides.commit(n, place)
         write(analyse(rows), changes, n)
-        held.update(files=files_now, rows=rows)
 
     return files.writeStream.foreachBatch(batch)
