@@ -258,3 +258,69 @@ def test_heat_and_diff_are_kept_by_what_moves(spark):
     diff = KeyedTable(spark, f"{folder}/diff", ["node_id"]).read()
     assert {r.node_id: (r.status, r.count_a, r.count_b) for r in diff.collect()} == {"a": ("same", 3, 3), "b": ("colder", 9, 2), "c": ("new", 0, 5), "z": ("gone", 1, 0)}
     assert moved == {0: {"a": "colder", "b": "colder"}, 1: {"a": "same", "c": "new"}, 2: {"b": "colder"}}
+
+
+def test_lines_of_spans_are_those_of_the_file():
+    import io
+    import random
+
+    from tracegraph.sources import logs
+
+    rng = random.Random(1)
+    for _ in range(200):
+        data = b"".join(bytes(rng.choice(b"ab") for _ in range(rng.choice([0, 1, 5, 40]))) + b"\n" for _ in range(rng.randrange(8))) + rng.choice([b"", b"tail"])
+        f = io.BytesIO(data)
+        start = done = 0
+        got = []
+        while True:
+            end = logs.whole_lines(f, done, min(len(data), done + rng.randrange(1, 30)), len(data))
+            if end == done:
+                break
+            step = rng.randrange(1, 20)
+            for a in range(done, end, step):
+                got += logs.lines_of(f, logs.Span("", a, min(end, a + step), a == done))
+            done = end
+        want = []
+        for line in data.split(b"\n")[:-1]:
+            want.append((start, line))
+            start += len(line) + 1
+        assert got == want and done == start
+
+
+def test_growing_logs_are_followed_over_a_restart(spark):
+    folder = tempfile.mkdtemp()
+    say = lambda k: json.dumps({"id": str(k), "type": "trace_event", "payload": {"event": "call", "node_id": f"n{k}", "ts_ns": k, "thread_id": 1, "frame_depth": 0}})
+    seen, batches = [], []
+
+    def take(df, n):
+        rows = df.collect()
+        batches.append(len(rows))
+        seen.extend((r.connection.rsplit("/", 1)[1], r.seq, r.node_id) for r in rows)
+
+    def start(most=1 << 20):
+        q = live.follow_messages(spark, f"{folder}/logs", most).writeStream.option("checkpointLocation", f"{folder}/ck").foreachBatch(take).start()
+        q.processAllAvailable()
+        return q
+
+    def append(name, text):
+        import os
+
+        os.makedirs(f"{folder}/logs", exist_ok=True)
+        with open(f"{folder}/logs/{name}", "a") as f:
+            f.write(text)
+
+    append("a", "".join(say(k) + "\n" for k in range(20)) + say(20)[:30])
+    q = start()
+    assert sorted(x[2] for x in seen) == sorted(f"n{k}" for k in range(20))  # the last line is not whole yet
+    append("a", say(20)[30:] + "\n")
+    append("b", "no json\n" + say(50) + "\n")
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(x[2] for x in seen[20:]) == ["n20", "n50"]
+    append("a", "".join(say(k) + "\n" for k in range(21, 40)))
+    batches.clear()
+    q = start(500)  # a few lines a batch
+    q.stop()
+    assert sorted(x[2] for x in seen[22:]) == sorted(f"n{k}" for k in range(21, 40)) and len(batches) > 3
+    a = sorted(x[1:] for x in seen if x[0] == "a")
+    assert [n for _, n in a] == [f"n{k}" for k in range(40)] and len(set(seen)) == len(seen) == 41

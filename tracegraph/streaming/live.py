@@ -29,7 +29,7 @@ PAYLOAD = "session_id string, event string, node_id string, ts_ns long, thread_i
 def stream_messages(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """Messages of live traces as they arrive as files of JSON lines: ``connection`` (its file), ``seq`` (the line), ``type`` and the payload's fields.
 
-    A file is one connection's messages in order and is read as one value, so a writer should roll its files; of a message queue give ``messages_of`` its key and offset.
+    A file is one connection's messages in order and is read as one value, so a writer should roll its files (``follow_messages`` reads logs that grow); of a message queue give ``messages_of`` its key and offset.
     Lines that are no envelope and messages of other types are left out. What bounds a batch is the number of files it takes.
     """
     files = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("wholetext", True).text(path)
@@ -37,6 +37,17 @@ def stream_messages(spark: SparkSession, path: str, files_per_trigger: int = 1)
     return messages_of(lines.withColumn("seq", F.col("seq").cast("long")))
 
 
+def follow_messages(spark: SparkSession, path: str, bytes_per_batch: int = 64 << 20) -> DataFrame:
+    """Messages of live traces out of logs that grow, one a connection, in a folder: as ``stream_messages``, with the byte of a line as ``seq``.
+
+    A batch takes what has been added up to so many bytes, whole lines only, split into tasks by bytes; a query that is started again goes on at its bytes.
+    """
+    from ..sources.logs import ConnectionLogs
+
+    spark.dataSource.register(ConnectionLogs)
+    return messages_of(spark.readStream.format("connection_logs").option("path", path).option("maxBytesPerBatch", str(bytes_per_batch)).load())
+
+
 def messages_of(lines: DataFrame) -> DataFrame:
     """``lines(connection, seq, value)`` as ``connection, seq, type`` and the payload's fields."""
     known = decode_envelopes(lines, MESSAGES).where("error is null")
