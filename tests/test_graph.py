@@ -66,3 +66,38 @@ def test_merged_graph_links_its_languages(spark):
     rows = sorted((r.source, r.target, r.kind, r.line) for r in got.edges.collect())
     assert rows == [("a.py", "a.py:f", "call", 3), ("a.py:f", "b.ts", "cross_language_call", 7), ("a.py:f", "b.ts", "cross_language_call", 9), ("a.py:f", "x/run.ts", "cross_language_spawn", 11)]
     assert got.nodes.where("language = 'python'").count() == 2 and got.hints.count() == 8
+
+
+def plain_depths(nodes, edges):
+    adjacent, into = {}, set()
+    for a, b in edges:
+        if a != b:
+            adjacent.setdefault(a, set()).add(b)
+            into.add(b)
+    depth = {n: 0 for n, kind in nodes if kind == "file" or n not in into}
+    front = list(depth)
+    while front:
+        front = [y for x in front for y in adjacent.get(x, ()) if y not in depth and depth.setdefault(y, depth[x] + 1)]
+    return {n: depth.get(n, -1) for n, _ in nodes}
+
+
+def test_depths_on_random_graphs(spark):
+    rng = random.Random(9)
+    for density in (0.7, 1.0, 1.6):
+        nodes = [(f"n{k}", "file" if rng.random() < 0.04 else "function") for k in range(120)]
+        edges = [(f"n{rng.randrange(120)}", f"n{rng.randrange(120)}") for _ in range(int(120 * density))]
+        edges += [(f"n{k}", f"n{k + 1}") for k in range(80, 119)] + [("n40", "n41"), ("n41", "n42"), ("n42", "n40")]
+        got = G.bfs_depth(spark.createDataFrame(nodes, "id string, kind string"), spark.createDataFrame([(a, b, "call") for a, b in edges], "source string, target string, kind string"))
+        assert {r.id: r.depth for r in got.collect()} == plain_depths(nodes, edges)
+        assert all(r.reachable == (r.depth >= 0) for r in got.collect())
+
+
+def test_depths_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    n, rounds = 100_000, []
+    nodes = spark.range(n + 3).selectExpr("concat('n', id) id", "'function' kind")
+    edges = spark.range(n - 1).selectExpr("concat('n', id) source", f"concat('n', id + 1) target", "'call' kind")
+    ring = spark.range(3).selectExpr(f"concat('n', id + {n}) source", f"concat('n', (id + 1) % 3 + {n}) target", "'call' kind")  # nothing enters it
+    whole = G.Rounds.cut
+    monkeypatch.setattr(G.Rounds, "cut", lambda self, df: rounds.append(1) or whole(self, df))
+    r = G.bfs_depth(nodes, edges.union(ring)).selectExpr("sum(depth) s", "max(depth) m", "count_if(not reachable) u").first()
+    assert (r.s, r.m, r.u) == (n * (n - 1) // 2 - 3, n - 1, 3) and len(rounds) < 30

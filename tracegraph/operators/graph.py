@@ -72,18 +72,39 @@ def degree_buckets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def bfs_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, depth, reachable``: steps over call and import edges from files and nodes nothing calls or imports; -1 where not reached.
-    One join per step; ids reached before are dropped by an anti join."""
-    e = resolved_edges(nodes, edges).where("kind in ('call', 'import') and source <> target").select("source", "target").distinct()
-    e = cut(e)
-    entry = nodes.join(e.select(F.col("target").alias("id")).distinct().withColumn("t", F.lit(1)), "id", "left").where("kind = 'file' or t is null").select("id").distinct()
-    seen = front = cut(entry.withColumn("depth", F.lit(0)))
-    d = 0
-    while not front.isEmpty():
-        d += 1
-        reached = front.join(e, F.col("id") == F.col("source")).select(F.col("target").alias("id")).distinct()
-        front = cut(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(d)))
-        seen = seen.unionByName(front)
-    out = nodes.select("id").distinct().join(seen, "id", "left")
+
+    A node with one predecessor that is no entry is one step behind it, whatever that one's depth: such nodes find the first other node before them, and how far it is, by pointer
+    jumping, so a chain of n takes log2(n) rounds (a ring of them that nothing enters never finds one and is not reached). Between the others an edge is as long as the chain
+    it ends; each round moves from the nodes that the last one brought nearer. A loop holds two of its rounds.
+    """
+    spark = nodes.sparkSession
+    e = cut(resolved_edges(nodes, edges).where("kind in ('call', 'import') and source <> target").select("source", "target").distinct())
+    into = e.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n"), F.min("source").alias("up"))
+    entry = cut(nodes.join(into.select("id", "n"), "id", "left").where("kind = 'file' or n is null").select("id").distinct())
+    single = cut(into.where("n = 1").join(entry, "id", "left_anti").select("id", "up"))
+    chains = Rounds(spark)
+    ids = single.select(F.col("id").alias("up"), F.lit(True).alias("inside"))
+    at = chains.cut(single.join(ids, "up", "left").select("id", "up", F.lit(1).cast("long").alias("far"), F.col("inside").isNull().alias("done")))
+    for _ in range(max(1, single.count()).bit_length()):  # a longer way than all of them is a ring
+        if at.where("not done").isEmpty():
+            break
+        above = at.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("far").alias("more"), F.col("done").alias("found"))
+        moved = at.where("not done").join(above, "up").select("id", F.col("next").alias("up"), (F.col("far") + F.col("more")).alias("far"), F.col("found").alias("done"))
+        at = chains.cut(at.where("done").unionByName(moved))
+    behind = at.where("done").select("id", "up", "far")
+    ends = e.join(single.select(F.col("id").alias("target")), "target", "left_anti").join(entry.select(F.col("id").alias("target")), "target", "left_anti")
+    ring = at.where("not done").select(F.col("id").alias("source"))
+    ends = ends.join(ring, "source", "left_anti").join(behind.withColumnRenamed("id", "source"), "source", "left")
+    links = cut(ends.groupBy(F.coalesce("up", "source").alias("source"), "target").agg(F.min(F.coalesce("far", F.lit(0)) + 1).alias("w")))
+    rounds = Rounds(spark)
+    state = rounds.cut(entry.select("id", F.lit(0).cast("long").alias("depth"), F.lit(True).alias("moved")))
+    while not state.where("moved").isEmpty():
+        near = state.where("moved").join(links, F.col("id") == F.col("source")).groupBy(F.col("target").alias("id")).agg(F.min(F.col("depth") + F.col("w")).alias("new"))
+        both = state.select("id", "depth").join(near, "id", "full_outer")
+        state = rounds.cut(both.select("id", F.least("depth", "new").alias("depth"), (F.col("new").isNotNull() & (F.col("depth").isNull() | (F.col("new") < F.col("depth")))).alias("moved")))
+    known = state.select("id", "depth")
+    known = known.unionByName(behind.join(known.withColumnRenamed("id", "up"), "up").select("id", (F.col("depth") + F.col("far")).alias("depth")))
+    out = nodes.select("id").distinct().join(known, "id", "left")
     return out.select("id", F.coalesce("depth", F.lit(-1)).cast("long").alias("depth"), F.col("depth").isNotNull().alias("reachable"))
 
 
