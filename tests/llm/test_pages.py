@@ -1,5 +1,7 @@
 """A host with two templates: the winning path must not take a page's article away."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +95,43 @@ def test_the_host_decides_where_a_page_alone_would_not(spark):
     got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[3] == f"{STORY} {STORY} 3" and got[9] == STORY
     assert extract(rows[9][2], None)[0] != STORY and extract(rows[9][2], path_key(">html>body>div.story"))[0] == STORY
+
+
+LONG_TEXT = "Words of an article that goes on and on for quite a while. " * 3
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<p>First {t}</p><svg class=i /><p>Last {t}</p>",
+        "<p>First {t}</p><iframe src=x /><p>Last {t}</p>",
+        "<p>First {t}</p><math><p>Last {t}</p>",
+        "<p>First {t}</p><script>var x = 1;\n<p>Last {t}</p>",
+        "<div class='ad-free-content'><p>First {t}</p><p>Last {t}</p></div>",
+        "<div class='subscribe-content'><p>First {t}</p><p>Last {t}</p></div>",
+        "<article><h2 id='related-work'>First</h2><p>{t}</p><p class='side-effects'>Last {t}</p></article>",
+    ],
+)
+def test_text_behind_odd_markup_stays(html):
+    text, _ = extract(html.format(t=LONG_TEXT), None)
+    assert "First" in text and "Last" in text and "var x" not in text
+
+
+def test_certain_marks_go_where_the_text_is_elsewhere():
+    html = f"<article><p>{LONG_TEXT}</p></article><div class='comments-list'><p>I say {LONG_TEXT}</p></div><p class='ad'>Buy this</p><p class='ad-banner'>Buy that</p>"
+    text, _ = extract(html, None)
+    assert "Words" in text and "I say" not in text and "Buy" not in text
+
+
+def test_a_vote_takes_no_path_with_a_third_of_a_page():
+    """The host's path holds a third of this page's text: the page's own best container is taken."""
+    html = f"<div class='outer'><p>{LONG_TEXT * 2}</p><div class='story'><p>Inner {LONG_TEXT}</p></div></div>"
+    assert "Inner" in extract(html, ">div.outer>div.story")[0] and len(extract(html, ">div.outer>div.story")[0]) > 2 * len(LONG_TEXT)
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a title="', "<!--", "<svg>", "<", "<a '>\"", "<script>", "<a<", "<div class='a", "</", "&", "<p><b>"])
+def test_a_megabyte_of_hostile_markup_takes_seconds(piece):
+    began = time.time()
+    extract(piece * (1_000_000 // len(piece)), None)
+    extract(f"<p>{LONG_TEXT}</p>" + piece * (1_000_000 // len(piece)) + '">', None)
+    assert time.time() - began < 40

@@ -34,9 +34,9 @@ NEVER = set(
 )
 STATE_FIRST, STATE_LAST = set("has have with no without is js not show hide".split()), set("layout open closed enabled disabled active visible offset free less".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^>]*)>)", re.S
-)
+NAME = re.compile(r"(/?)([A-Za-z][^\s/><]*)")
+MARK = re.compile(r"[\"'>]")
+QUOTES = 1000
 ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 DIGITS = re.compile(r"\d+")
@@ -44,6 +44,70 @@ SPACE = re.compile(r"\s+")
 ROOT = 0
 
 
+class Scanner:
+    """Tags of a page in order: ``(start, end, name, whether it closes, attributes)``; comments and declarations have no name. What opens a tag and never ends is text.
+
+    Ends are looked for once: where none is left, or where the next one is, is remembered, so the time grows with the page's length whatever it is made of. A tag ends at the
+    first ``>`` outside quotes; where its quotes do not pair, or there are over ``QUOTES`` of them, at the first ``>``.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.found, self.resume = html, {}, 0  # resume: where to go on, set by who takes a tag
+
+    def next(self, what: str, at: int) -> int:
+        """Where ``what`` stands next from ``at`` on; places asked for never go back."""
+        k = self.found.get(what, -2)
+        if k == -1 or k >= at:
+            return k
+        k = self.found[what] = self.html.find(what, at)
+        return k
+
+    def last(self, what: str) -> int:
+        if "last " + what not in self.found:
+            self.found["last " + what] = self.html.rfind(what)
+        return self.found["last " + what]
+
+    def _end(self, at: int) -> int:
+        """The ``>`` of a tag whose name ends at ``at``, or -1."""
+        first = self.next(">", at)
+        if first < 0:
+            return -1
+        pos = at
+        for _ in range(QUOTES):
+            m = MARK.search(self.html, pos)
+            if m is None:
+                return first
+            if m[0] == ">":
+                return m.start()
+            if self.last(m[0]) == m.start():
+                return first
+            pos = self.html.find(m[0], m.end()) + 1
+        return first
+
+    def tags(self, at: int):
+        html = self.html
+        while (start := html.find("<", at)) >= 0:
+            at = start + 1
+            if html.startswith("<!--", start):
+                k = self.next("-->", start + 4)
+                yield start, (k + 3 if k >= 0 else len(html)), "", False, ""
+                at = self.resume
+                continue
+            if html.startswith(("<!", "<?"), start):
+                k = self.next(">", start + 2)
+                if k >= 0:
+                    yield start, k + 1, "", False, ""
+                    at = self.resume
+                continue
+            m = NAME.match(html, at)
+            if m is None:
+                continue
+            k = self._end(m.end())
+            if k >= 0:
+                yield start, k + 1, m[2].lower(), bool(m[1]), html[m.end() : k]
+                at = self.resume
+
+
 def attributes(rest: str) -> dict[str, str]:
     """Names in lower case, the first of equal names; a name without a value has an empty one."""
     out: dict[str, str] = {}
@@ -63,14 +127,25 @@ def beside(names: str) -> set[str]:
     return found
 
 
+def beside_text(classes: str) -> set[str]:
+    """The same for an element that is a piece of running text itself: a class counts only if all its parts are marks; an id names what the text is about."""
+    found = set()
+    for name in classes.lower().split():
+        parts = [p for p in re.split(r"[-_]+", name) if p]
+        if parts and all(p in BESIDE or p in NEVER for p in parts):
+            found.update(parts)
+    return found
+
+
 @lru_cache(4096)
-def judged(rest: str) -> tuple[bool, frozenset[str], str]:
+def judged(rest: str, running: bool) -> tuple[bool, frozenset[str], str]:
     """Of a tag's attributes: whether the element is hidden or has a role beside the article, its marks, and its first class as in a path."""
     names = attributes(rest)
     gone = names.get("hidden", "no") not in ("no", "false", "until-found") or names.get("aria-hidden", "").lower() == "true"
     gone = gone or names.get("role", "").lower() in ROLES or bool(UNSEEN.search(names.get("style", "")))
     first = names.get("class", "").split()[:1]
-    return gone, frozenset(beside(names.get("class", "") + " " + names.get("id", ""))), f".{DIGITS.sub('#', first[0].lower())}" if first else ""
+    marks = beside_text(names.get("class", "")) if running else beside(names.get("class", "") + " " + names.get("id", ""))
+    return gone, frozenset(marks), f".{DIGITS.sub('#', first[0].lower())}" if first else ""
 
 
 PLAIN = (False, frozenset(), "")
@@ -157,17 +232,19 @@ def path_key(path: str) -> int:
 
 
 def read(html: str) -> Page:
-    """The page without boilerplate. Ends that are missing are supplied, stray ones ignored.
+    """The page without boilerplate. Ends that are missing are supplied, stray ones ignored; a script or style without an end goes up to the next ``<``, any other element
+    whose content is no text is then an empty one, as are ``svg`` and ``math`` that close themselves.
 
-    Elements go by their name, role, being hidden, or class and id (see :func:`beside`). A form, or one that goes by class or id only, for a mark that is not
-    certain, stays if half of the page's text stands in it outside others that go.
+    Elements go by their name, role, being hidden, or class and id (see :func:`beside`). A form, or one that goes by class or id only, stays if half of the page's text
+    stands in it outside others that go; for a mark that is certain, if nine tenths do.
     """
     page = Page()
     stack: list[tuple] = []  # tag, path, innermost container or -1, whether dropped, innermost set-aside element or -1, whether in a link
     opened: dict[str, int] = {}
-    apart: list[tuple[int, bool]] = []  # set-aside elements: the one around it or -1, whether it may stay
+    apart: list[tuple[int, float]] = []  # set-aside elements: the one around it or -1, the share of the page's text with which it stays
     block: Block | None = None
     at, end = 0, len(html)
+    scanner, closes = Scanner(html), {}
     nothing = ("", 0, -1, False, -1, False)
 
     def text(piece: str) -> None:
@@ -191,18 +268,13 @@ def read(html: str) -> Page:
     def nearest(tags) -> int:
         return next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in tags), -1)
 
-    while at < end:
-        m = TAG.search(html, at)
-        if not m:
-            text(html[at:])
-            break
-        if m.start() > at:
-            text(html[at : m.start()])
-        at = m.end()
-        tag = m[2].lower() if m[2] else ""
+    for start, after, tag, closing, rest in scanner.tags(0):
+        if start > at:
+            text(html[at:start])
+        at = scanner.resume = after
         if not tag:
             continue
-        if m[1]:
+        if closing:
             if opened.get(tag):
                 pop(nearest((tag,)))
             if tag in BLOCK or tag in DROP:
@@ -221,17 +293,26 @@ def read(html: str) -> Page:
                 pop(k)
         if tag == "li" and opened.get("li") and stack[k := nearest(LISTS)][0] == "li":
             pop(k)
-        rest = m[3] or m[4]
-        gone, marks, first = judged(rest) if rest else PLAIN
+        gone, marks, first = judged(rest, tag in RUNNING) if rest else PLAIN
         _, path, box, dropped, aside, link = stack[-1] if stack else nothing
         whole = tag in ("html", "body")
         dropped = dropped or tag in DROP or (gone and not whole)
         if not dropped and not whole and (marks or tag == "form"):  # some pages are one form
-            apart.append((aside, not marks & NEVER))
+            apart.append((aside, 0.9 if marks & NEVER else 0.5))
             aside = len(apart) - 1
         if tag in RAW:
-            close = re.compile(f"</{tag}", re.I).search(html, at)
-            at = close.start() if close else end
+            if tag in ("svg", "math") and rest.endswith("/"):
+                continue
+            k = closes.get(tag, -2)
+            if k != -1 and k < at:
+                m = ENDS[tag].search(html, at)
+                k = closes[tag] = m.start() if m else -1
+            if k < 0:
+                if tag in ("script", "style"):
+                    k = html.find("<", at)
+                    at = scanner.resume = k if k >= 0 else end
+                continue
+            at = scanner.resume = k
         if tag in CONTAINER or tag in BLOCK:
             path = page.step(path, tag + first)
         if tag in CONTAINER and not dropped:
@@ -239,6 +320,8 @@ def read(html: str) -> Page:
             box = len(page.box_up) - 1
         stack.append((tag, path, box, dropped, aside, link or tag == "a"))
         opened[tag] = opened.get(tag, 0) + 1
+    if at < end:
+        text(html[at:])
 
     if apart:
         own, total = [0.0] * len(apart), 0.0
@@ -248,13 +331,15 @@ def read(html: str) -> Page:
             if b.aside >= 0:
                 own[b.aside] += g
         out = []
-        for k, (up, may_stay) in enumerate(apart):
-            out.append((up >= 0 and out[up]) or not (may_stay and total and own[k] >= 0.5 * total))
+        for k, (up, share) in enumerate(apart):
+            out.append((up >= 0 and out[up]) or not (total and own[k] >= share * total))
         page.blocks = [b for b in page.blocks if b.aside < 0 or not out[b.aside]]
     return page
 
 
 P_OR_CONTAINER, LISTS = CONTAINER | {"p"}, {"li", "ul", "ol"}
+RUNNING = set("p h1 h2 h3 h4 h5 h6 blockquote li dt dd td th span em strong b i a".split())
+ENDS = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 
 
 def tidy(block: Block) -> str:
@@ -288,12 +373,13 @@ def container_scores(html: str) -> dict[str, float]:
 def holds_enough(page: Page, path: int, best: int | None) -> bool:
     """Whether the containers with ``path`` hold a fair share of the good text of the page's best ones.
 
-    Fair: half of what the best ones hold beside them; where the best ones enclose them, a quarter, as narrowing is what the vote is for. Without a best container all text counts as its text.
+    Fair: half of what the best ones hold; where the best ones enclose them, well over a third, as narrowing is what the vote is for. Without a best container all text
+    counts as its text.
     """
     good = [b.good() for b in page.blocks]
     held = page.by_path(good)
     there = sum(good) if best is None else held[best]
-    return held[path] >= (0.25 if best is None or (best != path and page.encloses(best, path)) else 0.5) * there
+    return held[path] >= (0.37 if best is None or (best != path and page.encloses(best, path)) else 0.5) * there
 
 
 def extract(html: str, path: str | int | None) -> tuple[str, str | None]:

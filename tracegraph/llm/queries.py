@@ -77,10 +77,10 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(table(spark, sf_dir, "documents"), path, ["doc_id"])
+    ids = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, ["doc_id"]), path)
     return ids.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(bpe.decoded("ids", path), 256).alias("decoded_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
     )
 
 
