@@ -100,6 +100,19 @@ def test_licence_expressions():
     assert license.evaluate("MIT OR GPL-3.0")[2] and license.evaluate("MIT AND OR") is None and license.evaluate("(MIT") is None and license.evaluate("") is None
 
 
+def test_expressions_with_names_that_are_not_in_the_list():
+    """A known licence beside an unknown one keeps its label; unknown terms are not permissive; prose is no licence."""
+    ev = license.evaluate
+    for text, labels, free in (
+        ("MIT AND Unicode-TOU", {"mit"}, False), ("CDLA-Permissive-2.0 OR MIT", {"cdla-permissive-2.0", "mit"}, True), ("HPND-sell-variant OR MIT", {"hpnd-sell-variant", "mit"}, True),
+        ("EUPL-1.0", {"eupl-1.0"}, False), ("BSD-3-Clause-LBNL", {"bsd-3-clause-lbnl"}, False), ("MIT OR Apache-2.0 WITH Foo-exception", {"mit", "apache-2.0"}, True),
+        ("(Unknown-1.0 OR ISC) AND XYZ", {"isc"}, False), ("MIT and the rest of the sentence", None, None), ("Unknown-1.0", None, None), ("MIT, see the file", {"mit"}, True),
+        ("the MIT licence", None, None), ("Unknown-1.0 OR", None, None),
+    ):
+        got = ev(text)
+        assert (got and (set(got[1]), got[2])) == (labels and (labels, free)), text
+
+
 def test_index_splits_full_nodes(spark):
     import random
 

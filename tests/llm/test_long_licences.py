@@ -15,7 +15,7 @@ def test_long_expression():
 # (what stands behind the tag, labels, whether permissive terms can be had)
 CASES = [
     ("MIT", "mit", True), ("MIT */", "mit", True), ("MIT -->", "mit", True), ("(MIT)", "mit", True), ("MIT see the file", "mit", True),
-    ("see file for details", "", None), ("NotALicence-9.9", "", None), ("MIT OR NotALicence-9.9", "", None), ("MIT WITH nothing-known", "", None),
+    ("see file for details", "", None), ("NotALicence-9.9", "", None), ("MIT OR NotALicence-9.9", "mit", True), ("MIT WITH nothing-known", "mit", True),
     ("GPL-2.0-only, MIT", "gpl-2.0-only,mit", False), ("MIT, ISC unlike others", "isc,mit", True), ("MIT and others", "", None), ("MIT, see LICENSE", "mit", True), ("MIT/Apache-2.0", "apache-2.0,mit", True),
     ("GPL-3.0-or-later WITH GCC-exception-3.1", "gpl-3.0-or-later", False), ("mit and (isc or agpl-3.0)", "agpl-3.0,isc,mit", True), ("mit and isc and agpl-3.0", "agpl-3.0,isc,mit", False),
     ("MIT)", "", None), ("(MIT", "", None), ("AND MIT", "", None), ("", "", None), ("CC-BY-SA-4.0", "cc-by-sa-4.0", False), ("LicenseRef-My-Own", "licenseref-my-own", False),

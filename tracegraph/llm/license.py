@@ -33,7 +33,7 @@ SAID = {",": "and", "/": "or"}  # a list names licences that all hold; a slash o
 IDS = set(
     "0bsd afl-2.1 afl-3.0 apache-1.0 apache-1.1 apache-2.0 apsl-2.0 artistic-1.0 artistic-2.0 blueoak-1.0.0 bsd-1-clause bsd-2-clause"
     " bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-4-clause bsl-1.0 busl-1.1 bzip2-1.0.6 cc0-1.0 cddl-1.0 cddl-1.1 cecill-2.1"
-    " cecill-b cecill-c cpl-1.0 curl ecl-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 ftl hpnd icu ijg ipl-1.0 isc libpng libpng-2.0 lppl-1.3c mit"
+    " cecill-b cecill-c cpl-1.0 curl ecl-2.0 epl-1.0 epl-2.0 eupl-1.0 eupl-1.1 eupl-1.2 ftl hpnd icu ijg ipl-1.0 isc libpng libpng-2.0 lppl-1.3c mit"
     " mit-0 mit-cmu mpl-1.0 mpl-1.1 mpl-2.0 mpl-2.0-no-copyleft-exception ms-pl ms-rl mulanpsl-2.0 ncsa odbl-1.0 ofl-1.0 ofl-1.1 openssl osl-3.0"
     " php-3.0 php-3.01 postgresql psf-2.0 python-2.0 qpl-1.0 ruby sgi-b-2.0 sleepycat sspl-1.0 tcl unicode-3.0 unicode-dfs-2016 unlicense"
     " upl-1.0 vim w3c wtfpl x11 zlib zlib-acknowledgement zpl-2.0 zpl-2.1".split()
@@ -46,9 +46,13 @@ EXCEPTIONS = set(
 )
 FAMILIES = re.compile(
     r"(?:(?:gpl-[123]\.0|lgpl-(?:2\.0|2\.1|3\.0)|agpl-[13]\.0|gfdl-1\.[123])(?:-only|-or-later)?|cc-by(?:-nc)?(?:-sa|-nd)?-[1-4]\.0"
+    r"|cdla-(?:permissive|sharing)-[12]\.0|bsd-[1-4]-clause-[a-z0-9-]+|hpnd-[a-z0-9-]+|mit-[a-z]+|mpl-[12]\.[01]|(?:epl|osl|afl|artistic|ecl|ofl)-\d\.\d"
     r"|(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+)"
 )
 
+# What a licence that is not in the list looks like: parts between hyphens, a version, or a name in capitals. Prose has none of them.
+IDENTIFIER = re.compile(r"[A-Za-z0-9][A-Za-z0-9.]*(?:-[A-Za-z0-9.]+)+\+?|[A-Za-z]+-?\d[\d.]*\+?|[A-Z][A-Z0-9]{2,}\+?")
+
 _LOW = bytes(range(65, 91))
 TABLE = bytes(
     (b + 32 if b in _LOW else b) if (0x30 <= b <= 0x39 or b in _LOW or 0x61 <= b <= 0x7A or b >= 0x80) else 32 for b in range(256)
@@ -86,8 +90,9 @@ def evaluate(expression: str) -> tuple[str, frozenset[str], bool] | None:
 
     Shunting-yard: ``with`` binds tightest (licence with exception), then ``and``, then ``or``. ``or`` offers
     a choice, so one permissive side is enough; ``and`` needs both; an exception leaves its licence's terms. A comma joins like ``and``,
-    but loosest of all, a slash like ``or``. Names must be licence identifiers (:func:`known`), so prose gives no label; what follows a well-formed
-    expression is prose too. None where the expression is not well formed.
+    but loosest of all, a slash like ``or``. Names are licence identifiers (:func:`known`); another that looks like one (``IDENTIFIER``) is an operand too, of unknown terms, which are
+    not permissive, and gives no label, as prose gives none. What follows a well-formed expression is prose too. None where the expression is not well
+    formed or names no licence that is known.
     """
     out: list[tuple] = []  # nested text, licences, whether permissive
     ops: list[str] = []
@@ -137,11 +142,12 @@ def evaluate(expression: str) -> tuple[str, frozenset[str], bool] | None:
             if not operand:
                 break  # prose after the expression
             behind = ops[-1] if ops else ""
-            if not (low in EXCEPTIONS if behind == "with" else known(low)):
+            sure = low in EXCEPTIONS if behind == "with" else known(low)
+            if not sure and not IDENTIFIER.fullmatch(token):
                 if behind not in (",", "/"):
                     return None
                 break
-            out.append((low, {low}, low in PERMISSIVE))
+            out.append((low, {low} if sure else set(), sure and low in PERMISSIVE))
             operand = False
     if operand and ops and ops[-1] in (",", "/"):  # a comma or slash that no licence follows
         ops.pop()
@@ -149,7 +155,7 @@ def evaluate(expression: str) -> tuple[str, frozenset[str], bool] | None:
     while ops:
         if not apply():
             return None
-    return (written(out[0][0]), frozenset(out[0][1]), out[0][2]) if len(out) == 1 and not operand else None
+    return (written(out[0][0]), frozenset(out[0][1]), out[0][2]) if len(out) == 1 and not operand and out[0][1] else None
 
 
 def automaton() -> ahocorasick.Automaton:
