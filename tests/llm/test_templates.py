@@ -85,3 +85,47 @@ def test_short_and_slot_dense_items_stand_word_for_word(spark):
     docs = [(1, f"Quiz time. {bench[0][1]} Lima."), (2, f"Now {bench[1][1]} please"), (3, "What is the capital city of Chile?"), (4, "Compute 17 + 25 * 3 - 4 and 9 / 3 then 12 - 7 and 8 + 2")]
     got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 2)]
+
+
+def agree(windows):
+    to, back = {}, {}
+    return all(to.setdefault(x, y) == y and back.setdefault(y, x) == x for w in windows for x, y in w[3])
+
+
+def random_windows(rng, n, values, true=None, sure=0):
+    out = []
+    for i in range(n):
+        pairs = {}
+        for _ in range(rng.randrange(0 if true is None else 1, 4)):
+            x = rng.randrange(values)
+            y = true[x] if i < sure else rng.randrange(values)
+            if x not in pairs and y not in pairs.values():
+                pairs[x] = y
+        out.append((i, i, i, frozenset(pairs.items())))
+    return out
+
+
+def test_the_most_that_agree_is_exact_on_small_sets():
+    import itertools
+    import random
+
+    rng = random.Random(8)
+    for _ in range(400):
+        found = random_windows(rng, rng.randrange(1, 11), rng.choice([2, 3, 5]))
+        most = max(len(c) for r in range(len(found) + 1) for c in itertools.combinations(found, r) if agree(c))
+        for need in (1, 3, 6):
+            got = consistent(found, need)
+            assert agree(got) and len(got) == (most if most >= need else 0)
+
+
+def test_no_set_with_enough_agreeing_windows_is_lost():
+    """Six windows of one assignment among up to 200 of random ones: what is found agrees and is six at least."""
+    import random
+
+    rng = random.Random(2)
+    for _ in range(150):
+        values = rng.choice([4, 8, 12, 20])
+        found = random_windows(rng, rng.choice([20, 40, 80, 200]), values, dict(zip(range(values), rng.sample(range(values), values))), 6)
+        rng.shuffle(found)
+        got = consistent(found, 6)
+        assert len(got) >= 6 and agree(got)

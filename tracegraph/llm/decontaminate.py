@@ -187,38 +187,92 @@ def _find(size: int, least: int, wanted: bytes | None, lengths: list[int] = ()):
     return run
 
 
+TURNS = 2000
+
+
 def consistent(found: list[tuple], need: int) -> list[tuple]:
     """The most of the windows ``(bpos, dpos, word, slot pairs)`` whose slot values map one to one together; none if under ``need``.
 
-    Of two pairs that clash, the windows of either are left out in turn; beyond 300 turns those of the rarer one.
+    Windows agree if each two of them do, so this is a heaviest clique. Windows none of whose pairs clash with any are in it; the others are one node for each set of clashing pairs,
+    as heavy as they are many. The search begins with the best of greedy cliques, one from each node, and goes on by branch and bound (nodes that clash with each other can
+    give but one): without a limit until ``need`` is reached, so that no item is lost, and from there for ``TURNS`` turns, beyond which the number is a lower bound.
     """
-    best, turns = [], 0
-
-    def search(left):
-        nonlocal best, turns
-        if len(left) < need or len(left) <= len(best):
-            return
-        to, back, clash = {}, {}, None
-        for w in left:
-            for x, y in w[3]:
-                if to.setdefault(x, y) != y:
-                    clash = (x, y), (x, to[x])
-                elif back.setdefault(y, x) != x:
-                    clash = (x, y), (back[y], y)
-                if clash:
-                    break
-            if clash:
-                break
-        if not clash:
-            best = left
-            return
+    to: dict = {}
+    back: dict = {}
+    for w in found:
+        for x, y in w[3]:
+            to.setdefault(x, set()).add(y)
+            back.setdefault(y, set()).add(x)
+    free, groups = [], {}
+    for w in found:
+        clashing = frozenset((x, y) for x, y in w[3] if len(to[x]) > 1 or len(back[y]) > 1)
+        if clashing:
+            groups.setdefault(clashing, []).append(w)
+        else:
+            free.append(w)
+    if not groups:
+        return found if len(found) >= need else []
+    if len(found) < need:
+        return []
+    nodes = sorted(groups, key=lambda g: (-len(groups[g]), sorted(g)))
+    weight = [len(groups[g]) for g in nodes]
+    holds: dict = {}
+    for k, g in enumerate(nodes):
+        for pair in g:
+            holds[pair] = holds.get(pair, 0) | 1 << k
+    beside = []
+    for k, g in enumerate(nodes):
+        clash = 1 << k
+        for x, y in g:
+            for z in to[x]:
+                clash |= holds.get((x, z), 0) if z != y else 0
+            for z in back[y]:
+                clash |= holds.get((z, y), 0) if z != x else 0
+        beside.append(((1 << len(nodes)) - 1) & ~clash)
+
+    def bits(mask):
+        while mask:
+            low = mask & -mask
+            yield low.bit_length() - 1
+            mask ^= low
+
+    best, top = [], -1
+    for k in range(len(nodes)):  # greedy: the heaviest that still agrees
+        chosen, left = [k], beside[k]
+        while left:
+            k = (left & -left).bit_length() - 1
+            chosen.append(k)
+            left &= beside[k]
+        if (total := sum(weight[k] for k in chosen)) > top:
+            best, top = chosen, total
+    turns = 0
+
+    def search(chosen, total, left):
+        nonlocal best, top, turns
+        if total > top:
+            best, top = chosen, total
         turns += 1
-        ways = sorted(([w for w in left if p not in w[3]] for p in clash), key=len, reverse=True)
-        for way in ways if turns <= 300 else ways[:1]:
-            search(way)
-
-    search(found)
-    return best
+        # classes of nodes that all clash with each other: at most one of each can join
+        classes, rest, bound = [], left, 0
+        while rest:
+            own, room = [], rest
+            while room:
+                k = (room & -room).bit_length() - 1
+                own.append(k)
+                room &= ~beside[k] & ~(1 << k)
+                rest ^= 1 << k
+            bound += max(weight[k] for k in own)
+            classes.append((bound, own))
+        for bound, own in reversed(classes):
+            for k in own:
+                if total + bound <= top or (turns > TURNS and len(free) + top >= need):
+                    return
+                search([*chosen, k], total + weight[k], left & beside[k])
+                left &= ~(1 << k)
+
+    search([], 0, (1 << len(nodes)) - 1)
+    out = free + [w for k in sorted(best) for w in groups[nodes[k]]]
+    return sorted(out, key=lambda w: w[:3]) if len(out) >= need else []
 
 
 def in_order(found: list[tuple]) -> list[tuple]:
