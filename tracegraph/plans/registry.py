@@ -88,7 +88,7 @@ events_query("runtime_coverage", lambda e: E.runtime_coverage(e.selectExpr("node
  l AS (SELECT greatest(2, list_sort(list(n))[CAST(floor(count(*) * 0.75) AS INT) + 1]) AS v FROM h) SELECT id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'cold' WHEN n >= (SELECT v FROM l) THEN 'hot' ELSE 'touched' END AS state FROM u LEFT JOIN h USING (id)""")
 events_query("diff_vs_static", lambda e: E.diff_vs_static(e.selectExpr("node_id id").union(e.selectExpr("concat('x', k) id")).distinct(), e, 40), ", u AS (SELECT node_id AS id FROM te UNION SELECT 'x' || k FROM te), h AS (SELECT node_id, CAST(sum(weight) AS BIGINT) AS n FROM te WHERE idx < 40 GROUP BY 1) SELECT id AS node_id, CASE WHEN n > 0 THEN 'touched' ELSE 'cold' END AS status, coalesce(n, 0) AS count_a, CAST(0 AS BIGINT) AS count_b, CAST(0 AS BIGINT) AS delta FROM u LEFT JOIN h ON node_id = id")
 events_query("last_at_or_before", lambda e: E.as_of(e.select("session_id", "idx"), e.where("event = 'return'").select("session_id", "idx", F.col("event_id").alias("last_id")), ["session_id"], "idx", "last_id"), "SELECT session_id, idx, max(CASE WHEN event = 'return' THEN event_id END) OVER (PARTITION BY session_id ORDER BY idx) AS last_id FROM te")
-events_query("segment_runs", lambda e: E.segment_runs(e.where("k % 6 = 0").select("session_id", "idx", (F.col("event_id") % 37).alias("epoch"))), ", s AS (SELECT session_id, idx, event_id % 37 AS epoch FROM te WHERE k % 6 = 0) SELECT session_id, idx, epoch, CAST(sum(CASE WHEN epoch <= p THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY idx) AS BIGINT) AS run FROM (SELECT *, lag(epoch) OVER (PARTITION BY session_id ORDER BY idx) AS p FROM s)")
+events_query("segment_runs", lambda e: E.segment_runs(e.select("session_id", "idx", (F.col("event_id") % 37).alias("epoch"))), ", s AS (SELECT session_id, idx, event_id % 37 AS epoch FROM te) SELECT session_id, idx, epoch, CAST(sum(CASE WHEN epoch <= p THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY idx) AS BIGINT) AS run FROM (SELECT *, lag(epoch) OVER (PARTITION BY session_id ORDER BY idx) AS p FROM s)")
 events_query("coverage_deltas", lambda e: E.coverage_deltas(e.where("event = 'call'").groupBy(F.col("node_id").alias("script"), F.col("frame_depth").cast("long").alias("start"), F.expr("idx div 500").alias("poll")).agg(F.max("weight").alias("n"))), ", p AS (SELECT node_id AS script, CAST(frame_depth AS BIGINT) AS start, idx // 500 AS poll, max(weight) AS n FROM te WHERE event = 'call' GROUP BY 1, 2, 3) SELECT * FROM (SELECT *, n - CASE WHEN lag(poll) OVER w = poll - 1 THEN lag(n) OVER w ELSE 0 END AS delta FROM p WINDOW w AS (PARTITION BY script, start ORDER BY poll)) WHERE delta > 0")
 events_query("boundaries", FR_.boundaries, "SELECT session_id, idx, lag(idx) OVER w AS prev_idx, lead(idx) OVER w AS next_idx FROM te WHERE event IN ('call', 'return') WINDOW w AS (PARTITION BY session_id ORDER BY idx)")
 events_query("firings", lambda e: FR_.firings(e, 5), "SELECT * FROM (SELECT session_id, node_id, idx, row_number() OVER (PARTITION BY session_id, node_id ORDER BY idx) AS nth, count(*) OVER (PARTITION BY session_id, node_id) > 5 AS capped FROM te WHERE event = 'call') WHERE nth <= 5")

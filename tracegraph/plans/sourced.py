@@ -83,13 +83,13 @@ def _speedscope(spark, sf):
 query("from_speedscope", f"WITH {D.TE}, s AS (SELECT session_id, thread_id, k, idx * 2 AS t, 'call' AS event FROM te UNION ALL SELECT session_id, thread_id, k, idx * 2 + 1, 'return' FROM te) SELECT session_id, CAST(thread_id AS BIGINT) AS thread_id, CAST(row_number() OVER (PARTITION BY session_id, thread_id ORDER BY t) - 1 AS INT) AS pos, event, CASE WHEN k < 90 THEN 'n' || k ELSE '<unresolved>' END AS node_id, t AS ts_ns, CAST(0 AS INT) AS frame_depth FROM s")(_speedscope)
 
 STATS = "concat('(', event_id % 50, ', ', weight, ', ', if(event_id % 9 = 0, 'nan', cast(k as string)), ', ', k + 1, '.5, ', weight + 1, ')')"
-_LAYERS = ", p AS (SELECT session_id, idx, event_id % 50 AS epoch, weight, k FROM te WHERE event = 'return' AND k % 10 = 3 AND event_id % 9 > 0), l AS (SELECT session_id, idx, epoch, CAST(0 AS INT) AS layer, CAST(weight AS DOUBLE) AS w, CAST(k AS DOUBLE) AS dw FROM p UNION ALL SELECT session_id, idx, epoch, 1, k + 1.5, CAST(weight + 1 AS DOUBLE) FROM p)"
-layers = lambda e: SR.layer_stats(e.where("k % 10 = 3").withColumns({"ret": F.expr(STATS), "ret_truncated": F.lit(False), "node_id": F.lit("src/metrics.py:record_layer_stats")}), 2)
+_LAYERS = ", p AS (SELECT session_id, idx, event_id % 50 AS epoch, weight, k FROM te WHERE event = 'return' AND event_id % 9 > 0), l AS (SELECT session_id, idx, epoch, CAST(0 AS INT) AS layer, CAST(weight AS DOUBLE) AS w, CAST(k AS DOUBLE) AS dw FROM p UNION ALL SELECT session_id, idx, epoch, 1, k + 1.5, CAST(weight + 1 AS DOUBLE) FROM p)"
+layers = lambda e: SR.layer_stats(e.withColumns({"ret": F.expr(STATS), "ret_truncated": F.lit(False), "node_id": F.lit("src/metrics.py:record_layer_stats")}), 2)
 events_query("layer_stats", layers, _LAYERS + " SELECT * FROM l")
 events_query("series_maxima", lambda e: SR.series_maxima(layers(e)), _LAYERS + " SELECT session_id, layer, max(w) AS max_w, max(dw) AS max_dw FROM l GROUP BY 1, 2")
 events_query(
-    "phase_at", lambda e: SR.phase_at(e.where("event = 'return' and k % 10 = 0").selectExpr("session_id", "idx", "concat('p', k) phase"), e.select("session_id", "idx")),
-    "SELECT session_id, idx, coalesce(last_value(CASE WHEN event = 'return' AND k % 10 = 0 THEN 'p' || k END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY idx), 'idle') AS phase FROM te",
+    "phase_at", lambda e: SR.phase_at(e.where("event = 'return'").selectExpr("session_id", "idx", "concat('p', k) phase"), e.select("session_id", "idx")),
+    "SELECT session_id, idx, coalesce(last_value(CASE WHEN event = 'return' THEN 'p' || k END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY idx), 'idle') AS phase FROM te",
 )
 
 query("extract_hints", """WITH c AS (SELECT c_custkey AS c, c_nationkey AS n FROM customer) SELECT 'http_client' AS kind, 'c' || c AS node_id, '/c/' || c AS path, CAST(NULL AS VARCHAR) AS command, 1 AS line FROM c
