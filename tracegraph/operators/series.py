@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import matches_method, matches_node
+from ..storage import cut
+from . import scan as S
 from .events import as_of
+from .frames import build_frames
 
 # A number as a captured tuple shows it.
 FLOAT = r"(?:-?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?|-?inf|nan)"
@@ -59,37 +62,32 @@ def _role(nodes: dict) -> Column:
     return role
 
 
-def phase_segments(events: DataFrame, token_count: int, nodes: dict = PHASE_NODES, depth: int | None = None) -> DataFrame:
+def phase_segments(events: DataFrame, token_count: int, nodes: dict = PHASE_NODES, chunk: int = 1 << 16) -> DataFrame:
     """``session_id, idx, phase, token``: where phases of training begin.
 
-    The latest call of a marker (evaluate, forward, backward) is open until an event of its thread has its depth or less. A layer's call counts
-    only inside its open marker and takes its ordinal there as token (from the right for backward). Only matching calls
-    enter the window over a session; where a marker closes is one window per thread and depth.
+    The latest call of a marker (evaluate, forward, backward) is open until an event of its thread, of any kind, has its depth or less. A layer's call counts
+    only inside its open marker and takes its ordinal there as token (from the right for backward). Where markers close is read off the frames of a trace in which only they
+    are calls; what is open, and the ordinals, are scans in buckets, so neither a deep marker nor a long session is one task.
     """
     markers = ["evaluate", "forward", "backward"]
     e = events.select("session_id", "thread_id", "idx", "frame_depth", _role(nodes).alias("role"))
-    if depth is None:
-        depth = e.where(F.col("role").isin(markers)).agg(F.max("frame_depth")).first()[0] or 0
-    # among the events of a thread that are no deeper than a marker, the one after it closes it
-    no_deeper = e.where(F.col("frame_depth") <= depth).withColumn("level", F.explode(F.sequence("frame_depth", F.lit(depth))))
-    following = F.lead("idx").over(Window.partitionBy("session_id", "thread_id", "level").orderBy("idx"))
-    close = no_deeper.withColumn("close", following).where(F.col("role").isin(markers) & (F.col("level") == F.col("frame_depth"))).select("session_id", "idx", "close")
+    mark = F.coalesce(F.col("role").isin(markers), F.lit(False))
+    only = e.select("session_id", "thread_id", "idx", F.when(mark, "call").otherwise("return").alias("event"), F.col("role").alias("node_id"), "frame_depth", F.lit(0).cast("long").alias("ts_ns"))
+    close = build_frames(only, chunk=chunk).select("session_id", F.col("call_idx").alias("idx"), F.col("close_idx").alias("close"))
     rows = e.where("role is not null").join(close, ["session_id", "idx"], "left")
-    before = Window.partitionBy("session_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    slots = {f"_{m}": S.last_value(F.when(F.col("role") == m, F.struct(F.col("idx").alias("open"), "close"))) for m in markers}
+    rows = S.scan(rows, ["session_id"], "idx", slots, chunk)
     for m in markers:
-        last = F.last(F.when(F.col("role") == m, F.struct(F.col("idx").alias("open"), "close")), ignorenulls=True).over(before)
-        rows = rows.withColumn("_slot", last)
-        still = F.col("_slot.close").isNull() | (F.col("_slot.close") > F.col("idx"))
-        rows = rows.withColumn("in_" + m, F.when(still, F.col("_slot.open"))).drop("_slot")
+        still = F.col(f"_{m}.close").isNull() | (F.col(f"_{m}.close") > F.col("idx"))
+        rows = rows.withColumn("in_" + m, F.when(still, F.col(f"_{m}.open"))).drop(f"_{m}")
     inside = F.when(F.col("role") == "layer_forward", F.col("in_forward")).when(F.col("role") == "layer_backward", F.col("in_backward"))
     rows = rows.withColumn("inside", inside).where("role not like 'layer%' or inside is not null").where(~F.col("role").isin(markers))
-    nth = F.row_number().over(Window.partitionBy("session_id", "role", "inside").orderBy("idx"))
+    rows = cut(rows)  # a scan reads it twice
+    rows = S.scan(rows, ["session_id", "role", "inside"], "idx", {"nth": S.running_sum(F.lit(1))}, chunk)
     phase = (
         F.when(F.col("role") == "layer_forward", F.when(F.col("in_evaluate").isNull(), "forward-train").otherwise("forward-eval"))
         .when(F.col("role") == "layer_backward", "backward").when(F.col("role") == "loss_grad", "loss-grad").otherwise(F.col("role"))
     )
-    ordinal = rows.where("inside is not null").select("session_id", "idx", nth.alias("nth"))
-    rows = rows.join(ordinal, ["session_id", "idx"], "left")
     token = F.when(F.col("role") == "layer_forward", F.col("nth") - 1).when(F.col("role") == "layer_backward", token_count - F.col("nth")).otherwise(-1)
     return rows.select("session_id", "idx", phase.alias("phase"), token.cast("int").alias("token"))
 

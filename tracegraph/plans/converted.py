@@ -38,7 +38,7 @@ _PHASES = {
     "layer_forward": "mod6.py:fn66", "layer_backward": "mod7.py:fn77", "loss": "mod8.py:fn8", "loss_grad": "mod9.py:fn9", "update": "mod0.py:fn10",
 }
 events_query(
-    "phase_segments", lambda e: SR.phase_segments(e, 9, _PHASES, D.MAX_DEPTH),
+    "phase_segments", lambda e: SR.phase_segments(e, 9, _PHASES),
     """, mk AS (SELECT session_id, k, idx, (SELECT min(x.idx) FROM te x WHERE x.session_id = m.session_id AND x.thread_id = m.thread_id AND x.idx > m.idx AND x.frame_depth <= m.frame_depth) AS shut FROM te m WHERE event = 'call' AND k IN (2, 3, 4)),
  ev AS (SELECT session_id, idx, shut FROM mk WHERE k = 2), fw AS (SELECT session_id, idx, shut FROM mk WHERE k = 3), bw AS (SELECT session_id, idx, shut FROM mk WHERE k = 4),
  r AS (SELECT t.session_id, t.idx, t.event, t.k, CASE WHEN ev.shut IS NULL OR ev.shut > t.idx THEN ev.idx END AS e, CASE WHEN fw.shut IS NULL OR fw.shut > t.idx THEN fw.idx END AS f, CASE WHEN bw.shut IS NULL OR bw.shut > t.idx THEN bw.idx END AS b

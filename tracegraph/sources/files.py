@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 
@@ -59,11 +60,16 @@ def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def register_trace(spark: SparkSession, path: str, language: str | None = None) -> DataFrame:
-    """A session row for a trace file: its id follows from the path, its count is that of non-blank lines."""
+    """A session row for a trace file: its id follows from its absolute path, so a file is one session however it is named; its count is that of non-blank lines, its times
+    are the file's own. A path with a scheme is taken as it is."""
+    whole = re.sub(r"^file:/*", "/", path) if path.startswith("file:") else path
+    if "://" not in whole:
+        whole = os.path.realpath(whole)
+    times = spark.read.format("binaryFile").load(path).agg((F.unix_micros(F.max("modificationTime")) * 1000).alias("at"))
     n = read_lines(spark, path).agg(F.count("*").alias("event_count"))
-    return n.select(
-        F.lit(str(uuid.uuid5(uuid.NAMESPACE_URL, path))).alias("id"), F.lit(path.rsplit("/", 1)[-1]).alias("label"), F.lit(None).cast("long").alias("started_ns"),
-        F.lit(None).cast("long").alias("ended_ns"), F.lit(path).alias("source_path"), "event_count", F.lit(language).cast("string").alias("language"),
+    return n.join(F.broadcast(times)).select(  # one row each
+        F.lit(str(uuid.uuid5(uuid.NAMESPACE_URL, whole))).alias("id"), F.lit(whole.rsplit("/", 1)[-1]).alias("label"), F.col("at").alias("started_ns"),
+        F.col("at").alias("ended_ns"), F.lit(whole).alias("source_path"), "event_count", F.lit(language).cast("string").alias("language"),
     )
 
 
