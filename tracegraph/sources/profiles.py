@@ -165,8 +165,20 @@ def from_chrome_trace(docs: DataFrame) -> DataFrame:
     Intervals are taken by start, the longer first, then in the order they were complete. One that ends inside a later one, which it does not hold whole, stays open under it: its
     return comes behind the other's and has its own end as time. Each thread is scanned once, in that order, with the open intervals held and no others.
     """
-    schema = "traceEvents array<struct<name string, ph string, ts string, dur string, pid string, tid string>>"
-    raw = docs.select(F.col("doc").alias("session_id"), F.posexplode(F.from_json("value", schema)["traceEvents"]).alias("ord", "e")).select("session_id", "ord", "e.*")
+    raw = docs.select("doc", F.posexplode(F.from_json("value", f"traceEvents array<{CHROME}>")["traceEvents"]).alias("ord", "e"))
+    return _chrome(raw)
+
+
+def from_chrome_events(elements: DataFrame) -> DataFrame:
+    """The same of ``elements(doc, ord, value)``, a row each (see ``documents.elements``), so that a document may be of any size."""
+    return _chrome(elements.select("doc", "ord", F.from_json("value", CHROME).alias("e")).where("e is not null"))
+
+
+CHROME = "struct<name string, ph string, ts string, dur string, pid string, tid string>"
+
+
+def _chrome(raw: DataFrame) -> DataFrame:
+    raw = raw.select(F.col("doc").alias("session_id"), F.col("ord").cast("long").alias("ord"), "e.*")
     raw = raw.withColumns({"pid": _number("pid").cast("long"), "tid": _number("tid").cast("long"), "ts": _number("ts"), "name": F.coalesce("name", F.lit(UNRESOLVED))})
     several = raw.groupBy("session_id").agg((F.min("pid") < F.max("pid")).alias("several"))
     raw = raw.where("ph in ('X', 'B', 'E')").join(several, "session_id").withColumn("thread_id", F.when(F.col("several"), F.col("pid") * 1000000 + F.col("tid")).otherwise(F.col("tid")))
