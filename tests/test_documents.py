@@ -65,3 +65,18 @@ def test_interval_traces_by_parts_are_those_of_whole_documents(spark):
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(parts) == key(whole) and len(key(whole)) > 100
     assert os.path.getsize(f"{folder}/t0.json") > 8 * 500
+
+
+def test_graph_documents_by_parts(spark):
+    from tracegraph.sources import traces as R
+
+    rng = random.Random(8)
+    folder = tempfile.mkdtemp()
+    for k in range(2):
+        nodes = [{"id": f"n{i}", "kind": "function", "name": f"f, {i}", "path": "a.py", "line": i, "metadata": {"receiver": "T"}} for i in range(30)]
+        edges = [{"source": f"n{rng.randrange(30)}", "target": 'x "y"', "kind": "call", "metadata": {"line": i, "resolved": False, "names": ["a", "b"]}} for i in range(40)]
+        with open(f"{folder}/g{k}.json", "w") as f:
+            json.dump({"version": "1", "nodes": nodes, "edges": edges}, f)
+    key = lambda df: sorted((r.asDict() | {"graph_id": r["graph_id"].rsplit("/", 1)[1]}).items().__repr__() for r in df.collect())
+    for whole, parts in zip(R.read_graph(spark, folder), R.read_graph(spark, folder, 300)):
+        assert key(parts) == key(whole) and len(key(whole)) >= 60

@@ -58,15 +58,26 @@ def write_trace(events: DataFrame, path: str) -> None:
     events.repartitionByRange("session_id", "idx").sortWithinPartitions("session_id", "idx").select(line.alias("value")).write.text(path)
 
 
-def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of graph documents, ordinals kept, with the metadata that ``resolve_symbols`` reads."""
-    node = "struct<id:string,kind:string,name:string,path:string,line:int,metadata:struct<receiver:string>>"
-    edge = "struct<source:string,target:string,kind:string,metadata:struct<line:int,resolved:boolean,names:array<string>,alias:string,`default`:string,aliases:map<string,string>>>"
-    g = spark.read.schema(f"nodes array<{node}>, edges array<{edge}>").option("multiLine", True).json(path).withColumn("graph_id", F.col("_metadata.file_path"))
-    nodes = g.select("graph_id", F.posexplode("nodes").alias("node_ord", "n")).select("graph_id", "node_ord", "n.id", "n.kind", "n.name", "n.path", "n.line", "n.metadata.receiver")
+NODE = "struct<id:string,kind:string,name:string,path:string,line:int,metadata:struct<receiver:string>>"
+EDGE = "struct<source:string,target:string,kind:string,metadata:struct<line:int,resolved:boolean,names:array<string>,alias:string,`default`:string,aliases:map<string,string>>>"
+
+
+def read_graph(spark: SparkSession, path: str, part: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of graph documents, ordinals kept, with the metadata that ``resolve_symbols`` reads.
+
+    A document is one row while it is parsed; with ``part``, so many bytes, it is read in parts instead (see ``documents.elements``), an element a row from the start.
+    """
+    if part is None:
+        g = spark.read.schema(f"nodes array<{NODE}>, edges array<{EDGE}>").option("multiLine", True).json(path).withColumn("graph_id", F.col("_metadata.file_path"))
+        nodes, edges = (g.select("graph_id", F.posexplode(c).alias("ord", "e")) for c in ("nodes", "edges"))
+    else:
+        from .documents import elements
+
+        of = lambda name, kind: elements(spark, path, name, part).select(F.col("doc").alias("graph_id"), "ord", F.from_json("value", kind).alias("e"))
+        nodes, edges = of("nodes", NODE), of("edges", EDGE)
+    nodes = nodes.select("graph_id", F.col("ord").alias("node_ord"), "e.id", "e.kind", "e.name", "e.path", "e.line", "e.metadata.receiver")
     meta = ["e.metadata.line", "e.metadata.resolved", "e.metadata.names", "e.metadata.alias", F.col("e.metadata.default").alias("default_name"), "e.metadata.aliases"]
-    edges = g.select("graph_id", F.posexplode("edges").alias("edge_ord", "e")).select("graph_id", "edge_ord", "e.source", "e.target", "e.kind", *meta)
-    return nodes, edges
+    return nodes, edges.select("graph_id", F.col("ord").alias("edge_ord"), "e.source", "e.target", "e.kind", *meta)
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, version: str = "1") -> None:
