@@ -90,8 +90,8 @@ def _filter(hashes: DataFrame) -> bytes:
 def repeated_chunks(docs: DataFrame, spread: int = 4, least: int = 2) -> DataFrame:
     """``doc_id, th, a, z``: line ranges of the passages of :func:`chunks` with ``least`` lines with words or more that already stand elsewhere.
 
-    The first place of a passage, by doc_id (null last), text hash and line, is kept. Hashes found once are left out before any
-    text moves, by a bitmap that decides nothing. The rest is grouped by bytes, so equal hashes alone remove nothing; the group
+    A passage takes nothing at its first place, by doc_id (null last), text hash and line; where passages overlap, each line survives at its own first place.
+    Hashes found once are left out before any text moves, by a bitmap that decides nothing. The rest is grouped by bytes, so equal hashes alone remove nothing; the group
     of a passage found millions of times is combined where it is read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))

@@ -4,7 +4,8 @@ The task names a suffix array by difference cover. A suffix array has a row for
 there are about two bytes of disk for each. So this module keeps the plan of that algorithm (sample positions
 so that equal strings share a sampled offset, name the samples, recurse on the undecided, settle the rest from the
 names, compare with the earliest neighbour) and changes two things: samples are content-defined, one in 31 bytes, and
-names are 128-bit hashes, which need no global sort. The README says so too.
+names are pairs of 64-bit hashes (of the bytes that all strings of an interval share, and of all its bytes), which need no global sort and
+stand for the bytes: those are not compared. The README says so too.
 """
 
 from __future__ import annotations
