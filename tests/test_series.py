@@ -6,6 +6,7 @@ import re
 
 from tracegraph.functions import hints as H
 from tracegraph.operators import series as SR
+from tracegraph.operators.frames import build_frames
 
 
 def test_metric_series(spark):
@@ -75,3 +76,12 @@ def test_hints(spark):
         src = spark.createDataFrame([("f", text), ("none", None), ("empty", "")], "path string, text string")
         got = [(r.kind, r.path or r.command, r.line) for r in H.extract_hints(src, language).orderBy("ord", "pos").collect()]
         assert got == want and len(got) >= 4, language
+
+
+def test_phases_send_no_growing_table_through_the_driver(spark):
+    rows = [("s", i, "call", "train.py:evaluate", i % 50, i % 3) for i in range(400)]
+    e = spark.createDataFrame(rows, "session_id string, idx long, event string, node_id string, thread_id long, frame_depth int")
+    plan = SR.phase_segments(e, 9)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    plan = build_frames(e.withColumn("ts_ns", e.idx), ids=True)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

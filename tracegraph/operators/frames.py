@@ -149,7 +149,7 @@ def _incoming(rows: DataFrame, links: DataFrame) -> DataFrame:
     same = F.lit(True)
     for c in (*THREAD, "chunk", "need"):
         same = same & F.col(c).eqNullSafe(F.col(f"l_{c}"))
-    return rows.join(came, same, "left").drop("l_session_id", "l_thread_id", "l_chunk", "l_need")
+    return rows.join(came.hint("merge"), same, "left").drop("l_session_id", "l_thread_id", "l_chunk", "l_need")
 
 
 def stacks(events: DataFrame, kinds: tuple[str, ...] = ("call", "return", "exception"), chunk: int = 1 << 16) -> DataFrame:
@@ -176,15 +176,17 @@ def build_frames(events: DataFrame, paths: bool = False, chunk: int = 1 << 16, i
 
     A call closes at the first later call or return of its depth or less on its thread; synthetic unless that is
     a return of its depth. Calls that never close end at the thread's last time. Events without a depth close and open nothing.
+
+    All that is joined grows with the trace, and a cut table's file is a small part of what it holds, so Spark would send it through the driver: hints keep these joins shuffled.
     """
     scan, links = scanned(events, chunk)
     closes = links.where("need is null").select(*(F.col(c).alias(f"c_{c}") for c in THREAD), F.col("call_idx").alias("idx"), F.col("close_idx").alias("close"), F.col("end_ns").alias("end"), F.col("normal").alias("good"))
     same = F.col("session_id").eqNullSafe(F.col("c_session_id")) & F.col("thread_id").eqNullSafe(F.col("c_thread_id"))
-    carried = scan.where("kind = 'open'").drop("close_idx", "end_ns", "normal").join(closes.withColumnRenamed("idx", "c_idx"), same & (F.col("idx") == F.col("c_idx")), "left")
+    carried = scan.where("kind = 'open'").drop("close_idx", "end_ns", "normal").join(closes.withColumnRenamed("idx", "c_idx").hint("merge"), same & (F.col("idx") == F.col("c_idx")), "left")
     carried = carried.withColumnsRenamed({"close": "close_idx", "end": "end_ns", "good": "normal"}).select(NAMES)
     f = _incoming(scan.where("kind = 'frame'").unionByName(carried), links)
     ends = scan.where("kind = 'last'").groupBy(*(F.col(c).alias(f"e_{c}") for c in THREAD)).agg(F.max("end_ns").alias("last_ns"))
-    f = f.join(ends, F.col("session_id").eqNullSafe(F.col("e_session_id")) & F.col("thread_id").eqNullSafe(F.col("e_thread_id")))
+    f = f.join(ends.hint("merge"), F.col("session_id").eqNullSafe(F.col("e_session_id")) & F.col("thread_id").eqNullSafe(F.col("e_thread_id")))
     ids = ids or paths
     up, own = _path_ids()
     level = (F.col("came_level") + F.col("above") + 1).cast("long")
@@ -195,7 +197,7 @@ def build_frames(events: DataFrame, paths: bool = False, chunk: int = 1 << 16, i
     ).withColumn("total_ns", F.col("end_ns") - F.col("start_ns"))
     children = f.where("parent_idx is not null").groupBy(*(F.col(c).alias(f"p_{c}") for c in THREAD), F.col("parent_idx").alias("p_idx")).agg(F.sum("total_ns").alias("inner_ns"))
     inside = F.col("session_id").eqNullSafe(F.col("p_session_id")) & F.col("thread_id").eqNullSafe(F.col("p_thread_id")) & (F.col("call_idx") == F.col("p_idx"))
-    out = f.join(children, inside, "left").withColumn("self_ns", F.greatest(F.lit(0).cast("long"), F.col("total_ns") - F.coalesce("inner_ns", F.lit(0))))
+    out = f.join(children.hint("merge"), inside, "left").withColumn("self_ns", F.greatest(F.lit(0).cast("long"), F.col("total_ns") - F.coalesce("inner_ns", F.lit(0))))
     out = out.drop("inner_ns", "p_session_id", "p_thread_id", "p_idx")
     return named(out, trie(out)) if paths else out
 

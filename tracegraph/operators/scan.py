@@ -70,7 +70,8 @@ def scan(rows: DataFrame, by: list[str], order: str, values: dict[str, Running],
     sums = dealt.groupBy("_key", "_bucket").agg(*(v.summary(F.coalesce(F.col(order), F.lit(0))).alias(f"_sum_{c}") for c, v in values.items()))
     across = Window.partitionBy("_key").orderBy("_bucket")
     carry = sums.select("_key", "_bucket", *(v.carried(F.col(f"_sum_{c}"), across).alias(f"_c_{c}") for c, v in values.items()))
-    out = local.join(carry, ["_key", "_bucket"], "left")
+    # a summary a key or bucket may be as many rows as there are: never through the driver
+    out = local.join(carry.hint("merge"), ["_key", "_bucket"], "left")
     return out.select(*rows.columns, *(v.joined(F.col(f"_c_{c}"), F.col(f"_in_{c}")).alias(c) for c, v in values.items()))
 
 

@@ -74,7 +74,7 @@ def phase_segments(events: DataFrame, token_count: int, nodes: dict = PHASE_NODE
     mark = F.coalesce(F.col("role").isin(markers), F.lit(False))
     only = e.select("session_id", "thread_id", "idx", F.when(mark, "call").otherwise("return").alias("event"), F.col("role").alias("node_id"), "frame_depth", F.lit(0).cast("long").alias("ts_ns"))
     close = build_frames(only, chunk=chunk).select("session_id", F.col("call_idx").alias("idx"), F.col("close_idx").alias("close"))
-    rows = e.where("role is not null").join(close, ["session_id", "idx"], "left")
+    rows = e.where("role is not null").join(close.hint("merge"), ["session_id", "idx"], "left")
     slots = {f"_{m}": S.last_value(F.when(F.col("role") == m, F.struct(F.col("idx").alias("open"), "close"))) for m in markers}
     rows = S.scan(rows, ["session_id"], "idx", slots, chunk)
     for m in markers:
