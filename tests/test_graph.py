@@ -54,6 +54,18 @@ def test_implementations_with_a_method_that_all_have(spark):
     assert {tuple(r) for r in G.implements_edges(df).collect()} == want
 
 
+def test_implementations_of_types_alike_are_joined_once_a_class(spark, monkeypatch):
+    """Structs and interfaces with the same methods are joined as one; nulls are methods that no struct has."""
+    rows = [(f"s{i}", "struct", m) for i in range(200) for m in ("a", "b", "ab"[i % 2] + "x", None)] + [(f"i{i}", "interface", m) for i in range(100) for m in (("a", "b") if i % 4 else ("bx",))]
+    rows += [("no", "interface", "a"), ("no", "interface", None), (None, "interface", "a"), (None, "struct", "a")]
+    df = spark.createDataFrame(rows, "id string, kind string, method string")
+    sizes = []
+    monkeypatch.setattr(G, "cut", lambda d, old=G.cut: (out := old(d), sizes.append((out.columns, out.count())))[0])
+    got = [tuple(r) for r in G.implements_edges(df).collect()]
+    assert sorted(got) == sorted((f"s{s}", f"i{i}") for s in range(200) for i in range(100) if i % 4 or s % 2)
+    assert (["struct", "interface"], 3) in sizes  # pairs of classes
+
+
 def test_merged_graph_links_its_languages(spark):
     node, edge = "id string, kind string", "source string, target string, kind string, line int"
     py = spark.createDataFrame([("a.py", "file"), ("a.py:f", "function")], node), spark.createDataFrame([("a.py", "a.py:f", "call", 3)], edge)
