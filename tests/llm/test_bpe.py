@@ -100,3 +100,12 @@ def test_query(spark):
         ids, r = LIBRARY.encode_ordinary(d.text or ""), got[d.doc_id]
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256((d.text or "").encode()).hexdigest()
+
+
+def test_table_counts_every_document(spark):
+    """More documents than were once sampled: the counts are whole, so the most frequent word is known however its texts are spread."""
+    rows = spark.range(40_000).selectExpr("if(id % 2 = 0, 'supercali', concat('w', id)) text")
+    words, ends, _ = bpe._frequent(rows, "text", RANKS, 1 << 18)
+    every = {w for (t,) in rows.collect() for w in PATTERN.findall(t)}
+    assert set(words.to_pylist()) == every and words[0].as_py() in ("supercali", "w")
+    assert len(ends) == len(every)

@@ -3,9 +3,9 @@
 A rank file gives each byte string that is a token its rank, which is its id. A word is a whole token, or else its bytes are merged: of all neighbours whose
 concatenation is a token those of the lowest rank (the first of equals) become one, until none is left.
 
-The fold takes the distinct words of a sample of documents, most of what any text consists of, once each; all tasks hold their ids (a table of at most ``FREQUENT`` words,
-all of at most ``LONG`` bytes). A word that the table lacks is merged by the task that meets it. The sample decides only where a word is merged, not what comes of it. One
-pass over the documents, nothing shuffled but the sample's words.
+The words of all documents are counted, and the fold takes the most frequent ones, most of what any text consists of, once each; all tasks hold their ids (a table of at most
+``FREQUENT`` words, all of at most ``LONG`` bytes). A word that the table lacks is merged by the task that meets it, by the same rule. One pass over the documents counts
+words and one encodes texts; nothing is shuffled but counted words.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from ._common import fresh
 #: Longer words are merged with a heap, as a plain merge's work grows with the square of a word's length. They are in no table that tasks hold.
 LONG = 64
 FREQUENT = 1 << 18
-SAMPLE = 1 << 15
 #: So many words that the table lacks are remembered by a task.
 REMEMBERED = 1 << 16
 BUCKETS = 1 << 13
@@ -255,11 +254,12 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 # -- documents ------------------------------------------------------------------------------------------------------------------------------------
 
 
-def _frequent(docs: DataFrame, text: str, ranks: dict[bytes, int], most: int, sample: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The words that stand most often in about ``sample`` documents, ``most`` at the most, the most frequent first: the words, where each one's ids end, all ids."""
-    n = docs.count()
-    some = docs if n <= sample else docs.sample(sample / n, seed=7)
-    words = distinct_words(some, text).where(F.octet_length("word") <= LONG)
+def _frequent(docs: DataFrame, text: str, ranks: dict[bytes, int], most: int, sample: int | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words that stand most often in all documents (of about ``sample`` where it is given), ``most`` at the most, the most frequent first: the words, where each one's ids
+    end, all ids."""
+    if sample is not None and (n := docs.count()) > sample:
+        docs = docs.sample(sample / n, seed=7)
+    words = distinct_words(docs, text).where(F.octet_length("word") <= LONG)
     level = F.floor(F.log2(F.col("n").cast("double")) * 16)
     low, total = None, 0
     words = cut(words)
@@ -310,11 +310,11 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(np.append(0, last), pa.int32()), pa.array(ids, pa.int32()))
 
 
-def encode(docs: DataFrame, rank_path: str, keep: list[str], text: str = "text", frequent: int = FREQUENT, sample: int = SAMPLE) -> DataFrame:
+def encode(docs: DataFrame, rank_path: str, keep: list[str], text: str = "text", frequent: int = FREQUENT, sample: int | None = None) -> DataFrame:
     """``keep`` columns of every row of ``docs`` and ``ids array<int>``: the tokens of its whole text, special tokens being ordinary text.
 
     Null and empty texts have none. Rows stay as often as they are there; names of columns may be anything. ``rank_path`` is read by the driver, and all tasks hold
-    the ids of at most ``frequent`` words, chosen from about ``sample`` documents. A text of any length is encoded in one task, in time that grows with its length.
+    the ids of at most ``frequent`` words, the most frequent of all documents (of about ``sample`` of them where it is given). A text of any length is encoded in one task, in time that grows with its length.
     """
     ranks = read_ranks(rank_path)
     table = docs.sparkSession.sparkContext.broadcast((*_frequent(docs, text, ranks, frequent, sample), ranks))
