@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tracegraph.llm import near_copies as N
 from tracegraph.llm.near_copies import near_copies, one_of_each
 
 
@@ -71,3 +72,13 @@ def test_one_stays(spark, texts):
     kept = [r.doc_id for r in one_of_each(df).collect()]
     assert sorted(x for x in kept if x is not None) == sorted(i for i, _ in texts if i is not None and want[i] == i)
     assert kept.count(None) == 1
+
+
+def test_gray_index_gives_pairs(spark):
+    """Fingerprints of near copies are linked by the Gray-ordered index, others are not."""
+    base = [f"w{k}" for k in range(3000)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-1])), (3, " ".join(f"v{k}" for k in range(3000)))]
+    a, b = (N.sketch(t.encode(), 5)[3][0] for _, t in rows[:2])
+    assert 0 < N.GRAY_BITS and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= N.GRAY_BITS
+    nodes = spark.createDataFrame([(i, (x[1], x[3])) for i, t in rows for x in [N.sketch(t.encode(), 5)]], "node long, s struct<n:int,wide:array<long>>")
+    assert [tuple(sorted(r)) for r in N.gray_pairs(nodes).collect()] == [(1, 2)]

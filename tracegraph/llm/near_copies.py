@@ -1,7 +1,7 @@
-"""Near copies at a shingle similarity: bands file texts together, wide SimHash patterns prune, an exact check decides.
+"""Near copies at a shingle similarity: the Gray-ordered index of SimHash fingerprints and shared bands file texts together, an exact check decides.
 
 At a similarity of 0.8 two 64-bit fingerprints differ in 10 bits or so, up to 19, too many for an index of bit patterns
-to lose no pair. Here the upper nodes are shared bands of MinHash values.
+to lose no pair. What the index links at ``GRAY_BITS`` is checked first; bands of MinHash values find the pairs beyond it.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import components, cut
-from .simhash import majority, shingle_hashes, signed
+from .simhash import hamming_links, majority, shingle_hashes, signed
 
 BANDS, ROWS = 20, 4  # a pair at 0.8 shares no band with probability 3e-5
+GRAY_BITS = 4  # of 64, as in ``near_duplicates``
 WIDE = 4  # SimHash words of 64 bits
 NEAR_BITS = 62  # of 256; at 0.8 the mean is 39, the deviation 5.7
 FEW = 32  # below so many shingles the pattern says too little and prunes nothing
@@ -167,11 +168,22 @@ def _forests(similarity: float):
     return run
 
 
+def gray_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ``nodes(node, s)`` that the Gray-ordered index links: one of each fingerprint with those of the same, and those of linked fingerprints. The
+    fingerprint is the first word of the wide pattern."""
+    filed = nodes.select("node", F.col("s.wide")[0].alias("fp"))
+    one = cut(filed.groupBy("fp").agg(F.min("node").alias("rep")))
+    same = filed.join(one, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    links = hamming_links(one.select("fp"), GRAY_BITS)
+    ends = links.join(one.toDF("a", "ra"), "a").join(one.toDF("b", "rb"), "b").where("ra <> rb")
+    return same.unionByName(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 1 << 20) -> DataFrame:
     """``doc_id, component_id`` for every row of ``docs``: components of texts linked at ``similarity`` or more.
 
     The similarity of two texts is that of their sets of word shingles (common over all); every link is checked on the
-    whole sets. Equal sets are one node, so copies cost one row each. First every node of a bucket is checked
+    whole sets. Equal sets are one node, so copies cost one row each. First what the Gray-ordered index links is checked, and every node of a bucket
     against the bucket's first node, where sizes and SimHash patterns allow it. Nodes that are not in its component after that are set
     aside and compared with all rows of the bucket outside their component, by the sets themselves and without a prune; a bucket
     gives fewer links than it has rows. A bucket with more than ``most`` shingles is dealt over several tasks, one for each block of
@@ -192,7 +204,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, most:
     ends = nodes.select("o", "node", "s")
     pairs = shared.where("o <> head").select("o", "head").distinct().join(ends, "o")
     pairs = pairs.join(ends.toDF("head", "head_node", "head_s"), "head").where(could_be("s", "head_s", similarity) & (F.col("node") != F.col("head_node")))
-    pairs = cut(pairs.select(F.col("head_node").alias("a"), F.col("node").alias("b")).distinct())
+    pairs = pairs.select(F.col("head_node").alias("a"), F.col("node").alias("b"))
+    pairs = cut(pairs.unionByName(gray_pairs(nodes.where("s.n > 0"))).distinct())
     links = similar(pairs, known, words, similarity)
     # an id that stands under several names ties them together
     ties = rows.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
