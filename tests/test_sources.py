@@ -1,6 +1,7 @@
 """Trace readers on malformed lines, and reading back what was written."""
 
 import json
+import os
 import tempfile
 
 import pytest
@@ -88,6 +89,30 @@ def test_write_graph(spark):
         assert [r.asDict(True) | {"graph_id": 0} for r in x.orderBy(x.columns[1]).collect()] == [r.asDict(True) | {"graph_id": 0} for r in y.orderBy(y.columns[1]).collect()]
 
 
+def test_graphs_as_lines_are_few_files(spark):
+    """As many graphs as there are: a file a task, ids and contents as written, and what files of their own give."""
+    n = 300
+    nodes = spark.range(n * 3).selectExpr(f"concat('g ', id % {n}) graph_id", "id node_ord", "concat('n\\n\"', id) id", "'function' kind", "'f' name", "cast(null as string) path", "cast(id as int) line", "if(id % 2 = 0, 'T', null) receiver")
+    edges = spark.range(n * 5 - 1, -1, -1).where(f"id % {n} > 0").selectExpr(f"concat('g ', id % {n}) graph_id", "id edge_ord", "'a' source", "concat('b\\r', id) target", "'call' kind", "cast(id as int) line", "id % 3 = 0 resolved", "if(id % 4 = 0, array('p', 'q'), null) names", "cast(null as string) alias", "cast(null as string) default_name", "if(id % 5 = 0, map('a', 'z'), null) aliases")
+    out = tempfile.mkdtemp() + "/g"
+    R.write_graph(nodes, edges, out, lines=True)
+    assert len([f for f in os.listdir(out) if f.startswith("part-")]) <= 8
+    for got, put in zip(R.read_graph(spark, out, lines=True), (nodes, edges)):
+        rows = [r.asDict(True) for r in put.orderBy(put.columns[1]).collect()]
+        seen = {}
+        for r in rows:  # ordinals are counted from 0 in each document
+            r[put.columns[1]] = seen[r["graph_id"]] = seen.get(r["graph_id"], -1) + 1
+        key = lambda r: (r["graph_id"], r[put.columns[1]])  # noqa: B023, E731
+        assert sorted((r.asDict(True) for r in got.collect()), key=key) == sorted(rows, key=key)
+    few = tempfile.mkdtemp() + "/g"
+    R.write_graph(nodes.where("graph_id < 'g 12'"), edges.where("graph_id < 'g 12'"), few)
+    for got, lines in zip(R.read_graph(spark, few), R.read_graph(spark, out, lines=True)):
+        content = lambda df: sorted(map(repr, df.drop("graph_id").collect()))
+        assert content(got) == content(lines.where("graph_id < 'g 12'"))
+    with pytest.raises(ValueError):
+        R.read_graph(spark, out, 100, lines=True)
+
+
 def test_get_session(spark):
     from tracegraph.sources.files import get_session
 

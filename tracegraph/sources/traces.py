@@ -62,12 +62,18 @@ NODE = "struct<id:string,kind:string,name:string,path:string,line:int,metadata:s
 EDGE = "struct<source:string,target:string,kind:string,metadata:struct<line:int,resolved:boolean,names:array<string>,alias:string,`default`:string,aliases:map<string,string>>>"
 
 
-def read_graph(spark: SparkSession, path: str, part: int | None = None) -> tuple[DataFrame, DataFrame]:
+def read_graph(spark: SparkSession, path: str, part: int | None = None, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of graph documents, ordinals kept, with the metadata that ``resolve_symbols`` reads.
 
-    A document is one row while it is parsed; with ``part``, so many bytes, it is read in parts instead (see ``documents.elements``), an element a row from the start.
+    A document is a file, its ``graph_id`` the file's path; with ``lines`` it is a line that holds its ``graph_id`` (what ``write_graph`` writes with ``lines``), so many graphs are few files.
+    It is one row while it is parsed; with ``part``, so many bytes, files are read in parts instead (see ``documents.elements``), an element a row from the start.
     """
-    if part is None:
+    if lines and part is not None:
+        raise ValueError("lines are read whole, files by parts")
+    if lines:
+        g = spark.read.schema(f"graph_id string, nodes array<{NODE}>, edges array<{EDGE}>").json(path)
+        nodes, edges = (g.select("graph_id", F.posexplode(c).alias("ord", "e")) for c in ("nodes", "edges"))
+    elif part is None:
         g = spark.read.schema(f"nodes array<{NODE}>, edges array<{EDGE}>").option("multiLine", True).json(path).withColumn("graph_id", F.col("_metadata.file_path"))
         nodes, edges = (g.select("graph_id", F.posexplode(c).alias("ord", "e")) for c in ("nodes", "edges"))
     else:
@@ -80,18 +86,25 @@ def read_graph(spark: SparkSession, path: str, part: int | None = None) -> tuple
     return nodes, edges.select("graph_id", F.col("ord").alias("edge_ord"), "e.source", "e.target", "e.kind", *meta)
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str, version: str = "1") -> None:
-    """One JSON document in a file of its own per ``graph_id``, nodes and edges by their ordinals, absent keys left out; what ``read_graph`` reads. A document is one row and as large as its graph."""
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, version: str = "1", lines: bool = False) -> None:
+    """One JSON document per ``graph_id``, nodes and edges by their ordinals, absent keys left out; what ``read_graph`` reads. A document is one row and as large as its graph.
+
+    Each is a file of its own, for tools that want one. Files cost time each, when they are written, listed and opened; with ``lines`` a document is a line with its ``graph_id``, and a task writes one file.
+    """
     node_meta = F.when(F.col("receiver").isNotNull(), F.struct("receiver"))
-    node = F.struct("node_ord", F.struct("id", "kind", "name", "path", "line", node_meta.alias("metadata")).alias("n"))
-    edge_meta = F.struct("line", "resolved", "names", "alias", F.col("default_name").alias("default"), "aliases")
-    edge = F.struct("edge_ord", F.struct("source", "target", "kind", edge_meta.alias("metadata")).alias("e"))
-    # by the ordinal alone: maps cannot be compared
-    by = lambda o: lambda a, b: F.when(a[o] < b[o], -1).when(a[o] > b[o], 1).otherwise(0)
-    ns = nodes.groupBy("graph_id").agg(F.transform(F.array_sort(F.collect_list(node), by("node_ord")), lambda x: x["n"]).alias("nodes"))
-    es = edges.groupBy("graph_id").agg(F.transform(F.array_sort(F.collect_list(edge), by("edge_ord")), lambda x: x["e"]).alias("edges"))
-    doc = ns.join(es, "graph_id", "full_outer").select(F.to_json(F.struct(F.lit(version).alias("version"), F.coalesce("nodes", F.array()).alias("nodes"), F.coalesce("edges", F.array()).alias("edges"))).alias("value"), "graph_id")
-    doc.repartition("graph_id").write.partitionBy("graph_id").text(path)
+    node = F.struct("id", "kind", "name", "path", "line", node_meta.alias("metadata"))
+    edge = F.struct("source", "target", "kind", F.struct("line", "resolved", "names", "alias", F.col("default_name").alias("default"), "aliases").alias("metadata"))
+    # elements are JSON before they are gathered: maps cannot be compared, texts can
+    one = lambda df, o, x, side: df.select("graph_id", F.lit(side).alias("side"), F.struct(F.col(o).cast("long").alias("o"), F.to_json(x).alias("j")).alias("x"))
+    gathered = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("x")))).alias(side)
+    docs = one(nodes, "node_ord", node, "nodes").union(one(edges, "edge_ord", edge, "edges")).groupBy("graph_id").agg(gathered("nodes"), gathered("edges"))
+    head = F.to_json(F.struct(*([F.col("graph_id").cast("string").alias("graph_id")] if lines else []), F.lit(version).alias("version")))
+    array = lambda side: F.concat(F.lit(f',"{side}":['), F.array_join(F.transform(side, lambda x: x["j"]), ","), F.lit("]"))
+    value = F.concat(F.left(head, F.length(head) - 1), array("nodes"), array("edges"), F.lit("}")).alias("value")
+    if lines:
+        docs.select(value).write.text(path)
+    else:
+        docs.select(value, "graph_id").repartition("graph_id").write.partitionBy("graph_id").text(path)
 
 
 def parse_line_coverage(lines: DataFrame) -> DataFrame:
