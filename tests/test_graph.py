@@ -39,6 +39,45 @@ def test_scc_and_cycles(spark):
     assert [(r["size"], r["id"], r["nodes"]) for r in G.cycles(nd, ed, 3).collect()] == rows[:3] and len(rows) > 3
 
 
+def test_what_lies_on_no_ring_is_not_searched(spark, monkeypatch):
+    """Layers that no edge leads back from: each is a component of its own nodes, found without a round; rings beside them are searched alone, a long way between rings too."""
+    layers = [(f"a{i}", f"b{(i * j) % 40}", "call") for i in range(40) for j in (1, 3, 7)] + [(f"b{i}", f"c{i % 5}", "call") for i in range(40)] + [("a1", "a1", "call")]
+    nodes = [f"{x}{i}" for x, n in (("a", 40), ("b", 40), ("c", 5)) for i in range(n)]
+    frame = lambda es: (spark.createDataFrame([(x, "function") for x in nodes + ring + ["z1", "z2"]], "id string, kind string"), spark.createDataFrame(es, "source string, target string, kind string"))
+    sizes, whole = [], G.Rounds.cut
+    monkeypatch.setattr(G.Rounds, "cut", lambda self, df: (out := whole(self, df), "f" in out.columns and sizes.append(out.count()))[0])
+    ring = []
+    assert sorted(map(tuple, G.scc(*frame(layers)).collect())) == sorted((x, x, 1) for x in nodes + ["z1", "z2"])
+    assert sizes == []
+    ring = ["r1", "r2", "r3"]
+    got = {r.id: (r.scc, r.size) for r in G.scc(*frame(layers + [("r1", "r2", "call"), ("r2", "r3", "call"), ("r3", "r1", "call"), ("r3", "b2", "call"), ("a3", "r1", "call"), ("r2", "z1", "call"), ("z1", "z2", "call"), ("z2", "z1", "call")])).collect()}
+    assert got == {x: (x, 1) for x in nodes} | {x: ("r3", 3) for x in ring} | {x: ("z2", 2) for x in ("z1", "z2")}
+    assert sizes and max(sizes) == 5
+
+
+def test_depths_stop_where_no_edge_leads_on(spark, monkeypatch):
+    """One look at the edges brings all nodes of one step; parallel edges count as one."""
+    nodes = [(f"n{i}", "function") for i in range(30)]
+    edges = [(f"n{i}", f"n{20 + j}", "call") for i in range(20) for j in range(10)] * 2
+    states, whole = [], G.Rounds.cut
+    monkeypatch.setattr(G.Rounds, "cut", lambda self, df: ("depth" in df.columns and states.append(1), whole(self, df))[1])
+    got = G.bfs_depth(spark.createDataFrame(nodes, "id string, kind string"), spark.createDataFrame(edges, "source string, target string, kind string")).collect()
+    assert {r.id: r.depth for r in got} == {f"n{i}": int(i >= 20) for i in range(30)} and len(states) == 2
+    assert not [r for r in got if not r.reachable]
+
+
+def test_ends_are_looked_up_once_for_all_features(spark, monkeypatch):
+    from tracegraph.operators import learn as L
+
+    calls, whole = [], G.resolved_edges
+    monkeypatch.setattr(G, "resolved_edges", lambda n, e: calls.append(1) or whole(n, e))
+    nodes = spark.createDataFrame([(f"n{i}", "function", f"f{i}", "a.py" if i % 2 else None, i, False, None) for i in range(9)], "id string, kind string, name string, path string, line int, is_async boolean, has_decorators boolean")
+    edges = spark.createDataFrame([("n0", "n1", "call"), ("n1", "n0", "call"), ("n2", "n0", "x"), ("n2", "gone", "call"), ("n3", "n3", "call")], "source string, target string, kind string")
+    got = {r.id: r for r in L.features(nodes, edges).collect()}
+    assert len(calls) == 1 and sorted(got) == [f"n{i}" for i in range(9)]
+    assert [i for i in range(9) if got[f"n{i}"].in_cycle] == [0, 1, 3] and [i for i in range(9) if not got[f"n{i}"].reachable] == [0, 1]
+
+
 def test_no_edges(spark):
     nd, ed = spark.createDataFrame([("a", "file"), ("b", "file")], "id string, kind string"), spark.createDataFrame([], "source string, target string, kind string")
     assert sorted(tuple(r) for r in G.scc(nd, ed).collect()) == [("a", "a", 1), ("b", "b", 1)]

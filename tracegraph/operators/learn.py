@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import is_dunder, is_private, is_test, path_depth
 from ..schemas import EDGE_BUCKETS
+from ..storage import cut
 from . import graph
 
 # The version, kinds and names of the feature columns that stored models expect.
@@ -21,17 +22,17 @@ FEATURES = (
 )
 
 
-def avg_rank(df: DataFrame, col: str, by: str, name: str = "rank") -> DataFrame:
-    """0-based rank within ``by``, ties averaged. Ordered work is done on the histogram of values only."""
+def avg_rank(df: DataFrame, col: str, by: str, name: str = "rank", few: bool = False) -> DataFrame:
+    """0-based rank within ``by``, ties averaged. Ordered work is done on the histogram of values only; where that is a small table (``few``), no rows move to be joined with it."""
     h = df.groupBy(by, col).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(by).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
     h = h.select(by, col, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") - 1) / 2).cast("double").alias(name))
-    return df.join(h, [by, col])
+    return df.join(F.broadcast(h) if few else h, [by, col])
 
 
-def percentile_rank(df: DataFrame, col: str, by: str, name: str = "percentile") -> DataFrame:
+def percentile_rank(df: DataFrame, col: str, by: str, name: str = "percentile", few: bool = False) -> DataFrame:
     n = df.groupBy(by).agg(F.count("*").alias("_all"))
-    out = avg_rank(df, col, by, "_r").join(n, by)
+    out = avg_rank(df, col, by, "_r", few).join(F.broadcast(n) if few else n, by)
     return out.withColumn(name, F.when(F.col("_all") > 1, F.col("_r") / (F.col("_all") - 1)).otherwise(0.0)).drop("_r", "_all")
 
 
@@ -64,15 +65,20 @@ def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The 35 structural columns per node of one graph, in fixed order; edges with unknown ends are left out."""
-    e = graph.resolved_edges(nodes, edges)
-    deg = graph.degree_buckets(nodes, e)
+    """The 35 structural columns per node of one graph, in fixed order; edges with unknown ends are left out.
+
+    Ends are looked up once, and a table of the edges left is what all columns are made of. Different degrees are few: n of them take n * n / 2 edges.
+    """
+    e = cut(graph.resolved_edges(nodes, edges.select("source", "target", "kind")))
+    deg = cut(graph.degree_buckets(nodes, e, resolved=True))
     total = lambda s: sum((F.col(f"{s}_{b}") for b in EDGE_BUCKETS[1:]), F.col(f"{s}_{EDGE_BUCKETS[0]}"))
     deg = deg.withColumns({"in_degree": total("in"), "out_degree": total("out"), "_g": F.lit(0)})
-    deg = percentile_rank(percentile_rank(deg, "in_degree", "_g", "in_degree_percentile"), "out_degree", "_g", "out_degree_percentile").drop("_g")
+    for side in ("in", "out"):
+        deg = percentile_rank(deg, f"{side}_degree", "_g", f"{side}_degree_percentile", few=True)
+    deg = deg.drop("_g")
     loops = e.where("source = target").select(F.col("source").alias("id")).distinct().withColumn("loop", F.lit(True))
     f = nodes.withColumn("path", F.coalesce("path", F.lit(""))).join(deg, "id")
-    f = f.join(graph.scc(nodes, e).select("id", "size"), "id").join(loops, "id", "left").join(graph.bfs_depth(nodes, e), "id")
+    f = f.join(graph.scc(nodes, e, resolved=True).select("id", "size"), "id").join(loops, "id", "left").join(graph.bfs_depth(nodes, e, resolved=True), "id")
     f = f.join(graph.file_fan(nodes.withColumn("path", F.coalesce("path", F.lit(""))), e), "path", "left").na.fill(0, ["fan_in", "fan_out"])
     one = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     name, path = F.col("name"), F.col("path")
