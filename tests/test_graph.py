@@ -78,6 +78,23 @@ def test_ends_are_looked_up_once_for_all_features(spark, monkeypatch):
     assert [i for i in range(9) if got[f"n{i}"].in_cycle] == [0, 1, 3] and [i for i in range(9) if not got[f"n{i}"].reachable] == [0, 1]
 
 
+def test_evidence_is_counted_before_it_is_doubled(spark):
+    """Parallel edges, loops, unknown and null ends and nodes given twice count as they do when all rows are counted at the end; one aggregation of edges, no sort of them."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    ends = ["a", "b", "c", "d", "gone", None]
+    edges = spark.createDataFrame([(rng.choice(ends), rng.choice(ends), rng.choice(["call", "import", None]), i) for i in range(400)], "source string, target string, kind string, line int")
+    nodes = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "x"), ("c", None), ("d", "y"), ("d", "z"), (None, "w")], "id string, path string")
+    by = ["id", "direction", "other", "kind", "path"]
+    want = G.edge_evidence(nodes, edges).groupBy(*by).agg(F.count("*").alias("n"))
+    got = G.evidence_counts(nodes, edges)
+    key = lambda df: sorted(map(repr, df.select(*by, "n").collect()))
+    assert key(got) == key(want) and G.edge_evidence(nodes, edges).columns == ["id", "direction", "other", "kind", "path", "line"]
+    plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert "SortMergeJoin" not in plan and "Union" not in plan and "ShuffledHashJoin" in plan
+
+
 def test_no_edges(spark):
     nd, ed = spark.createDataFrame([("a", "file"), ("b", "file")], "id string, kind string"), spark.createDataFrame([], "source string, target string, kind string")
     assert sorted(tuple(r) for r in G.scc(nd, ed).collect()) == [("a", "a", 1), ("b", "b", 1)]
