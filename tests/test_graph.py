@@ -95,6 +95,17 @@ def test_evidence_is_counted_before_it_is_doubled(spark):
     assert "SortMergeJoin" not in plan and "Union" not in plan and "ShuffledHashJoin" in plan
 
 
+def test_degrees_sort_no_edges(spark):
+    """Ends are looked up in hashed ids, both sides come from one pass, and counts are made by node and kind before there are columns."""
+    edges = spark.createDataFrame([("a", "b", "call"), ("a", "b", "call"), ("b", "a", "import"), ("a", "a", "cross_language_spawn"), ("a", "gone", "call"), ("b", "a", "odd"), (None, "a", "call")], "source string, target string, kind string")
+    nodes = spark.createDataFrame([("a", "f"), ("b", "f"), ("c", "f")], "id string, kind string")
+    deg = G.degree_buckets(nodes, edges)
+    got = {r.id: {k: v for k, v in r.asDict().items() if v and k != "id"} for r in deg.collect()}
+    assert got == {"a": {"in_import": 1, "in_cross_language": 1, "in_other": 1, "out_call": 2, "out_cross_language": 1}, "b": {"in_call": 2, "out_import": 1, "out_other": 1}, "c": {}}
+    plan = spark._jvm.PythonSQLUtils.explainString(G.resolved_edges(nodes, edges)._jdf.queryExecution(), "simple")
+    assert "SortMergeJoin" not in plan and plan.count("ShuffledHashJoin") == 2
+
+
 def test_no_edges(spark):
     nd, ed = spark.createDataFrame([("a", "file"), ("b", "file")], "id string, kind string"), spark.createDataFrame([], "source string, target string, kind string")
     assert sorted(tuple(r) for r in G.scc(nd, ed).collect()) == [("a", "a", 1), ("b", "b", 1)]
