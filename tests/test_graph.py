@@ -1,6 +1,9 @@
 """Components, cycles and implementations on random graphs, against plain searches."""
 
 import random
+from functools import reduce
+
+from pyspark.sql import DataFrame
 
 from tracegraph.operators import graph as G
 
@@ -106,6 +109,21 @@ def test_degrees_sort_no_edges(spark):
     assert "SortMergeJoin" not in plan and plan.count("ShuffledHashJoin") == 2
 
 
+def test_edges_of_many_tables_are_looked_up_once(spark):
+    """Ids are hashed once an end, not once an end and table that edges come from; nodes are counted with the ends, so nothing is joined behind the two lookups."""
+    schema = "source string, target string, kind string"
+    tables = [[("a", "b", "call"), ("a", "gone", "call")], [("a", "b", "import"), (None, "b", "call")], [("b", "b", "inherit"), ("gone", "a", "call"), ("b", "a", None)]]
+    edges = reduce(DataFrame.union, [spark.createDataFrame(t, schema) for t in tables])
+    nodes = spark.createDataFrame([("a", "f"), ("b", "f"), ("b", "g"), ("c", "f"), (None, "f"), (None, "g")], "id string, kind string")
+    deg = G.degree_buckets(nodes, edges)
+    got = sorted((r.id or "", {k: v for k, v in r.asDict().items() if v != 0 and k != "id"}) for r in deg.collect())
+    b = {"in_call": 1, "in_import": 1, "in_inherit": 1, "out_inherit": 1, "out_other": 1}
+    assert [x for x, _ in got] == ["", "", "a", "b", "b", "c"]
+    assert [x for _, x in got] == [{}, {}, {"in_other": 1, "out_call": 1, "out_import": 1}, b, b, {}]
+    plan = lambda df: spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    assert plan(G.resolved_edges(nodes, edges)).count("Join ") == plan(G.degree_buckets(nodes, edges)).count("Join ") == 2
+
+
 def test_no_edges(spark):
     nd, ed = spark.createDataFrame([("a", "file"), ("b", "file")], "id string, kind string"), spark.createDataFrame([], "source string, target string, kind string")
     assert sorted(tuple(r) for r in G.scc(nd, ed).collect()) == [("a", "a", 1), ("b", "b", 1)]
