@@ -113,6 +113,25 @@ def test_graphs_as_lines_are_few_files(spark):
         R.read_graph(spark, out, 100, lines=True)
 
 
+def test_graphs_as_lines_take_little_disk(spark, monkeypatch):
+    """Lines are gzipped; of the query, which deals numbers by supplier, no JSON is shuffled."""
+    from pyspark.sql import DataFrameWriter
+
+    from tracegraph.plans import registry, sourced  # noqa: F401  (it registers the query)
+
+    written, whole = [], DataFrameWriter.text
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, path, *a, **b: (written.append((self._df, path)), whole(self, path, *a, **b))[1])
+    out = registry.Q["graph_files"](spark, "/root/testdata/sf0.001")
+    [(docs, path)] = written
+    plan = spark._jvm.PythonSQLUtils.explainString(docs._jdf.queryExecution(), "simple")
+    assert plan.count("Exchange ") == plan.count("REPARTITION_BY_NUM") == 2 and "Exchange hashpartitioning(l_suppkey" in plan
+    folder = path.removeprefix("file://")
+    files = [f"{folder}/{f}" for f in os.listdir(folder) if f.startswith("part-")]
+    size = docs.selectExpr("sum(octet_length(value)) n").first().n
+    assert all(f.endswith(".gz") for f in files) and sum(map(os.path.getsize, files)) * 4 < size
+    assert out.selectExpr("sum(n) n").first().n > spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+
+
 def test_get_session(spark):
     from tracegraph.sources.files import get_session
 
