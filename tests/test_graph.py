@@ -151,6 +151,21 @@ def test_implementations_of_types_alike_are_joined_once_a_class(spark, monkeypat
     assert (["struct", "interface"], 3) in sizes  # pairs of classes
 
 
+def test_implementations_send_no_table_through_the_driver(spark, monkeypatch):
+    """Cut tables are small as files; none is broadcast all the same, ids of a class lie in blocks, and a pair of large classes is as many rows as it has blocks."""
+    rng = random.Random(5)
+    structs = {f"s{i}": frozenset(rng.sample("abcdef", 3)) for i in range(90)} | {"none": frozenset()}
+    interfaces = {f"i{i}": frozenset(rng.sample("abcdef", 2)) for i in range(70)} | {"odd": frozenset("az"), "one": frozenset("b")}
+    rows = [(k, "struct", m) for k, ms in structs.items() for m in ms or [None]] + [(k, "interface", m) for k, ms in interfaces.items() for m in ms]
+    df = spark.createDataFrame(rows, "id string, kind string, method string")
+    plans, plan = [], lambda d: spark._jvm.PythonSQLUtils.explainString(d._jdf.queryExecution(), "simple")
+    monkeypatch.setattr(G, "cut", lambda d, old=G.cut: (plans.append(plan(d)), old(d))[1])
+    monkeypatch.setattr(G, "BLOCK", 2, raising=False)
+    got = G.implements_edges(df)
+    assert not [p for p in [*plans, plan(got)] if "Broadcast" in p]
+    assert sorted(map(tuple, got.collect())) == sorted((s, i) for s, have in structs.items() for i, need in interfaces.items() if need <= have)
+
+
 def test_merged_graph_links_its_languages(spark):
     node, edge = "id string, kind string", "source string, target string, kind string, line int"
     py = spark.createDataFrame([("a.py", "file"), ("a.py:f", "function")], node), spark.createDataFrame([("a.py", "a.py:f", "call", 3)], edge)
