@@ -98,6 +98,28 @@ def test_evidence_is_counted_before_it_is_doubled(spark):
     assert "SortMergeJoin" not in plan and "Union" not in plan and "ShuffledHashJoin" in plan
 
 
+def test_evidence_keeps_every_line(spark):
+    """Parallel edges on two lines are two rows at each end, those on one line are counted; the query gives the lines of all edges it is given."""
+    from pyspark.sql import functions as F
+
+    from tracegraph.plans import derived as D
+    from tracegraph.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    out, edges = registry.Q["edge_evidence"](spark, sf), D.graph_edges(spark, sf)
+    assert "line" in out.columns
+    lines = lambda df, n: {r.line: r.n for r in df.groupBy("line").agg(n.alias("n")).collect()}
+    assert lines(out.where("direction = 'out'"), F.sum("n")) == lines(out.where("direction = 'in'"), F.sum("n")) == lines(edges, F.count("*"))
+    nodes = spark.createDataFrame([("a", "x"), ("b", None), (None, "w")], "id string, path string")
+    few = spark.createDataFrame([("a", "b", "call", 1), ("a", "b", "call", 2), ("a", "b", "call", 2), ("a", "b", "call", None), ("b", "b", "x", 3), (None, "a", "x", 4)], "source string, target string, kind string, line int")
+    seen = G.evidence_lines(nodes, few)
+    assert spark._jvm.PythonSQLUtils.explainString(seen._jdf.queryExecution(), "simple").count("Exchange ") == 2  # rows are not shuffled again
+    got = sorted(map(tuple, seen.collect()), key=repr)
+    one = lambda a, b, *rest: [(a, "out", b, *rest), (b, "in", a, *rest)]
+    want = one("a", "b", "call", "x", 1, 1) + one("a", "b", "call", "x", 2, 2) + one("a", "b", "call", "x", None, 1) + one("b", "b", "x", None, 3, 1) + one(None, "a", "x", None, 4, 1)
+    assert got == sorted(want, key=repr)
+
+
 def test_degrees_sort_no_edges(spark):
     """Ends are looked up in hashed ids, both sides come from one pass, and counts are made by node and kind before there are columns."""
     edges = spark.createDataFrame([("a", "b", "call"), ("a", "b", "call"), ("b", "a", "import"), ("a", "a", "cross_language_spawn"), ("a", "gone", "call"), ("b", "a", "odd"), (None, "a", "call")], "source string, target string, kind string")
